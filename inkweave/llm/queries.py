@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import lookalike
+from inkweave.llm import lookalike, neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, d, "abstracts"), n=3, t=0.5)
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of papers by five-word shingles and a similarity of 0.8."""
+    return neardup.groups(_table(spark, d, "abstracts"), n=5, t=0.8)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalikes(_table(spark, d, "documents")).selectExpr("id_a AS doc_id_a", "id_b AS doc_id_b")
 
