@@ -6,13 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import lookalike, neardup
+from inkweave.llm import crosssplit, lookalike, neardup, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _abstracts(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "abstracts").selectExpr("id", "abstract AS text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = crosssplit.overlaps(_table(spark, d, "pairs"), _abstracts(spark, d))
+    return found.selectExpr("least(train_id, eval_id) AS pair_id_a", "greatest(train_id, eval_id) AS pair_id_b").distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.report(_table(spark, d, "pairs"), _abstracts(spark, d))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return terms.marked(_table(spark, d, "abstracts")).where("n = 1 AND mark IS NOT NULL").select("term", "mark")
+
+
+def p5_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Every run of up to three terms with its counts and mark."""
+    return terms.marked(_table(spark, d, "abstracts"), depth=3).select("n", "term", "occurrences", "records", "mark")
+
+
+def p5_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return terms.vocabulary(_table(spark, d, "abstracts"), _table(spark, d, "cora_vocab"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, d, "abstracts"), n=3, t=0.5)
 
