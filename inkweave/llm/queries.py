@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import crosssplit, lookalike, neardup, terms
+from inkweave.llm import crosssplit, lookalike, neardup, packing, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,15 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_table(spark, d, "abstracts"), n=5, t=0.8)
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_texts(_table(spark, d, "documents"), _table(spark, d, "pack_capacity"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(p7_packed(spark, d), _table(spark, d, "pack_capacity"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalikes(_table(spark, d, "documents")).selectExpr("id_a AS doc_id_a", "id_b AS doc_id_b")
 
