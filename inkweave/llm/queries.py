@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import crosssplit, lookalike, neardup, packing, terms
+from inkweave.llm import crosssplit, leakage, lookalike, neardup, packing, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_packed(spark, d), _table(spark, d, "pack_capacity"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_passages")).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.report(_table(spark, d, "documents"), _table(spark, d, "eval_passages"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalikes(_table(spark, d, "documents")).selectExpr("id_a AS doc_id_a", "id_b AS doc_id_b")
 
