@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import crosssplit, leakage, lookalike, neardup, packing, terms
+from inkweave.llm import crosssplit, leakage, lookalike, neardup, neighbours, packing, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_table(spark, d, "emb"), k=5, least=0.9)
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five papers most similar to every paper whose id is divisible by 100, by hidden state."""
+    return neighbours.neighbours(_table(spark, d, "emb"), asks="id % 100 = 0", length=32, lists=8, share=0.5)
+
+
+def p1_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The same by term counts."""
+    vectors = neighbours.term_vectors(_table(spark, d, "doc_term"), _table(spark, d, "cora_vocab"))
+    return neighbours.neighbours(vectors, asks="id % 100 = 0", length=32, lists=8, share=0.5)
+
+
 def _abstracts(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "abstracts").selectExpr("id", "abstract AS text")
 
