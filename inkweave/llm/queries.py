@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import crosssplit, leakage, lookalike, neardup, neighbours, packing, terms
+from inkweave.llm import crosssplit, leakage, lookalike, neardup, neighbours, packing, terms, together
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbours(vectors, asks="id % 100 = 0", length=32, lists=8, share=0.5)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = together.names_together(_table(spark, d, "authors"), _table(spark, d, "author_index"), fewest=5)
+    return found.where("n * baskets >= 2 * n_a * n_b").select("author_idx_a", "author_idx_b")
+
+
+def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
+    """Every two names on at least two common papers, with the count to be expected, its tail and its false-discovery rate."""
+    return together.names_together(_table(spark, d, "authors"), _table(spark, d, "author_index"), fewest=2)
+
+
 def _abstracts(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "abstracts").selectExpr("id", "abstract AS text")
 
