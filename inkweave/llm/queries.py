@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import crosssplit, leakage, lookalike, neardup, neighbours, packing, terms, together
+from inkweave.llm import crosssplit, leakage, lookalike, names, neardup, neighbours, packing, terms, together
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
     return together.names_together(_table(spark, d, "authors"), _table(spark, d, "author_index"), fewest=2)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variants(_table(spark, d, "author_index"), _table(spark, d, "authors"), _table(spark, d, "nicknames"))
+
+
+def p3_people(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of author_index that share a person with another row, with the smallest number among them."""
+    return names.people(_table(spark, d, "author_index"), _table(spark, d, "authors"), _table(spark, d, "nicknames"))
+
+
 def _abstracts(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "abstracts").selectExpr("id", "abstract AS text")
 
