@@ -519,11 +519,11 @@ def _(s, d):
     return ml.histogram(_scores(s, d))
 
 
-@_add("soft_vote", "p s", "SELECT pair_id, round((p * 100 + (1 - p) * 87 + (p * p) * 88) / 275.0::DOUBLE, 6) AS by_sum, round((p * 100 + (1 - p) * 87 + (p * p) * 88) / 100.0::DOUBLE, 6) AS by_max, round((p + (1 - p) + p * p) / 3, 6) AS plain FROM s")
+@_add("soft_vote", "p s", "SELECT pair_id, round((p * 100 + (1 - p) * 87 + (p * p) * 88) / 275.0::DOUBLE, 6) AS by_sum, round((p * 100 + (1 - p) * 87 + (p * p) * 88) / 100.0::DOUBLE, 10) AS by_max, round((p + (1 - p) + p * p) / 3, 6) AS plain FROM s")
 def _(s, d):
     p = F.col("p")
     votes, w = [p, 1 - p, p * p], [100.0, 87.0, 88.0]
-    return _scores(s, d).select("pair_id", F.round(ml.soft_vote(votes, w), 6).alias("by_sum"), F.round(ml.soft_vote(votes, w, "max"), 6).alias("by_max"), F.round(ml.soft_vote(votes), 6).alias("plain"))
+    return _scores(s, d).select("pair_id", F.round(ml.soft_vote(votes, w), 6).alias("by_sum"), F.round(ml.soft_vote(votes, w, "max"), 10).alias("by_max"), F.round(ml.soft_vote(votes), 6).alias("plain"))
 
 
 @_add("submission_bce", "p s", "SELECT round(avg(-(p * p * ln(greatest(p, 1e-15)) + (1 - p * p) * ln(greatest(1 - least(p, 1 - 1e-15), 1e-15)))), 6) AS bce FROM s")
