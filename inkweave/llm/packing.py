@@ -165,4 +165,5 @@ def fill(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """Per capacity: items, containers, tokens and the share of room that is left over."""
     used = packed.where("container >= 0").groupBy("capacity_id", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("items"))
     total = used.groupBy("capacity_id").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
-    return total.join(F.broadcast(capacities), "capacity_id").withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("max_tokens")))
+    caps = capacities.select("capacity_id", "max_tokens").dropDuplicates(["capacity_id"])  # a few rows
+    return total.join(F.broadcast(caps), "capacity_id").withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("max_tokens")))
