@@ -287,7 +287,7 @@ def test_names(spark):
     rows = [
         (0, "Robert A. Vabrabraston", 9, "Graph Lab, Skovic University"), (1, "VABRABRASTON, Bob", 1, "University of Skovic"), (2, "R. Vabrabraston", 1, "Skovic Univ."), (3, "Robert A.  Vabrabaston", 1, None),
         (4, "Rebecca Vabrabraston", 5, "Skovic Univ."), (5, "Robert B. Vabrabraston", 5, "Skovic Univ."), (6, "Open Lattice Collaboration", 50, None), (7, "The Open Lattice Collab.", 2, None), (8, "Collaboration, Open Lattice", 1, " "),
-        (9, "Jürgen Müller", 8, "A Univ."), (10, "Jurgen Muller", 1, "A Univ."), (11, "Jurgen Muller Jr.", 1, "Nowhere Univ."), (12, None, 3, None), (13, "  ", 3, None), (14, "Dr. Robert Vabrabraston", 1, "Skovic Univ."),
+        (9, "Jürgen Müller", 8, "Alpha Univ."), (10, "Jurgen Muller", 1, "Alpha Univ."), (11, "Jurgen Muller Jr.", 1, "Nowhere Univ."), (12, None, 3, None), (13, "  ", 3, None), (14, "Dr. Robert Vabrabraston", 1, "Skovic Univ."),
     ]
     more = [(100 + i, f"{g} Lone{c}ov", 3, None) for i, (g, c) in enumerate((g, c) for g in ("Robert", "Rebecca", "Jurgen") for c in "abcd")]
     index = spark.createDataFrame([(*r, "x") for r in rows + more], "author_idx bigint, name string, freq bigint, affiliation string, person string")
