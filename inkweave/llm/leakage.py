@@ -245,6 +245,63 @@ def _runs(doc: np.ndarray, at: np.ndarray, tokens: np.ndarray, place: np.ndarray
     return length
 
 
+def subsequence(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence; negative numbers equal nothing."""
+    if len(a) > len(b):
+        a, b = b, a
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    for x in a:
+        hit = np.concatenate([[0], row[:-1] + (b == x)]) if x >= 0 else row
+        row = np.maximum.accumulate(np.maximum(row, hit))
+    return int(row[-1])
+
+
+class _Search(NamedTuple):
+    encoded: DataFrame
+    items: np.ndarray
+    sent: object  # broadcast: tokens, item, items, space, index
+    span: int
+
+
+def _prepared(docs: DataFrame, evals: DataFrame, run_words: int, rank: int) -> _Search | None:
+    """Documents as word numbers, and the latent index of the passages on every executor; None without a passage."""
+    spark = docs.sparkSession
+    span = (run_words + 1) // 2
+    p = _passages(evals, Former(tables(spark)))
+    if not p.vocab:
+        return None
+    encoded = store(_encoded(docs, p.vocab), "encoded")
+    space = fit(encoded, len(p.vocab), span, rank)
+    items = np.array(p.items, dtype=np.int64)
+    return _Search(encoded, items, spark.sparkContext.broadcast((p.tokens, p.item, items, space, index(p, space, span))), span)
+
+
+def _hits(batches: Iterator[pd.DataFrame], sent: tuple, span: int, cosine: float, probes: int) -> Iterator[tuple]:
+    """For each batch: its ids, the words of its documents in one row, and of each candidate pair of windows the document, the places on both sides and the cosine."""
+    _, _, _, space, ix = sent
+    gap = np.full(1, -4, dtype=np.int32)
+    for b in batches:
+        parts, starts, owner, pos = [gap], [], [], 1
+        for k, x in enumerate(b["ids"]):
+            ids = np.frombuffer(x, dtype=np.int32)
+            at = np.arange(0, len(ids) // span * span, span)
+            starts.append(at + pos)
+            owner.append(np.full(len(at), k))
+            parts += [np.where(ids < 0, -3, ids), gap]
+            pos += len(ids) + 1
+        if not starts:
+            continue
+        doc, at, own = np.concatenate(parts), np.concatenate(starts), np.concatenate(owner)
+        for lo in range(0, len(at), 20_000):
+            a, o = at[lo : lo + 20_000], own[lo : lo + 20_000]
+            w = doc[a[:, None] + np.arange(span)]
+            some = np.flatnonzero((w >= 0).sum(axis=1) * 2 > span)
+            if len(some):
+                z = _unit(_project(np.where(w[some] < 0, -1, w[some]), space.idf, space.basis))
+                i, j, cos = _candidates(z, ix, cosine, probes)
+                yield b["doc_id"].to_numpy(), doc, o[some[i]], a[some[i]], ix.places[j], cos
+
+
 def leaks(docs: DataFrame, evals: DataFrame, run_words: int = 15, rank: int = 32, cosine: float = 0.97, probes: int = 2) -> DataFrame:
     """(doc_id, item_id, run, cosine): documents that hold at least run_words consecutive words of a passage, with the longest run found and the best cosine.
 
@@ -252,49 +309,64 @@ def leaks(docs: DataFrame, evals: DataFrame, run_words: int = 15, rank: int = 32
     words are in no row; ids delivered again count once.
     """
     spark = docs.sparkSession
-    span = (run_words + 1) // 2
     schema = "doc_id bigint, item bigint, run int, cosine float"
-    p = _passages(evals, Former(tables(spark)))
-    if not p.vocab:
+    search = _prepared(docs, evals, run_words, rank)
+    if search is None:
         return spark.createDataFrame([], schema.replace("item ", "item_id "))
-    encoded = store(_encoded(docs, p.vocab), "encoded")
-    space = fit(encoded, len(p.vocab), span, rank)
-    ix = index(p, space, span)
-    sent = spark.sparkContext.broadcast((p.tokens, p.item, np.array(p.items, dtype=np.int64), space, ix))
+    sent, span = search.sent, search.span
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, item, items, space, ix = sent.value
-        gap = np.full(1, -3, dtype=np.int32)
-        for b in batches:
-            parts, starts, owner, pos = [gap], [], [], 1
-            for k, x in enumerate(b["ids"]):
-                ids = np.frombuffer(x, dtype=np.int32)
-                at = np.arange(0, len(ids) // span * span, span)
-                starts.append(at + pos)
-                owner.append(np.full(len(at), k))
-                ids = np.where(ids < 0, -3, ids)
-                parts += [ids, gap]
-                pos += len(ids) + 1
-            doc = np.concatenate(parts)
-            at, owner_ = np.concatenate(starts), np.concatenate(owner)
-            found: list[pd.DataFrame] = []
-            for lo in range(0, len(at), 20_000):
-                a, o = at[lo : lo + 20_000], owner_[lo : lo + 20_000]
-                w = doc[a[:, None] + np.arange(span)]
-                w = np.where(w < 0, -1, w)
-                some = np.flatnonzero((w >= 0).sum(axis=1) * 2 > span)
-                if not len(some):
-                    continue
-                z = _unit(_project(w[some], space.idf, space.basis))
-                i, j, cos = _candidates(z, ix, cosine, probes)
-                length = _runs(doc, a[some[i]], tokens, ix.places[j], span)
-                ok = length >= run_words
-                i, j = i[ok], j[ok]
-                found.append(pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[o[some[i]]], "item": items[item[ix.places[j]]], "run": length[ok], "cosine": cos[ok]}))
-            if found:
-                yield pd.concat(found).groupby(["doc_id", "item"], as_index=False).max()
-
-    best = encoded.mapInPandas(run, schema).groupBy("doc_id", "item").agg(F.max("run").alias("run"), F.max("cosine").alias("cosine"))
+        tokens, item, items, _, _ = sent.value
+        for ids, doc, own, at, place, cos in _hits(batches, sent.value, span, cosine, probes):
+            length = _runs(doc, at, tokens, place, span)
+            ok = length >= run_words
+            if ok.any():
+                yield pd.DataFrame({"doc_id": ids[own[ok]], "item": items[item[place[ok]]], "run": length[ok], "cosine": cos[ok]}).groupby(["doc_id", "item"], as_index=False).max()
+
+    best = search.encoded.mapInPandas(run, schema).groupBy("doc_id", "item").agg(F.max("run").alias("run"), F.max("cosine").alias("cosine"))
+    return best.withColumnRenamed("item", "item_id")
+
+
+def paraphrases(docs: DataFrame, evals: DataFrame, share: float = 0.5, run_words: int = 15, rank: int = 32, cosine: float = 0.9, probes: int = 4) -> DataFrame:
+    """(doc_id, item_id, common, share): documents that hold a passage in part or edited, by the longest common subsequence of words.
+
+    Candidates are documents of which a window is close to one of the passage in the latent space; around it as many words
+    as the passage has on either side are compared. Listed are those with at least run_words words in common, in order,
+    and the given share of the passage. The search is approximate: an edit in every window of a passage hides it.
+    """
+    spark = docs.sparkSession
+    schema = "doc_id bigint, item bigint, common int, share double"
+    search = _prepared(docs, evals, run_words, rank)
+    if search is None:
+        return spark.createDataFrame([], schema.replace("item ", "item_id "))
+    sent, span = search.sent, search.span
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, item, items, _, _ = sent.value
+        size = np.bincount(item[item >= 0], minlength=len(items))
+        first = np.zeros(len(items), dtype=np.int64)
+        held = np.flatnonzero(item >= 0)
+        first[item[held[::-1]]] = held[::-1]
+        for ids, doc, own, at, place, _ in _hits(batches, sent.value, span, cosine, probes):
+            k = item[place]
+            # one comparison for each document and passage: where the passage would begin most often
+            begin = at - (place - first[k])
+            out = []
+            near = pd.DataFrame({"own": own, "k": k, "begin": begin}).groupby(["own", "k"])["begin"].agg(lambda x: x.mode().iloc[0])
+            for (o, q), start in near.items():
+                lo, hi = max(0, start - size[q] // 2), start + size[q] + size[q] // 2
+                left = doc[lo:hi]
+                edge = np.flatnonzero(left == -4)  # where a document ends
+                cut = int(start - lo) + int(size[q]) // 2
+                a = edge[edge < cut].max(initial=-1) + 1
+                b = edge[edge >= cut].min(initial=len(left))
+                n = subsequence(left[a:b], tokens[first[q] : first[q] + size[q]])
+                if n >= run_words and n >= share * size[q]:
+                    out.append((ids[o], items[q], n, n / size[q]))
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item", "common", "share"])
+
+    best = search.encoded.mapInPandas(run, schema).groupBy("doc_id", "item").agg(F.max("common").alias("common"), F.max("share").alias("share"))
     return best.withColumnRenamed("item", "item_id")
 
 

@@ -99,6 +99,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(_table(spark, d, "documents"), _table(spark, d, "eval_passages"))
 
 
+def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share half of a passage's words in order, edited or in part."""
+    return leakage.paraphrases(_table(spark, d, "documents"), _table(spark, d, "eval_passages"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalikes(_table(spark, d, "documents")).selectExpr("id_a AS doc_id_a", "id_b AS doc_id_b")
 

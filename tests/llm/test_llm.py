@@ -387,6 +387,34 @@ def test_leaks(spark):
     assert leakage.leaks(df, ev.limit(0)).count() == 0 and leakage.leaks(df.limit(0), ev).count() == 0
 
 
+def test_paraphrases(spark):
+    rng = random.Random(11)
+    passages = [(i, " ".join(f"p{i}x{k}" for k in range(40))) for i in range(10)]
+    docs = []
+    for i, t in passages:
+        w = t.split()
+        for k in (7, 19, 31):
+            w[k] = "edited"
+        docs.append((i, text(rng, 30) + " " + " ".join(w) + " " + text(rng, 20)))
+    docs += [(50, text(rng, 100)), (51, passages[0][1][:60]), (52, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ev = spark.createDataFrame([(i, t, "dev", "s") for i, t in passages], "item_id bigint, text string, split string, source string")
+    got = {(r["doc_id"], r["item_id"]): r["common"] for r in leakage.paraphrases(df, ev).collect()}
+    assert got == {(i, i): 37 for i in range(10)}
+    assert leakage.paraphrases(df, ev.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_subsequence(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(-1, 6, 30), rng.integers(-1, 6, 45)
+    d = np.zeros((31, 46), int)
+    for i in range(30):
+        for j in range(45):
+            d[i + 1, j + 1] = d[i, j] + 1 if a[i] == b[j] >= 0 else max(d[i, j + 1], d[i + 1, j])
+    assert leakage.subsequence(a, b) == d[30, 45]
+
+
 ALIKE = [
     ("code", "ϲоdе"), ("fine flow", "ﬁne ﬂow"), ("Kelly IBM", "Кellу ΙΒΜ"), ("ABc12", "ＡＢｃ１２"), ("résumé", "résu­mé"), ("a b", "a b"), ("well-known", "well‐known"), ("Ω Å", "Ω Å"),
     ("результат", "pезультaт"), ("x​y", "xy"), ("dog", "ԁоɡ"),
