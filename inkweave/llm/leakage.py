@@ -332,7 +332,8 @@ def paraphrases(docs: DataFrame, evals: DataFrame, share: float = 0.5, run_words
 
     Candidates are documents of which a window is close to one of the passage in the latent space; around it as many words
     as the passage has on either side are compared. Listed are those with at least run_words words in common, in order,
-    and the given share of the passage. The search is approximate: an edit in every window of a passage hides it.
+    and the given share of the passage. The search is approximate: windows
+    with three quarters of their words in place must make up a fifth of the passage.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item bigint, common int, share double"
@@ -348,12 +349,18 @@ def paraphrases(docs: DataFrame, evals: DataFrame, share: float = 0.5, run_words
         held = np.flatnonzero(item >= 0)
         first[item[held[::-1]]] = held[::-1]
         for ids, doc, own, at, place, _ in _hits(batches, sent.value, span, cosine, probes):
+            # of the windows close in the latent space, those with three quarters of their words in place
+            alike = (doc[at[:, None] + np.arange(span)] == tokens[place[:, None] + np.arange(span)]).sum(axis=1) * 4 >= span * 3
+            own, at, place = own[alike], at[alike], place[alike]
+            if not len(own):
+                continue
             k = item[place]
-            # one comparison for each document and passage: where the passage would begin most often
+            # one comparison for each document and passage: where the passage would begin by most windows, if they make up a fifth of it
             begin = at - (place - first[k])
             out = []
-            near = pd.DataFrame({"own": own, "k": k, "begin": begin}).groupby(["own", "k"])["begin"].agg(lambda x: x.mode().iloc[0])
-            for (o, q), start in near.items():
+            near = pd.DataFrame({"own": own, "k": k, "begin": begin, "at": at}).drop_duplicates(["own", "k", "at"]).groupby(["own", "k"], as_index=False).agg(begin=("begin", "median"), n=("at", "size"))
+            near = near[near["n"] * span * 5 >= size[near["k"]]]
+            for o, q, start in zip(near["own"], near["k"], near["begin"].astype(int)):
                 lo, hi = max(0, start - size[q] // 2), start + size[q] + size[q] // 2
                 left = doc[lo:hi]
                 edge = np.flatnonzero(left == -4)  # where a document ends
