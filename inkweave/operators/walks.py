@@ -11,8 +11,13 @@ from inkweave.sources.shared import store
 
 def random_walks(nodes: DataFrame, adj: DataFrame, walks: int, length: int, seed: int = 0) -> DataFrame:
     """(walk, start, path): `walks` walks of up to `length` steps from every node; a step goes to a neighbour of hashed rank, so that a hub's neighbours are never gathered in one row."""
-    w = W.partitionBy("v").orderBy("nbr")
-    ranked = store(adj.withColumn("r", F.row_number().over(w) - 1), "ranked")
+    # a hub's neighbours are ranked in slots, and slots by their counts
+    slotted = adj.withColumn("slot", F.pmod(F.xxhash64("nbr"), F.lit(256)).cast("int"))
+    sizes = slotted.groupBy("v", "slot").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("v").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(W.partitionBy("v", "slot").orderBy("nbr")) - 1
+    ranked = slotted.withColumn("i", inner).join(sizes.withColumn("before", before).drop("n"), ["v", "slot"])
+    ranked = store(ranked.select("v", "nbr", (F.col("i") + F.col("before")).alias("r")), "ranked")
     deg = ranked.groupBy("v").agg(F.count("*").alias("d"))
     at = nodes.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).withColumns({"v": F.col("start"), "path": F.array("start")})
     for k in range(length):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -31,13 +32,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parents[2]
     if root.is_dir():  # not when imported from an archive, which has been sent already
-        tmp = tempfile.mkdtemp(prefix="inkweave-code-")
-        try:
-            stage = Path(tmp) / "stage"
-            shutil.copytree(root / "inkweave", stage / "inkweave", ignore=shutil.ignore_patterns("__pycache__"))
-            name = shutil.make_archive(os.path.join(tmp, "inkweave"), "zip", stage)
-            spark.sparkContext.addPyFile(name)
-        except Exception:
-            shutil.rmtree(tmp, ignore_errors=True)
-            raise
+        tmp = tempfile.mkdtemp(prefix="inkweave-code-")  # on the driver, which serves the archive
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        stage = Path(tmp) / "stage"
+        shutil.copytree(root / "inkweave", stage / "inkweave", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tmp, "inkweave"), "zip", stage))
     _shipped.add(app)

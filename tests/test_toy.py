@@ -130,6 +130,19 @@ def test_stream(spark, tmp_path):
     assert weekly(spark.table("arrived")).count() == 2
 
 
+def test_walks(spark, edges):
+    from inkweave.operators.walks import random_walks
+
+    adj = graph.adjacency(edges)
+    links = {tuple(x) for x in adj.collect()}
+    got = random_walks(spark.range(7), adj, 3, 6).collect()
+    assert len(got) == 21 and all((a, b) in links for r in got for a, b in zip(r["path"], r["path"][1:]))
+    assert all(len(r["path"]) == (1 if r["start"] == 6 else 7) and r["path"][0] == r["start"] for r in got)
+    hub = spark.createDataFrame([(0, i) for i in range(1, 400)], "src bigint, dst bigint")
+    seen = {r["path"][1] for r in random_walks(spark.createDataFrame([(0,)], "id bigint"), graph.adjacency(hub), 2000, 1).collect()}
+    assert len(seen) > 380
+
+
 def test_empty(spark, edges):
     none = edges.limit(0)
     pairs = spark.createDataFrame([(0, 0, 1)], "pair_id bigint, u bigint, v bigint")
