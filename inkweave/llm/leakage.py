@@ -7,6 +7,7 @@ texts, which are few and do not grow; document frequencies and a randomised SVD
 documents, as sums over partitions. Both kinds of window are projected into the latent space; passage windows are
 gathered in cells around centres, a document window is compared with those of the cells nearest to it, and pairs of high
 cosine are candidates. Around each the longest common run of words is measured.
+Edited passages (`paraphrases`) are sought without retrieval, by the words each document has in common with each passage.
 
 Everything sent to the executors belongs to the evaluation side or is a matrix of its words by `rank`; its size is checked.
 """
@@ -245,15 +246,77 @@ def _runs(doc: np.ndarray, at: np.ndarray, tokens: np.ndarray, place: np.ndarray
     return length
 
 
+def _local(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """Rows with the words of a numbered from 0, and their number; all other words leave the rows of b, -1 stands for them in a."""
+    flat, held = np.concatenate(a), np.concatenate([np.empty(0, np.int32), *b])
+    known = np.unique(flat[flat >= 0])
+    top = int(known.max(initial=-1)) + 1
+    to = np.full(top + 1, -1, np.int64)  # the last for all other words
+    to[known] = np.arange(len(known))
+    number = lambda x: to[np.where((x < 0) | (x > top), top, x)]
+    rows = number(held)
+    ends = np.cumsum([len(x) for x in b])
+    kept = np.concatenate([[0], np.cumsum(rows >= 0)])[np.concatenate([[0], ends]).astype(int)]
+    rows = rows[rows >= 0]
+    return np.split(number(flat), np.cumsum([len(x) for x in a])[:-1]), [rows[x:y] for x, y in zip(kept, kept[1:])], len(known)
+
+
+def subsequences(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of the rows a[i] and b[j] of each pair; negative numbers equal nothing.
+
+    A row of a is a string of bits, one a place; a word of b moves them all (Hyyro), and all pairs at once.
+    """
+    a, b, n = _local(a, b)
+    sizes, parts = np.array([len(x) for x in a]), max(1, -(-max(len(x) for x in a) // 64))
+    row, at = np.repeat(np.arange(len(a)), sizes), np.concatenate([np.arange(len(x)) for x in a])
+    word = np.concatenate(a)
+    bit = np.uint64(1) << (at % 64).astype(np.uint64)
+    places, inside = np.zeros((parts, len(a) * max(n, 1)), np.uint64), np.zeros((parts, len(a)), np.uint64)
+    np.bitwise_or.at(inside, (at // 64, row), bit)
+    np.bitwise_or.at(places, ((at // 64)[word >= 0], (row * max(n, 1) + word)[word >= 0]), bit[word >= 0])
+    length = np.array([len(x) for x in b], np.int64)
+    order = np.argsort(-length[j], kind="stable")
+    i, j = np.asarray(i)[order], np.asarray(j)[order]
+    start, flat = (np.cumsum(length) - length)[j], np.concatenate([np.empty(0, np.int64), *b])
+    live = np.searchsorted(-length[j], -np.arange(length.max(initial=0)), side="left")
+    still = inside[:, i]  # places at which no longer subsequence ends than before them
+    for t, m in enumerate(live.tolist()):
+        cell = i[:m] * max(n, 1) + flat[start[:m] + t]
+        carry = None
+        for k in range(parts):
+            v = still[k, :m]
+            hit = v & places[k, cell]
+            up = v + hit
+            over = up < v
+            if carry is not None:
+                up += carry
+                over |= up < carry
+            carry = over.astype(np.uint64)
+            still[k, :m] = up | (v ^ hit)
+    out = np.empty(len(i), np.int64)
+    out[order] = sizes[i] - np.bitwise_count(still & inside[:, i]).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Words that each of b (rows) has in common with each of a (columns) in any order: no fewer than in order."""
+    a, b, n = _local(a, b)
+    have = np.zeros((n, len(a)), np.int32)
+    for k, x in enumerate(a):
+        np.add.at(have[:, k], x[x >= 0], 1)
+    seg, width = np.repeat(np.arange(len(b)), [len(x) for x in b]), max(n, 1)
+    key, times = np.unique(seg * width + np.concatenate([np.empty(0, np.int64), *b]), return_counts=True)
+    word, times = key % width, times.astype(np.int32)[:, None]
+    cut = np.searchsorted(key // width, np.arange(len(b) + 1))
+    out = np.zeros((len(b), len(a)), np.int64)
+    for r, (lo, hi) in enumerate(zip(cut, cut[1:])):
+        np.minimum(have[word[lo:hi]], times[lo:hi]).sum(axis=0, out=out[r])
+    return out
+
+
 def subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence; negative numbers equal nothing."""
-    if len(a) > len(b):
-        a, b = b, a
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        hit = np.concatenate([[0], row[:-1] + (b == x)]) if x >= 0 else row
-        row = np.maximum.accumulate(np.maximum(row, hit))
-    return int(row[-1])
+    return int(subsequences([a], [b], np.zeros(1, np.int64), np.zeros(1, np.int64))[0])
 
 
 class _Search(NamedTuple):
@@ -327,53 +390,75 @@ def leaks(docs: DataFrame, evals: DataFrame, run_words: int = 15, rank: int = 32
     return best.withColumnRenamed("item", "item_id")
 
 
-def paraphrases(docs: DataFrame, evals: DataFrame, share: float = 0.5, run_words: int = 15, rank: int = 32, cosine: float = 0.9, probes: int = 4) -> DataFrame:
+def _lots(sizes: np.ndarray, least: int, bits: int = 8192) -> list[np.ndarray]:
+    """Rows of the passages of at least that many words, in lots of similar length and a bounded number of words."""
+    scale = np.ceil(2 * np.log2(np.maximum(sizes, 1))).astype(int)
+    out = []
+    for s in np.unique(scale[sizes >= least]):
+        mine = np.flatnonzero((scale == s) & (sizes >= least))
+        group = np.cumsum(sizes[mine]) // bits
+        out += [mine[group == g] for g in np.unique(group)]
+    return out
+
+
+def _stretches(n: int, most: int) -> range:
+    """Begins of stretches of 3 * most words, of which one holds any given stretch of 2 * most words of a text of n words."""
+    return range(0, max(0, n - 2 * most) + 1, most)
+
+
+def edits(docs: list[np.ndarray], texts: list[np.ndarray], lots: list[np.ndarray], share: float, run_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of docs, row of texts, words in common, in order) of the stretches of docs that have enough of them."""
+    for lot in lots:
+        size = np.array([len(texts[q]) for q in lot])
+        need, most = np.maximum(run_words, share * size), int(size.max())
+        # every stretch of a passage's own length that begins here lies within these
+        wide = [(o, at) for o, x in enumerate(docs) for at in _stretches(len(x), most)]
+        own, rows = [texts[q] for q in lot], [docs[o][at : at + 4 * most] for o, at in wide]
+        r, k = np.nonzero(shared(own, rows) >= need)
+        if not len(r):
+            continue
+        enough = subsequences(own, rows, k, r) >= need[k]
+        asked = set()
+        for (o, at), k_ in ((wide[x], y) for x, y in zip(r[enough].tolist(), k[enough].tolist())):
+            begins = _stretches(len(docs[o]), most)
+            asked.update((o, k_, x) for x in _stretches(len(docs[o]), int(size[k_])) if at <= x and (at == begins[-1] or x < at + most))
+        if not asked:
+            continue
+        o, k, begin = (np.array(x) for x in zip(*sorted(asked)))
+        n = subsequences(own, [docs[x][y : y + 3 * size[z]] for x, z, y in zip(o, k, begin)], k, np.arange(len(k)))
+        ok = n >= need[k]
+        yield o[ok], lot[k[ok]], n[ok]
+
+
+def paraphrases(docs: DataFrame, evals: DataFrame, share: float = 0.5, run_words: int = 15) -> DataFrame:
     """(doc_id, item_id, common, share): documents that hold a passage in part or edited, by the longest common subsequence of words.
 
-    Candidates are documents of which a window is close to one of the passage in the latent space; around it as many words
-    as the passage has on either side are compared. Listed are those with at least run_words words in common, in order,
-    and the given share of the passage. The search is approximate: windows
-    with three quarters of their words in place must make up a fifth of the passage.
+    Listed is every document that has, within a stretch of twice the words of the passage, at least run_words words and the given
+    share of the passage in common with it, in order. Compared are stretches of three times the passage's words that begin at
+    multiples of its length, so one of them holds any such stretch; common is the most found in one. Nothing is left out:
+    stretches are passed over only if they share too few words with the passage in any order. Null or empty texts are in no row.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item bigint, common int, share double"
-    search = _prepared(docs, evals, run_words, rank)
-    if search is None:
+    p = _passages(evals, Former(tables(spark)))
+    if not p.vocab:
         return spark.createDataFrame([], schema.replace("item ", "item_id "))
-    sent, span = search.sent, search.span
+    encoded = store(_encoded(docs, p.vocab), "encoded")
+    held = np.flatnonzero(p.item >= 0)
+    size = np.bincount(p.item[held], minlength=len(p.items))
+    texts = np.split(p.tokens[held], np.cumsum(size)[:-1])
+    sent = spark.sparkContext.broadcast((np.array(p.items, dtype=np.int64), texts, _lots(size, run_words)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, item, items, _, _ = sent.value
-        size = np.bincount(item[item >= 0], minlength=len(items))
-        first = np.zeros(len(items), dtype=np.int64)
-        held = np.flatnonzero(item >= 0)
-        first[item[held[::-1]]] = held[::-1]
-        for ids, doc, own, at, place, _ in _hits(batches, sent.value, span, cosine, probes):
-            # of the windows close in the latent space, those with three quarters of their words in place
-            alike = (doc[at[:, None] + np.arange(span)] == tokens[place[:, None] + np.arange(span)]).sum(axis=1) * 4 >= span * 3
-            own, at, place = own[alike], at[alike], place[alike]
-            if not len(own):
-                continue
-            k = item[place]
-            # one comparison for each document and passage: where the passage would begin by most windows, if they make up a fifth of it
-            begin = at - (place - first[k])
-            out = []
-            near = pd.DataFrame({"own": own, "k": k, "begin": begin, "at": at}).drop_duplicates(["own", "k", "at"]).groupby(["own", "k"], as_index=False).agg(begin=("begin", "median"), n=("at", "size"))
-            near = near[near["n"] * span * 5 >= size[near["k"]]]
-            for o, q, start in zip(near["own"], near["k"], near["begin"].astype(int)):
-                lo, hi = max(0, start - size[q] // 2), start + size[q] + size[q] // 2
-                left = doc[lo:hi]
-                edge = np.flatnonzero(left == -4)  # where a document ends
-                cut = int(start - lo) + int(size[q]) // 2
-                a = edge[edge < cut].max(initial=-1) + 1
-                b = edge[edge >= cut].min(initial=len(left))
-                n = subsequence(left[a:b], tokens[first[q] : first[q] + size[q]])
-                if n >= run_words and n >= share * size[q]:
-                    out.append((ids[o], items[q], n, n / size[q]))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item", "common", "share"])
-
-    best = search.encoded.mapInPandas(run, schema).groupBy("doc_id", "item").agg(F.max("common").alias("common"), F.max("share").alias("share"))
+        items, texts, lots = sent.value
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                ids = part["doc_id"].to_numpy()
+                for o, q, n in edits([np.frombuffer(x, dtype=np.int32) for x in part["ids"]], texts, lots, share, run_words):
+                    yield pd.DataFrame({"doc_id": ids[o], "item": items[q], "common": n, "share": n / [len(texts[x]) for x in q]})
+
+    best = encoded.mapInPandas(run, schema).groupBy("doc_id", "item").agg(F.max("common").alias("common"), F.max("share").alias("share"))
     return best.withColumnRenamed("item", "item_id")
 
 

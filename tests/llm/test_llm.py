@@ -404,6 +404,42 @@ def test_paraphrases(spark):
     assert leakage.paraphrases(df, ev.limit(0)).count() == 0
 
 
+def paraphrased(spark, docs, passages):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    ev = spark.createDataFrame([(i, t, "dev", "s") for i, t in enumerate(passages)], "item_id bigint, text string, split string, source string")
+    return {(r["doc_id"], r["item_id"]): r["common"] for r in leakage.paraphrases(df, ev).collect()}
+
+
+def test_paraphrases_out_of_place(spark):
+    rng = random.Random(12)
+    passages = [" ".join(f"p{i}x{k}" for k in range(64)) for i in range(4)]
+    docs, want = [], {}
+    for i, t in enumerate(passages):
+        w = t.split()
+        for kept, x in [(64, [y for k, v in enumerate(w) for y in ((v, "new") if k % 3 == 2 else (v,))]), (48, [v for k, v in enumerate(w) if k % 4 < 3]), (32, [v if k % 2 else "new" for k, v in enumerate(w)])]:
+            want[len(docs), i] = kept
+            docs.append(" ".join([text(rng, rng.randint(0, 90)), *x, text(rng, 40)]))
+    docs += [" ".join(v if k % 2 and k > 1 else "new" for k, v in enumerate(passages[0].split()))]  # 31 of 64
+    assert paraphrased(spark, docs, passages) == want
+
+
+def test_subsequences_of_many():
+    rng = np.random.default_rng(8)
+    a = [rng.integers(-1, 9, n) for n in (1, 40, 64, 65, 150, 0)]
+    b = [rng.integers(-2, 12, n) for n in (0, 3, 70, 200)]
+    i, j = (x.ravel() for x in np.meshgrid(range(6), range(4)))
+    got = leakage.subsequences(a, b, i, j)
+    most = leakage.shared(a, b)
+    for x, y, n in zip(i, j, got):
+        row = [0] * (len(b[y]) + 1)
+        for v in a[x]:
+            new = [0]
+            for k, u in enumerate(b[y]):
+                new.append(row[k] + 1 if u == v >= 0 else max(row[k + 1], new[-1]))
+            row = new
+        assert n == row[-1] <= most[y, x]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_subsequence(seed):
     rng = np.random.default_rng(seed)
