@@ -423,6 +423,23 @@ def test_paraphrases_out_of_place(spark):
     assert paraphrased(spark, docs, passages) == want
 
 
+def test_paraphrases_twice(spark):
+    rng = random.Random(13)
+    passages = [" ".join(f"p{i}x{k}" for k in range(64)) for i in range(3)] + [" ".join(f"long{k}" for k in range(300))]
+    docs, want = [], {}
+    for gap in (150, 275, 400, 600):
+        w = [passages[1].split() for _ in range(2)]
+        for x, n in zip(w, (9, 3)):
+            for k in rng.sample(range(64), n):
+                x[k] = "edited"
+        want[len(docs), 1] = 61
+        docs.append(" ".join([text(rng, gap), *w[0], text(rng, gap), *w[1], text(rng, 30)]))
+    want[len(docs), 3] = 300
+    docs.append(" ".join([text(rng, 2500), passages[3]]))
+    docs.append(passages[0][: len(passages[0]) // 3] + text(rng, 500) + passages[0][len(passages[0]) // 3 : len(passages[0]) // 2])  # too far apart
+    assert paraphrased(spark, docs, passages) == want
+
+
 def test_subsequences_of_many():
     rng = np.random.default_rng(8)
     a = [rng.integers(-1, 9, n) for n in (1, 40, 64, 65, 150, 0)]
