@@ -303,6 +303,22 @@ def test_names(spark):
     assert names.variants(index.limit(0), authors, nick).count() == 0
 
 
+def test_hot_block(spark):
+    """A block of 2 100 spellings: an initial at the same place, a surname typo and a place one typo apart are still met."""
+    cols = "author_idx bigint, freq bigint, suffix string, place string, given string, typed string, how string, middles array<string>, surname string"
+    rows = [(i, 1, "", f"town{i}", f"j{i}", f"j{i}", "full", [], "smithson") for i in range(2100)]
+    rows += [(9000, 1, "", "town7", "j", "j", "initial", [], "smithson"), (9001, 1, "", "", "j8", "j8", "full", [], "smithsn"), (9002, 1, "", "twn9", "j9", "j9", "full", [], "smithson")]
+    got = {tuple(r) for r in names._candidates(spark.createDataFrame(rows, cols)).where("y >= 9000 OR y = 5").collect()}
+    assert {(7, 9000), (8, 9001), (9, 9002)} <= got and len(got) == 5 + 2100 + 2101 + 2102
+
+
+def test_within(spark):
+    rows = [("a", i) for i in range(23)] + [("b", 1), ("c", 4), ("c", 2)]
+    got = groups.within(spark.createDataFrame(rows, "key string, id bigint"), "key", "id", most=5).collect()
+    want = {("a", i, j) for j in range(23) for i in range(j)} | {("c", 2, 4)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_near():
     assert names.near("abcd", "abdc") and names.near("abcd", "abcdd") and names.near("abcd", "abd") and not names.near("abcd", "badc")
 
