@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.llm.groups import slotted, within
 from inkweave.llm.words import Hasher, shingles, words
 from inkweave.sources.shared import store
 
@@ -185,20 +186,24 @@ def _members(recs: DataFrame) -> DataFrame:
     return ids.join(heads, "key").select("rep", "id", "copies")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "abstract", n: int = 3, t: float = 0.5, expand: int = 64) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "abstract", n: int = 3, t: float = 0.5, expand: int | None = None) -> DataFrame:
     """Linked pairs (id_a, id_b), id_a < id_b, of different ids with similarity of at least t.
 
-    Classes of up to `expand` equal records are expanded into all their pairs; a larger class is given as links from its
-    representative to each member, and only the representative carries its links to other classes, which holds the same
-    links without their square. Null ids, null texts and texts of fewer than n words are in no pair.
+    Classes of equal sets are expanded into all their pairs, and all members carry the links to other classes; large classes in
+    parts that meet pairwise. Where `expand` is given, a class of more than that many records is given as links from its
+    representative to each member, and only the representative carries links to other classes. Null ids, null texts and
+    texts of fewer than n words are in no pair.
     """
     members, links = classes(df, id_col, text, n, t)
-    shown = members.where((F.col("copies") <= expand) | (F.col("id") == F.col("rep"))).select("rep", "id")
-    across = links.join(shown.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), "id_a").join(shown.select(F.col("rep").alias("id_b"), F.col("id").alias("y")), "id_b").select("x", "y")
-    several = members.where("copies > 1")
-    small = several.where(F.col("copies") <= expand)
-    inner = small.select("rep", F.col("id").alias("x")).join(small.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    star = several.where((F.col("copies") > expand) & (F.col("id") != F.col("rep"))).selectExpr("rep AS x", "id AS y")
+    few = F.lit(True) if expand is None else F.col("copies") <= expand
+    shown = slotted(members.where(few | (F.col("id") == F.col("rep"))).select("rep", "id"), "rep", "id")
+    slots = shown.groupBy("rep").agg(F.first("slots").alias("slots"))
+    part = lambda end: slots.select(F.col("rep").alias(end), F.explode(F.expr("sequence(0, slots - 1)")).alias(f"slot_{end}"))
+    held = lambda end, name: shown.select(F.col("rep").alias(end), F.col("slot").alias(f"slot_{end}"), F.col("id").alias(name))
+    cells = links.join(part("id_a"), "id_a").join(part("id_b"), "id_b")
+    across = cells.join(held("id_a", "x"), ["id_a", "slot_id_a"]).join(held("id_b", "y"), ["id_b", "slot_id_b"]).select("x", "y")
+    inner = within(members.where("copies > 1").where(few).select("rep", "id"), "rep", "id").select("a", "b")
+    star = members.where(~few & (F.col("id") != F.col("rep"))).selectExpr("rep AS x", "id AS y")
     return across.union(inner).union(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

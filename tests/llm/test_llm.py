@@ -78,6 +78,13 @@ def test_near_duplicates_star(spark):
     assert got == {(0, i) for i in range(1, 10)}
 
 
+def test_near_duplicates_many_copies(spark):
+    rows = [(i, "one two three four") for i in range(70)] + [(i, "one two three four five") for i in range(70, 73)]
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    want = {(i, j) for j in range(73) for i in range(j)}
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
 def test_groups(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "a b c d e f g h i"), (4, "z y x w v u"), (5, "z")]
     got = {r["id"]: (r["class_id"], r["group_id"], r["links"]) for r in neardup.groups(frame(spark, rows), n=5, t=0.8).collect()}
@@ -312,6 +319,12 @@ def test_hot_block(spark):
     assert {(7, 9000), (8, 9001), (9, 9002)} <= got and len(got) == 5 + 2100 + 2101 + 2102
 
 
+def test_many_spellings(spark, monkeypatch):
+    who = spark.createDataFrame([(i, 0) for i in range(1001)], "author_idx bigint, person bigint")
+    monkeypatch.setattr(names, "people", lambda *_: who)
+    assert names.variants(None, None, None).distinct().count() == 500_500
+
+
 def test_within(spark):
     rows = [("a", i) for i in range(23)] + [("b", 1), ("c", 4), ("c", 2)]
     got = groups.within(spark.createDataFrame(rows, "key string, id bigint"), "key", "id", most=5).collect()
