@@ -87,7 +87,7 @@ def compare(a_size: np.ndarray, a_bits: np.ndarray, b_size: np.ndarray, b_bits:
             sb = b_size[j0 : j0 + _TILE_B]
             if sb[0] * t > sa[-1] or sa[0] * t > sb[-1]:
                 continue
-            bound = ((sa[:, None] + sb[None, :]) * ratio + 1e-9).astype(np.int16)
+            bound = np.minimum((sa[:, None].astype(np.int64) + sb[None, :]) * ratio + 1e-9, BITS).astype(np.int16)  # no distance is beyond BITS
             keep = None
             for w in levels:
                 va, vb = folded[w]

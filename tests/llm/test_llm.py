@@ -85,6 +85,13 @@ def test_near_duplicates_many_copies(spark):
     assert len(got) == len(want) and {tuple(x) for x in got} == want
 
 
+def test_near_duplicates_long(spark):
+    rng = random.Random(3)
+    w = [str(rng.randrange(10**9)) for _ in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-40])), (3, " ".join(reversed(w)))]
+    assert [tuple(r) for r in neardup.near_duplicates(frame(spark, rows)).collect()] == [(1, 2)]
+
+
 def test_groups(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "a b c d e f g h i"), (4, "z y x w v u"), (5, "z")]
     got = {r["id"]: (r["class_id"], r["group_id"], r["links"]) for r in neardup.groups(frame(spark, rows), n=5, t=0.8).collect()}
