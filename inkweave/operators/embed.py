@@ -1,14 +1,19 @@
-"""Pairs of vectors, nearest vectors, and kernels over bounded sets."""
+"""Pairs of vectors, and exact comparison of all vectors in blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from inkweave.functions.vectors import cosine, squared_distance
+from inkweave.functions.vectors import cosine
+from inkweave.sources.shared import parallel
 
-MOST_EXACT = 20_000
+_ROWS = 2048
 
 
 def on_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -16,26 +21,79 @@ def on_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(vectors.toDF("u", "hu"), "u").join(vectors.toDF("v", "hv"), "v")
 
 
-def _bounded(vectors: DataFrame) -> DataFrame:
-    if vectors.count() > MOST_EXACT:
-        raise ValueError(f"exact comparison of all pairs is for up to {MOST_EXACT} vectors; use a permutation index")
-    return vectors
+def _compared(vectors: DataFrame, schema: str, cell: Callable[..., pd.DataFrame], rows: int = _ROWS) -> DataFrame:
+    """Rows of cell(ids, h, asks, ids, h, asks, same) over every two blocks of vectors (id, h, asks), the two of them once.
+
+    Blocks of about `rows` vectors travel as one row to each cell they are in, so n / rows copies of the vectors are shuffled and
+    work is quadratic, in cells of bounded size. All vectors have one length.
+    """
+    spark = vectors.sparkSession
+    blocks = max(1, -(-vectors.count() // rows))
+
+    def pack(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        h = np.array([np.asarray(x, dtype=np.float64) for x in b["h"]])
+        return pd.DataFrame({"block": [key[0]], "ids": [b["id"].to_numpy(np.int64).tobytes()], "h": [h.tobytes()], "asks": [b["asks"].to_numpy(bool).tobytes()]})
+
+    packed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "h", "asks").groupBy("block").applyInPandas(pack, "block bigint, ids binary, h binary, asks binary")
+    sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "ids", "h", "asks")
+
+    def run(c: pd.DataFrame) -> pd.DataFrame:
+        side = []
+        for r in c.sort_values("block").itertuples():
+            ids = np.frombuffer(r.ids, np.int64)
+            side.append((ids, np.frombuffer(r.h, np.float64).reshape(len(ids), -1), np.frombuffer(r.asks, bool)))
+        return cell(*side[0], *side[-1], len(side) == 1)
+
+    # the cell (lo, hi) is missing one side where a hash leaves a block empty: that is no pair of blocks
+    whole = sent.withColumn("sides", F.count("*").over(W.partitionBy("lo", "hi"))).where("sides = 2 OR lo = hi").drop("sides")
+    return whole.repartition(max(parallel(spark), min(blocks * (blocks + 1) // 2, 8192)), "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema)
+
+
+def _asking(vectors: DataFrame) -> DataFrame:
+    return vectors.select("id", "h", "asks" if "asks" in vectors.columns else F.lit(True).alias("asks"))
+
+
+def nearest(vectors: DataFrame, k: int, by: str = "distance") -> DataFrame:
+    """(id, other, similarity): the k nearest of every vector (id, h) that asks (all, without a column asks), exactly: by squared Euclidean distance (similarity is its negative) or by the dot product (`cosine`, for unit vectors); to 9 digits, ties by id."""
+
+    def best(a: np.ndarray, ids: np.ndarray, others: np.ndarray, asks: np.ndarray) -> pd.DataFrame:
+        i = np.flatnonzero(asks)
+        s = np.round(a[i], 9)
+        s[ids[i][:, None] == others[None, :]] = -np.inf
+        out = np.sort(-s, axis=1)[:, min(k, s.shape[1]) - 1]
+        r, c = np.nonzero((-s <= out[:, None]) & np.isfinite(s))
+        o = np.lexsort((others[c], -s[r, c], r))
+        r, c = r[o], c[o]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[keep], c[keep]
+        return pd.DataFrame({"id": ids[i[r]], "other": others[c], "similarity": a[i[r], c]})
+
+    def cell(ia, a, qa, ib, b, qb, same) -> pd.DataFrame:
+        s = a @ b.T
+        if by != "cosine":
+            s = 2 * s - (a * a).sum(axis=1)[:, None] - (b * b).sum(axis=1)[None, :]
+        out = [best(s, ia, ib, qa)] + ([] if same else [best(s.T, ib, ia, qb)])
+        return pd.concat(out)
+
+    found = _compared(_asking(vectors), "id bigint, other bigint, similarity double", cell)
+    w = W.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "other")  # k from each block
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
-    """(a, b), a < b: one is among the k nearest (Euclidean, ties by id) of the other; exact, for a bounded number of vectors."""
-    x = _bounded(vectors)
-    both = x.toDF("a", "ha").join(F.broadcast(x.toDF("b", "hb")), F.col("a") != F.col("b"))  # bounded above
-    w = W.partitionBy("a").orderBy(F.round("d", 9), "b")
-    near = both.select("a", "b", squared_distance("ha", "hb").alias("d")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """(a, b), a < b: one is among the k nearest (Euclidean, ties by id) of the other; exact, in blocks."""
+    return nearest(vectors, k).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def gaussian_kernel(vectors: DataFrame, sigma: float) -> DataFrame:
-    """(a, b, k), a < b: exp(-d^2 / 2 sigma^2); exact, for a bounded number of vectors."""
-    x = _bounded(vectors)
-    both = x.toDF("a", "ha").join(F.broadcast(x.toDF("b", "hb")), F.col("a") < F.col("b"))
-    return both.select("a", "b", F.exp(-squared_distance("ha", "hb") / (2 * sigma * sigma)).alias("k"))
+    """(a, b, k), a < b: exp(-d^2 / 2 sigma^2) of all pairs, in blocks; the result is quadratic by its nature."""
+
+    def cell(ia, a, _qa, ib, b, _qb, same) -> pd.DataFrame:
+        d = np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0)
+        i, j = np.triu_indices(len(ia), 1) if same else (x.ravel() for x in np.indices(d.shape))
+        return pd.DataFrame({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j]), "k": np.exp(-d[i, j] / (2 * sigma * sigma))})
+
+    return _compared(_asking(vectors), "a bigint, b bigint, k double", cell)
 
 
 def most_similar(vectors: DataFrame, to: int, n: int) -> DataFrame:

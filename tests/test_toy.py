@@ -143,6 +143,29 @@ def test_walks(spark, edges):
     assert len(seen) > 380
 
 
+def test_all_pairs_in_blocks(spark):
+    import numpy as np
+
+    from inkweave.operators import embed
+
+    rng = np.random.default_rng(0)
+    h = np.round(rng.standard_normal((300, 4)), 1)
+    h[7] = h[8]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(h)], "id bigint, h array<double>")
+    d = ((h[:, None] - h[None]) ** 2).sum(axis=2)
+    embed_rows = embed._compared.__defaults__
+    embed._compared.__defaults__ = (64,)
+    try:
+        near = {(r["id"], r["other"]) for r in embed.nearest(df, 3).collect()}
+        kernel = {(r["a"], r["b"]): r["k"] for r in embed.gaussian_kernel(df, 1.0).collect()}
+        assert embed.knn_graph(df.limit(0), 3).count() == 0
+    finally:
+        embed._compared.__defaults__ = embed_rows
+    order = [sorted((x for x in range(300) if x != i), key=lambda x: (round(d[i, x], 9), x))[:3] for i in range(300)]
+    assert near == {(i, j) for i in range(300) for j in order[i]}
+    assert len(kernel) == 300 * 299 // 2 and all(abs(k - math.exp(-d[a, b] / 2)) < 1e-9 for (a, b), k in kernel.items())
+
+
 def test_empty(spark, edges):
     none = edges.limit(0)
     pairs = spark.createDataFrame([(0, 0, 1)], "pair_id bigint, u bigint, v bigint")
