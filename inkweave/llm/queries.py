@@ -19,13 +19,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five papers most similar to every paper whose id is divisible by 100, by hidden state."""
-    return neighbours.neighbours(_table(spark, d, "emb"), asks="id % 100 = 0", length=32, lists=8, share=0.5)
+    return neighbours.neighbours(_table(spark, d, "emb"), asks="id % 100 = 0")
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     """The same by term counts."""
     vectors = neighbours.term_vectors(_table(spark, d, "doc_term"), _table(spark, d, "cora_vocab"))
-    return neighbours.neighbours(vectors, asks="id % 100 = 0", length=32, lists=8, share=0.5)
+    return neighbours.neighbours(vectors, asks="id % 100 = 0")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

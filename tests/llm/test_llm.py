@@ -223,16 +223,41 @@ def cosines(rows):
     return ids, np.round(h @ h.T, 6)
 
 
-def test_neighbours_recall(spark):
-    rng = np.random.default_rng(1)
-    centres = rng.standard_normal((40, 16))
-    rows = [(i, (centres[i % 40] + 0.3 * rng.standard_normal(16)).tolist()) for i in range(1500)]
+def true_nearest(rows, k, asks):
+    """(id, other) and the similarity of the k-th of each id."""
     ids, s = cosines(rows)
     np.fill_diagonal(s, -2)
+    return {int(ids[i]): np.sort(s[i])[-k] for i in range(len(ids)) if asks(int(ids[i]))}
+
+
+@pytest.mark.parametrize("spread", [0.3, 2.0])
+def test_neighbours_recall(spark, spread):
+    # clustered vectors, and nearly uniform ones, whose nearest are hardly nearer than the rest
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 32))
+    rows = [(i, (centres[i % 40] + spread * rng.standard_normal(32)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, h array<double>")
+    kth = true_nearest(rows, 5, lambda i: i % 20 == 0)
+    for exact in (False, True):
+        got = neighbours.neighbours(df, asks="id % 20 = 0", exact=exact).collect()
+        assert len(got) == 5 * len(kth)
+        met = np.mean([r["similarity"] >= kth[r["id"]] - 1e-6 for r in got])
+        assert met == 1 if exact else met >= 0.9
+
+
+def test_neighbours_widths(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(10 + i, [1.0, float(i), 2.0]) for i in range(5)]
     df = spark.createDataFrame(rows, "id bigint, h array<double>")
-    got = {(r["id"], r["other"]) for r in neighbours.neighbours(df, asks="id % 100 = 0", length=32, lists=8, share=0.5).collect()}
-    want = {(i, int(j)) for i in range(0, 1500, 100) for j in np.argsort(-s[i], kind="stable")[:5]}
-    assert len(want & got) >= 0.9 * len(want) and len(got) == len(want)
+    got = {(r["id"], r["other"]) for r in neighbours.neighbours(df, k=4).collect()}
+    assert all((a < 10) == (b < 10) for a, b in got) and {a for a, _ in got} == {i for i, _ in rows} and len(got) == 6 * 4 + 5 * 4
+
+
+def test_footrule():
+    rng = np.random.default_rng(0)
+    a, b = (np.stack([rng.permutation(30)[:8] for _ in range(40)]) for _ in range(2))
+    at = lambda p, x: p.tolist().index(x) if x in p else len(p)
+    for p, q, s in zip(a, b, neighbours.similarity(a, b)):
+        assert sum(abs(at(p, x) - at(q, x)) for x in set(p) | set(q)) == 8 * 9 - 2 * s
 
 
 def test_neighbours_awkward(spark):
