@@ -6,11 +6,12 @@ never exceeds the size of the sets' symmetric difference, and a Jaccard similari
 strips is compared tile by tile with numpy exclusive-or and bit counts, tile pairs whose populations differ beyond the
 radius being skipped. Nothing within the bound is lost; what passes is verified on the sets themselves.
 
-Records with equal sets form a class, which is compared once. Signatures have 2048 bits and are folded (halves combined
-by exclusive-or, which keeps the bound) to the width a tile needs.
+Records with equal sets form a class, which is compared once. A signature has some three bits or more for each shingle,
+however many there are, so unrelated sets of any size are told apart; a strip holds records of one width, and where two
+widths meet the wider is folded (halves combined by exclusive-or, which keeps the bound).
 
 Work grows with the square of the number of distinct classes, about 10 ns a pair and core; the signatures travel once per
-strip, not once per pair.
+strip, not once per pair. The driver sees one row a strip, some 30 000 records.
 """
 
 from __future__ import annotations
@@ -27,8 +28,23 @@ from inkweave.llm.groups import slotted, within
 from inkweave.llm.words import Hasher, shingles, words
 from inkweave.sources.shared import store
 
-BITS = 2048
 _TILE_A, _TILE_B = 128, 2048
+_STRIP_BYTES = 32 << 20
+MOST_STRIPS = 1_000_000
+
+
+def _width(size: int) -> int:
+    """64-bit words such that unrelated sets of this size are told apart."""
+    w = 4
+    while w * 64 < 3.2 * size:
+        w *= 2
+    return w
+
+
+def signature(sh: np.ndarray) -> np.ndarray:
+    """The 64-bit words of the signature of distinct 64-bit shingles."""
+    bits = 64 * _width(len(sh))
+    return np.packbits((np.bincount((sh >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def signatures(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
@@ -47,12 +63,11 @@ def signatures(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
                 if len(sh) == 0:
                     continue
                 raw = sh.tobytes()
-                bit = np.bincount((sh >> np.uint64(7)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
                 out["id"].append(i)
                 out["key"].append(hashlib.blake2b(raw, digest_size=16).digest())
                 out["size"].append(len(sh))
                 out["sh"].append(sh.view(np.int64))
-                out["bits"].append(np.packbits(bit.astype(np.uint8)).tobytes())
+                out["bits"].append(signature(sh).tobytes())
             yield pd.DataFrame(out)
 
     return rows.mapInPandas(run, "id bigint, key binary, size int, sh array<bigint>, bits binary")
@@ -66,19 +81,12 @@ def fold(bits: np.ndarray, to: int) -> np.ndarray:
     return bits
 
 
-def _width(size: int) -> int:
-    """64-bit words such that unrelated sets of this size are told apart."""
-    w = 4
-    while w * 64 < 3.2 * size and w < BITS // 64:
-        w *= 2
-    return w
-
-
 def compare(a_size: np.ndarray, a_bits: np.ndarray, b_size: np.ndarray, b_bits: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) with signature distance within the bound of similarity t; both sides sorted by size. same: j > i only."""
     ratio = (1 - t) / (1 + t)
     full = min(a_bits.shape[1], b_bits.shape[1])
-    levels = [w for w in (4, 8, 16, 32) if w <= full]
+    levels = [w for w in (full // 8, full // 4, full // 2, full) if w >= min(4, full)]
+    counter = np.int16 if 64 * full < 1 << 15 else np.int32
     folded = {w: (np.ascontiguousarray(fold(a_bits, w).T), np.ascontiguousarray(fold(b_bits, w).T)) for w in levels}
     found_i, found_j = [], []
     for i0 in range(0, len(a_size), _TILE_A):
@@ -87,12 +95,12 @@ def compare(a_size: np.ndarray, a_bits: np.ndarray, b_size: np.ndarray, b_bits:
             sb = b_size[j0 : j0 + _TILE_B]
             if sb[0] * t > sa[-1] or sa[0] * t > sb[-1]:
                 continue
-            bound = np.minimum((sa[:, None].astype(np.int64) + sb[None, :]) * ratio + 1e-9, BITS).astype(np.int16)  # no distance is beyond BITS
+            bound = np.minimum((sa[:, None].astype(np.int64) + sb[None, :]) * ratio + 1e-9, 64 * full).astype(counter)  # no distance is beyond the width
             keep = None
             for w in levels:
                 va, vb = folded[w]
                 if keep is None or len(keep[0]) > sa.size * sb.size // 50:
-                    d = np.zeros((len(sa), len(sb)), np.int16)
+                    d = np.zeros((len(sa), len(sb)), counter)
                     for k in range(w):
                         d += np.bitwise_count(va[k, i0 : i0 + _TILE_A, None] ^ vb[k, None, j0 : j0 + _TILE_B])
                     keep = np.nonzero(d <= bound)
@@ -112,24 +120,34 @@ def compare(a_size: np.ndarray, a_bits: np.ndarray, b_size: np.ndarray, b_bits:
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _strips(reps: DataFrame, strips: int) -> DataFrame:
-    """One row per strip part: records of similar population packed together, sorted, with signatures as wide as they need."""
+def _strips(reps: DataFrame, parts: int, rows: int) -> DataFrame:
+    """One row per strip: up to `rows` records of similar population and one width of signature, sorted."""
+
+    def packed(part: int, k: int, width: int, held: list[pd.DataFrame]) -> pd.DataFrame:
+        c = pd.concat(held)
+        return pd.DataFrame({"part": [part], "k": [k], "width": [width], "least": [int(c["size"].iloc[0])], "most": [int(c["size"].iloc[-1])], "ids": [c["id"].to_numpy(np.int64).tobytes()], "sizes": [c["size"].to_numpy(np.int32).tobytes()], "bits": [b"".join(c["bits"])]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        b = pd.concat([x for x in batches if len(x)] or [pd.DataFrame({"id": [], "size": [], "bits": []})])
-        if not len(b):
-            return
-        part = TaskContext.get().partitionId()
-        top = 32768
-        for k, at in enumerate(range(0, len(b), top)):
-            c = b.iloc[at : at + top]
-            bits = np.frombuffer(b"".join(c["bits"]), dtype=np.uint64).reshape(len(c), -1)
-            w = _width(int(c["size"].iloc[-1]))
-            yield pd.DataFrame({"strip": [part * 100_000 + k], "least": [int(c["size"].iloc[0])], "most": [int(c["size"].iloc[-1])], "ids": [c["id"].to_numpy(np.int64).tobytes()], "sizes": [c["size"].to_numpy(np.int32).tobytes()], "bits": [np.ascontiguousarray(fold(bits, w)).tobytes()]})
-
-    return reps.repartitionByRange(strips, "size", "id").sortWithinPartitions("size", "id").mapInPandas(run, "strip bigint, least int, most int, ids binary, sizes binary, bits binary")
+        part, k, held, n, width = TaskContext.get().partitionId(), 0, [], 0, 0
+        for b in batches:
+            at = 0
+            wide = b["bits"].map(len).to_numpy() // 8
+            while at < len(b):
+                top = max(1, min(rows, _STRIP_BYTES // (8 * int(wide[at]))))
+                if n and (n >= top or wide[at] != width):
+                    yield packed(part, k, width, held)
+                    k, held, n = k + 1, [], 0
+                width = int(wide[at])
+                upto = min(at + top - n, int(np.searchsorted(wide, width, side="right")))
+                held.append(b.iloc[at:upto])
+                n, at = n + upto - at, upto
+        if n:
+            yield packed(part, k, width, held)
+
+    schema = "part int, k int, width int, least int, most int, ids binary, sizes binary, bits binary"
+    return reps.repartitionByRange(parts, "size", "id").sortWithinPartitions("size", "id").mapInPandas(run, schema)
 
 
 def candidates(reps: DataFrame, t: float, strip_rows: int = 6_000) -> DataFrame:
@@ -139,22 +157,29 @@ def candidates(reps: DataFrame, t: float, strip_rows: int = 6_000) -> DataFrame:
     schema = "id_a bigint, id_b bigint"
     if n == 0:
         return spark.createDataFrame([], schema)
-    strips = store(_strips(reps, max(1, -(-n // min(32_768, max(strip_rows, n // 40))))), "strips")
-    meta = sorted(tuple(r) for r in strips.select("strip", "least", "most").collect())  # one row per strip, a few dozen
-    cells = [(i, j) for k, (i, _, most) in enumerate(meta) for j, least, _ in meta[k:] if least * t <= most]
-    grid = spark.createDataFrame([(f"{i}_{j}", s, s == i) for i, j in cells for s in dict.fromkeys((i, j))], "cell string, strip bigint, first boolean")
+    rows = min(32_768, max(strip_rows, n // 40))
+    strips = store(_strips(reps, max(1, -(-n // rows)), rows), "strips")
+    meta = strips.select("part", "k", "least", "most").orderBy("part", "k").limit(MOST_STRIPS + 1).toPandas()  # one row per strip
+    if len(meta) > MOST_STRIPS:
+        raise ValueError(f"more than {MOST_STRIPS} strips are too many to be compared in pairs")
+    # strips are in order of population, so those that one meets are neighbours of it
+    place = np.arange(len(meta))
+    upto = np.searchsorted(meta["least"].to_numpy() * t, meta["most"].to_numpy(), side="right") - 1
+    from_ = np.searchsorted(np.maximum.accumulate(meta["most"].to_numpy()), meta["least"].to_numpy() * t, side="left")
+    grid = spark.createDataFrame(meta[["part", "k"]].assign(strip=place, lo=np.minimum(from_, place), hi=np.maximum(upto, place)))
+    tasks = int((np.maximum(upto, place) - place + 1).sum())
 
     def run(c: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values("first", ascending=False)
+        c = c.sort_values("strip")
         side = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.sizes, np.int32), np.frombuffer(r.bits, np.uint64).reshape(len(r.ids) // 8, -1)) for r in c.itertuples()]
-        same = len(side) == 1
         a, b = side[0], side[-1]
-        i, j = compare(a[1], a[2], b[1], b[2], t, same)
+        i, j = compare(a[1], a[2], b[1], b[2], t, len(side) == 1) if len(side) > 1 or c["own"].iloc[0] else (np.empty(0, int), np.empty(0, int))
         return pd.DataFrame({"id_a": np.minimum(a[0][i], b[0][j]), "id_b": np.maximum(a[0][i], b[0][j])})
 
-    # as many partitions as cells: each is one task of its own size
-    jobs = strips.join(F.broadcast(grid), "strip").repartition(min(len(cells), 4096), "cell")
-    return jobs.groupBy("cell").applyInPandas(run, schema)
+    # cell (a, b), a <= b: a strip is sent to those with the strips after it and before it; each cell is one task of its own size
+    sent = strips.join(F.broadcast(grid), ["part", "k"])  # at most MOST_STRIPS rows of numbers
+    sent = sent.withColumn("other", F.explode(F.sequence("lo", "hi"))).select(F.least("strip", "other").alias("a"), F.greatest("strip", "other").alias("b"), "strip", (F.col("strip") == F.col("other")).alias("own"), "ids", "sizes", "bits")
+    return sent.repartition(min(tasks, 4096), "a", "b").groupBy("a", "b").applyInPandas(run, schema)
 
 
 def verified(found: DataFrame, sets: DataFrame, t: float) -> DataFrame:

@@ -9,6 +9,13 @@ _OVERLAP = """p AS (SELECT pair_id, any_value(split) AS split, any_value(u) AS u
 l AS (SELECT id_a AS x, id_b AS y FROM near UNION ALL SELECT id_b, id_a FROM near UNION ALL SELECT DISTINCT q, q FROM (SELECT u AS q FROM p UNION ALL SELECT v FROM p)),
 o AS (SELECT DISTINCT tr.pair_id AS train_id, ev.pair_id AS eval_id FROM p ev JOIN l a ON a.x = ev.u JOIN l b ON b.x = ev.v JOIN p tr ON tr.split = 'train' AND ((tr.u = a.y AND tr.v = b.y) OR (tr.u = b.y AND tr.v = a.y)) WHERE ev.split IN ('dev', 'test'))"""
 
+_FIVES = """g AS MATERIALIZED (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) AS g FROM w WHERE len(w) >= 5),
+z AS MATERIALIZED (SELECT id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS k FROM g GROUP BY id),
+c AS MATERIALIZED (SELECT id, n, min(id) OVER (PARTITION BY k) AS rep FROM z),
+gr AS (SELECT g.* FROM g JOIN c ON c.id = g.id AND c.rep = g.id),
+near AS MATERIALIZED (SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS m FROM gr x JOIN gr y ON x.g = y.g AND x.id <> y.id GROUP BY x.id, y.id) JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE 10 * m >= 8 * (za.n + zb.n - m)),
+reach AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, near.b FROM reach r JOIN near ON near.a = r.y)"""
+
 
 def _with(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "
@@ -26,5 +33,7 @@ SELECT least(k.author_idx, l.author_idx) AS author_idx_a, greatest(k.author_idx,
     "p5_found": _with(_TEXT, _WORDS, _GRAMS) + "SELECT term, mark FROM mk WHERE n = 1 AND mark IS NOT NULL",
     "p5_ngrams": _with(_TEXT, _WORDS, _GRAMS) + "SELECT n::INT AS n, term, occurrences, records, mark FROM mk",
     "p5_vocabulary": _with(_TEXT, _WORDS, _GRAMS) + "SELECT lower(v.word) AS word, word_idx, coalesce(occurrences, 0) AS occurrences, coalesce(records, 0) AS records, CASE WHEN occurrences IS NULL THEN 'rare' ELSE mark END AS mark FROM cora_vocab v LEFT JOIN (SELECT * FROM mk WHERE n = 1) q ON q.term = lower(v.word)",
+    "p6_groups": _with(_TEXT, _WORDS, _FIVES).replace("WITH", "WITH RECURSIVE", 1)
+    + "SELECT c.id, c.rep AS class_id, (SELECT min(y) FROM reach WHERE x = c.rep) AS group_id, (SELECT count(*) FROM near WHERE a = c.rep) AS links FROM c",
     "p6_found": _with(_TEXT, _WORDS, _SHINGLES, _NEAR) + "SELECT id_a, id_b FROM near",
 }

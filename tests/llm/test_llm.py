@@ -98,24 +98,55 @@ def test_groups(spark):
     assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 1, 1), 4: (4, 4, 0)}
 
 
+def compared(sets, t):
+    """Pairs that compare passes among sets of 64-bit numbers, in order of size, those of one width against those of each."""
+    sets = sorted(sets, key=len)
+    size, sign = np.array([len(x) for x in sets], dtype=np.int32), [neardup.signature(x) for x in sets]
+    wide = np.array([len(x) for x in sign])
+    found = set()
+    for v in np.unique(wide):
+        for w in np.unique(wide[wide >= v]):
+            a, b = np.flatnonzero(wide == v), np.flatnonzero(wide == w)
+            i, j = neardup.compare(size[a], np.stack([sign[x] for x in a]), size[b], np.stack([sign[x] for x in b]), t, v == w)
+            found |= set(zip(a[i].tolist(), b[j].tolist()))
+    return sets, found
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_compare_loses_nothing(seed):
     rng = np.random.default_rng(seed)
-    sets = []
+    made = []
     for _ in range(60):
-        base = rng.choice(5000, rng.integers(1, 400), replace=False)
-        sets += [set(base), set(base[: max(1, int(len(base) * rng.uniform(0.4, 1)))])]
-    sets.sort(key=len)
-    size = np.array([len(s) for s in sets], dtype=np.int32)
-    bits = np.zeros((len(sets), neardup.BITS), np.uint8)
-    for i, s in enumerate(sets):
-        for x in s:
-            bits[i, (x * 7919) % neardup.BITS] ^= 1
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    i, j = neardup.compare(size, packed, size, packed, 0.5, True)
-    found = set(zip(i.tolist(), j.tolist()))
-    true = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
-    assert true <= found
+        base = rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)
+        made += [np.unique(base), np.unique(base[: max(1, int(len(base) * rng.uniform(0.4, 1)))])]
+    sets, found = compared(made, 0.5)
+    like = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    assert {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if like(sets[a], sets[b]) >= 0.5} <= found
+
+
+@pytest.mark.parametrize("size", [1, 10, 100, 1_000, 1_400, 2_000, 5_000, 50_000])
+@pytest.mark.parametrize("t", [0.5, 0.8])
+def test_compare_tells_sets_of_any_size_apart(size, t):
+    rng = np.random.default_rng(size)
+    few = 30 if size <= 5_000 else 8
+    base = [np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for _ in range(few)]
+    kept = int(np.ceil(size * t))  # a part that is as much like the whole as asked for
+    sets, found = compared([*base, *[np.unique(rng.permutation(x)[:kept]) for x in base]], t)
+    true = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(np.intersect1d(sets[a], sets[b])) >= t * len(np.union1d(sets[a], sets[b]))}
+    assert len(true) >= few and true <= found
+    assert len(found - true) <= 0.01 * len(sets) ** 2 / 2
+
+
+def test_near_duplicates_in_many_strips(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(30):
+        base = " ".join(str(rng.randrange(10**6)) for _ in range(rng.choice([5, 40, 90, 300, 700, 1500])))
+        rows += [base, base + " " + " ".join(str(rng.randrange(10**6)) for _ in range(len(base.split()) // 3))]
+    rows = list(enumerate(rows))
+    reps = neardup.signatures(frame(spark, rows), "id", "abstract", 3).select("id", "size", "bits")
+    got = {tuple(x) for x in neardup.candidates(reps, 0.5, strip_rows=7).collect()}
+    assert plain_near(rows) <= got and len(got) < 40
 
 
 def test_components(spark):
