@@ -7,7 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WHITE = r"[ \t\n\r\x{a0}\x{2007}\x{202f}]+"
+# The white space of Unicode, with the four separators of ASCII.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def terms(text: Column | str) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.operators import paths
 from inkweave.operators.graph import numbered
+from inkweave.sources.shared import store
 
 
 def author_index(na: DataFrame) -> DataFrame:
@@ -74,23 +76,14 @@ def successors(pairs: DataFrame, out: DataFrame) -> DataFrame:
     return p.select(*pairs.columns, "cn", un.alias("un"), (F.col("cn") / (1e-8 + un)).alias("jaccard"))
 
 
-def directed_hops(pairs: DataFrame, out: DataFrame, most: int = 3, missing: int = 15) -> DataFrame:
-    """(u, v, hops) of the distinct pairs along out (src, dst): 0 for u = v, `missing` beyond `most` steps; a link u -> v goes the way round by another successor when one leads to v."""
-    from inkweave.sources.shared import store
-
-    o = store(out.select("src", "dst").distinct(), "out")
+def directed_hops(pairs: DataFrame, out: DataFrame, most: int | None = None, missing: int = 15) -> DataFrame:
+    """(u, v, hops) of the distinct pairs along out (src, dst): 0 for u = v; a link u -> v goes the way round by another successor when one leads to v in one step; `missing` where there is no path, or none of up to `most` steps."""
+    o = store(out.select("src", "dst").where("src <> dst").distinct(), "out")
+    fan = store(paths.fans(o), "fans")
     asked = store(pairs.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL").distinct(), "asked")
-    direct = asked.join(o.toDF("u", "v"), ["u", "v"], "left_semi").withColumn("direct", F.lit(1))
-    front = asked.where("u <> v").select("u", "v", F.col("u").alias("w"))
-    found = asked.where("u = v").withColumn("hops", F.lit(0))
-    for k in range(1, most + 1):
-        step = front.join(o.toDF("w", "x"), "w").where("x <> u")
-        if k == 1:
-            step = step.where("x <> v")  # the way round
-        step = step.select("u", "v", F.col("x").alias("w")).distinct()
-        hit = store(step.where("w = v").select("u", "v"), "hit")
-        found = found.union(hit.withColumn("hops", F.lit(k)))
-        front = store(step.join(hit, ["u", "v"], "left_anti"), "front")
-    found = found.groupBy("u", "v").agg(F.min("hops").alias("hops"))
-    out_ = asked.join(found, ["u", "v"], "left").join(direct, ["u", "v"], "left")
-    return out_.select("u", "v", F.when(F.col("u") == F.col("v"), 0).when(F.col("direct") == 1, F.when(F.col("hops") == 2, 2).otherwise(1)).otherwise(F.coalesce("hops", F.lit(missing))).alias("hops"))
+    apart = asked.where("u <> v").toDF("s", "t")
+    direct = apart.join(o.toDF("s", "t"), ["s", "t"], "left_semi").toDF("u", "v")
+    two = store(paths.between(apart, o, fan).toDF("u", "v"), "two")
+    near = store(asked.join(direct.withColumn("one", F.lit(1)), ["u", "v"], "left").join(two.withColumn("two", F.lit(2)), ["u", "v"], "left"), "near")
+    far = paths.beyond(near.where("one IS NULL AND two IS NULL AND u <> v").select(F.col("u").alias("s"), F.col("v").alias("t")), o, fan, most).toDF("u", "v", "far")
+    return near.join(far, ["u", "v"], "left").select("u", "v", F.when(F.col("u") == F.col("v"), 0).otherwise(F.coalesce("two", "one", "far", F.lit(missing))).alias("hops"))

@@ -43,7 +43,7 @@ def neighbourhood(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def text_overlap(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """pairs with lu, lv (words), tu, tv (distinct terms) and common_terms; terms: (id, words, terms)."""
+    """pairs with lu, lv (characters), tu, tv (distinct terms) and common_terms; terms: (id, chars, terms)."""
     a, b = terms.toDF("u", "lu", "a"), terms.toDF("v", "lv", "b")
     none = F.array().cast("array<string>")
     out = pairs.join(a, "u", "left").join(b, "v", "left").withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
@@ -51,7 +51,8 @@ def text_overlap(pairs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def common_authors(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """pairs with common_authors, the number of distinct names both lists hold; lists: (id, authors)."""
+    """pairs with common_authors, the number of distinct names both lists hold, null and empty ones left out; lists: (id, authors)."""
+    lists = lists.select("id", F.filter("authors", lambda x: x.isNotNull() & (x != "")))
     out = pairs.join(lists.toDF("u", "a"), "u", "left").join(lists.toDF("v", "b"), "v", "left")
     return out.select(*pairs.columns, F.coalesce(F.size(F.array_intersect("a", "b")), F.lit(0)).alias("common_authors"))
 

@@ -1,23 +1,79 @@
-"""Hops between the two ends of a pair, for the requested pairs only: they meet in the middle, and a step is taken only for pairs still apart."""
+"""Hops between the two ends of a pair, for the requested pairs only, and balls around nodes.
+
+Two ends are two hops apart if the neighbours of one, the one with fewer, include a neighbour of the other: a hub is looked up
+and not expanded. Beyond that, a level is grown from one end of a pair only, the one whose neighbours have fewer links in all,
+once for each distinct node, and each of its nodes is tested in the same way against the other end. A level is grown only for
+pairs that are still open; those left after four hops are few where there are hubs, and of them those in different components
+are told apart before the search goes on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.operators.components import components
 from inkweave.operators.graph import adjacency, degree, is_edge
 from inkweave.operators.pairs import common
 from inkweave.sources.shared import store
 
+_NEAR = 4
+
+
+def fans(out: DataFrame) -> DataFrame:
+    """(node, leave, enter): the numbers of edges of out (src, dst) at every node."""
+    both = out.select(F.col("src").alias("node"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(out.select("dst", F.lit(0), F.lit(1)))
+    return both.groupBy("node").agg(F.sum("x").alias("leave"), F.sum("y").alias("enter"))
+
 
-def _ends(pairs: DataFrame, adj: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return pairs.join(adj.select(F.col("v").alias("u"), F.col("nbr").alias("a")), "u"), pairs.join(adj.select("v", F.col("nbr").alias("b")), "v")
+def between(pairs: DataFrame, out: DataFrame, fan: DataFrame) -> DataFrame:
+    """The distinct pairs (s, t) with a node w such that s -> w -> t along out (src, dst), of which fan has the numbers."""
+    p = pairs.select("s", "t").join(fan.selectExpr("node AS s", "leave AS x"), "s").join(fan.selectExpr("node AS t", "enter AS y"), "t").where("x > 0 AND y > 0")
+    ahead = p.where("x <= y").select("s", "t").join(out.toDF("s", "w"), "s").join(out.toDF("w", "t"), ["w", "t"], "left_semi")
+    back = p.where("x > y").select("s", "t").join(out.toDF("w", "t"), "t").join(out.toDF("s", "w"), ["s", "w"], "left_semi")
+    return ahead.select("s", "t").union(back.select("s", "t")).distinct()
 
 
-def hops(pairs: DataFrame, edges: DataFrame, missing: int = -1) -> DataFrame:
-    """(u, v, hops) of the distinct pairs: 0 for u = v; linked ends give the way round: 2 with a common neighbour, else 3 if u has another neighbour, else 1; up to 4 hops otherwise, `missing` beyond."""
+def beyond(pairs: DataFrame, out: DataFrame, fan: DataFrame, most: int | None = None) -> DataFrame:
+    """(s, t, hops) of those distinct pairs (s, t), known to be more than two hops apart, that a path along out (src, dst) of up to `most` hops (of any length, if None) joins."""
+    ahead = out.join(fan.selectExpr("node AS dst", "leave AS d"), "dst").groupBy(F.col("src").alias("s")).agg(F.sum("d").alias("x"))
+    back = out.join(fan.selectExpr("node AS src", "enter AS d"), "src").groupBy(F.col("dst").alias("t")).agg(F.sum("d").alias("y"))
+    # an end without a way out, or in, is reached by none
+    open_ = pairs.select("s", "t").distinct().join(ahead, "s").join(back, "t").where("x > 0 AND y > 0").withColumn("fwd", F.col("x") <= F.col("y")).select("s", "t", "fwd")
+    open_ = store(open_, "open")
+    found, k = open_.select("s", "t", F.lit(0).alias("hops")).limit(0), 2
+    starts = open_.select(F.when(F.col("fwd"), F.col("s")).otherwise(F.col("t")).alias("from"), "fwd").distinct()
+    front = seen = store(starts.withColumn("w", F.col("from")), "front")
+    ways, whole = out.select(F.lit(True).alias("fwd"), F.col("src").alias("w"), F.col("dst").alias("x")).union(out.select(F.lit(False), "dst", "src")), False
+    while most is None or k < most:
+        k += 1
+        grown = front.join(ways, ["fwd", "w"]).select("from", "fwd", F.col("x").alias("w")).distinct()
+        front = store(grown.join(seen, ["from", "fwd", "w"], "left_anti"), "front")
+        asked = open_.withColumn("from", F.when(F.col("fwd"), F.col("s")).otherwise(F.col("t"))).join(front, ["from", "fwd"])
+        asked = asked.select("s", "t", F.when(F.col("fwd"), F.col("w")).otherwise(F.col("s")).alias("a"), F.when(F.col("fwd"), F.col("t")).otherwise(F.col("w")).alias("b"))
+        asked = store(asked, "asked")
+        hit = store(asked.join(between(asked.selectExpr("a AS s", "b AS t").distinct(), out, fan).toDF("a", "b"), ["a", "b"], "left_semi").select("s", "t").distinct(), "hit")
+        found = found.union(hit.withColumn("hops", F.lit(k)))
+        # pairs whose level is empty are reached by none
+        alive = front.select("from", "fwd").distinct()
+        open_ = open_.join(hit, ["s", "t"], "left_anti").withColumn("from", F.when(F.col("fwd"), F.col("s")).otherwise(F.col("t")))
+        open_ = store(open_.join(alive, ["from", "fwd"], "left_semi").select("s", "t", "fwd"), "open")
+        if open_.isEmpty():
+            break
+        if k >= _NEAR and not whole:
+            part, whole = components(out).toDF("node", "part"), True
+            open_ = store(open_.join(part.toDF("s", "x"), "s").join(part.toDF("t", "y"), "t").where("x = y").select("s", "t", "fwd"), "open")
+        still = open_.select(F.when(F.col("fwd"), F.col("s")).otherwise(F.col("t")).alias("from"), "fwd").distinct()
+        front = front.join(still, ["from", "fwd"], "left_semi")
+        seen = seen.union(front)
+    return found
+
+
+def hops(pairs: DataFrame, edges: DataFrame, missing: int = -1, most: int | None = None) -> DataFrame:
+    """(u, v, hops) of the distinct pairs: 0 for u = v; linked ends give the way round: 2 with a common neighbour, else 3 if u has another neighbour, else 1; the exact number of hops otherwise, `missing` where there is no path or none of up to `most` hops."""
+    edges = store(edges.select("src", "dst"), "edges")
     adj = adjacency(edges)
-    deg = degree(adj)
+    deg = store(degree(adj), "degree")
     asked = store(is_edge(pairs.select("u", "v").distinct(), edges), "asked")
     cn = store(common(asked, adj, deg).select("u", "v"), "two")
     du = deg.toDF("u", "du")
@@ -26,38 +82,47 @@ def hops(pairs: DataFrame, edges: DataFrame, missing: int = -1) -> DataFrame:
     self_ = asked.where("u = v").select("u", "v", F.lit(0).alias("hops"))
     two = cn.where("u <> v").join(asked.where("linked = 1").select("u", "v"), ["u", "v"], "left_anti").select("u", "v", F.lit(2).alias("hops"))
     apart = store(asked.where("linked = 0 AND u <> v").select("u", "v").join(cn, ["u", "v"], "left_anti"), "apart")
-    # three hops: a neighbour of one end and a neighbour of the other are linked
-    left, right = _ends(apart, adj)
-    middle = left.join(right, ["u", "v"]).select("u", "v", "a", "b")
-    three = store(middle.join(adj.toDF("a", "b"), ["a", "b"], "left_semi").select("u", "v").distinct(), "three")
-    apart = store(apart.join(three, ["u", "v"], "left_anti"), "apart")
-    # four hops: both ends reach one node in two
-    left, right = _ends(apart, adj)
-    l2 = left.join(adj.toDF("a", "w"), "a").select("u", "v", "w").distinct()
-    r2 = right.join(adj.toDF("b", "w"), "b").select("u", "v", "w").distinct()
-    four = store(l2.join(r2, ["u", "v", "w"], "left_semi").select("u", "v").distinct(), "four")
-    none = apart.join(four, ["u", "v"], "left_anti").select("u", "v", F.lit(missing).alias("hops"))
-    return linked.union(self_).union(two).union(three.withColumn("hops", F.lit(3))).union(four.withColumn("hops", F.lit(4))).union(none)
+    if apart.isEmpty():
+        return linked.union(self_).union(two)
+    far = store(beyond(apart.toDF("s", "t"), adj.toDF("src", "dst"), deg.selectExpr("v AS node", "d AS leave", "d AS enter"), most), "far").toDF("u", "v", "hops")
+    rest = apart.join(far, ["u", "v"], "left").select("u", "v", F.coalesce("hops", F.lit(missing)).alias("hops"))
+    return linked.union(self_).union(two).union(rest)
 
 
 def ball(seeds: DataFrame, out: DataFrame, radius: int) -> DataFrame:
     """(key, node, level): nodes reached from seeds (key, node) along out (src, dst) in up to radius steps, with the first level."""
+    out = store(out.select("src", "dst").distinct(), "out")
     reached = store(seeds.select("key", "node").distinct().withColumn("level", F.lit(0)), "ball")
     front = reached
     for k in range(1, radius + 1):
-        step = front.select("key", F.col("node").alias("src")).join(out.select("src", "dst"), "src").select("key", F.col("dst").alias("node")).distinct()
+        step = front.select("key", F.col("node").alias("src")).join(out, "src").select("key", F.col("dst").alias("node")).distinct()
         front = store(step.join(reached, ["key", "node"], "left_anti").withColumn("level", F.lit(k)), "front")
-        reached = store(reached.union(front), "ball")
+        if front.isEmpty():
+            break
+        reached = reached.union(front)
     return reached
 
 
-def ball_distance(pairs: DataFrame, members: DataFrame, out: DataFrame, radius: int) -> DataFrame:
-    """pairs with shared and distance = exp(-shared): nodes in both balls around the members (id, node) of the ends; the balls are as wide as the narrower one goes."""
+def ball_distance(pairs: DataFrame, members: DataFrame, out: DataFrame, levels: int = 16) -> DataFrame:
+    """pairs with shared and distance = exp(-shared): nodes in both balls around the members (id, node) of the ends. A ball has its members as the first of up to `levels` levels; both are as wide as the narrower one goes.
+
+    Equal sets of members have equal balls, which are grown once, and pairs of equal balls are compared once.
+    """
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    b = ball(members.join(ids, "id", "left_semi").toDF("key", "node"), out, radius)
+    sets = members.join(ids, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # the members of one id
+    sets = store(sets.withColumn("key", F.sha2(F.to_json(F.struct("nodes")), 256)), "sets")
+    b = store(ball(sets.dropDuplicates(["key"]).select("key", F.explode("nodes").alias("node")), out, levels - 1), "balls")
     depth = b.groupBy("key").agg(F.max("level").alias("depth"))
-    p = pairs.join(depth.toDF("u", "x"), "u", "left").join(depth.toDF("v", "y"), "v", "left").withColumn("most", F.least("x", "y"))
-    both = p.where("x IS NOT NULL AND y IS NOT NULL").join(b.toDF("u", "node", "l"), "u").where("l <= most").join(b.toDF("v", "node", "m"), ["v", "node"]).where("m <= most")
-    n = both.groupBy("pair_id").agg(F.count("*").alias("shared"))
-    out_ = pairs.join(n, "pair_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    key = sets.select("id", "key").join(depth, "key")
+    p = pairs.join(key.toDF("a", "u", "x"), "u").join(key.toDF("b", "v", "y"), "v")
+    asked = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("x", "y").alias("most")).distinct()
+    size = b.groupBy("key").agg(F.count("*").alias("n"))
+    asked = asked.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    # the smaller ball is looked up in the larger
+    small = F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b"))
+    asked = asked.select("a", "b", "most", small.alias("lo"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("hi"))
+    both = asked.join(b.toDF("lo", "node", "l"), "lo").where("l <= most").join(b.toDF("hi", "node", "m"), ["hi", "node"]).where("m <= most")
+    n = both.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    named = p.select("pair_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(n, ["a", "b"]).select("pair_id", "shared")
+    out_ = pairs.join(named, "pair_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     return out_.withColumn("distance", F.exp(-F.col("shared").cast("double")))

@@ -1,34 +1,44 @@
-"""PageRank with a fixed number of rounds."""
+"""PageRank by rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.sources.shared import parallel, store
+from inkweave.sources.shared import store
 
+_LIST = 1024
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damp: float = 0.85, cut: int = 5) -> DataFrame:
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damp: float = 0.85, still: float = 1e-15, cut: int = 10) -> DataFrame:
     """(id, rank): rank starts at 1/n; each round is (1 - damp)/n + damp * sum over in-edges of rank / out-degree.
 
-    Edges run from src to dst only, and the rank of nodes without out-edges is lost, as in the measure this stands for.
-    Edges are partitioned by source once, so a round shuffles one row for each edge's target after partial sums.
+    Edges run from src to dst only, and the rank of nodes without out-edges is lost, as in the measure this stands for. Every
+    `cut` rounds lineage ends, and the rounds too once no rank moves by more than `still`: those left out would change none.
+    Targets travel in lists of bounded length, so a round shuffles them packed and one row for each target after partial sums.
     """
-    spark = edges.sparkSession
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = store(edges.join(out, "src").repartition(parallel(spark), "src"), "links").repartition(parallel(spark), "src").persist()
+    slot = F.pmod(F.xxhash64("dst"), F.ceil(F.col("out") / _LIST))
+    links = edges.join(out, "src").groupBy("src", "out", slot.alias("slot")).agg(F.collect_list("dst").alias("to"))  # about _LIST in each
+    links = store(links.drop("slot"), "links")
     every = store(nodes.select("id").distinct(), "nodes")
     rank = every.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
-        flow = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
-        rank = every.join(flow, "id", "left").select("id", (F.lit((1 - damp) / n) + damp * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        if (k + 1) % cut == 0:
+    for k in range(1, rounds + 1):
+        sent = links.join(rank.select(F.col("id").alias("src"), "rank"), "src").select(F.explode("to").alias("id"), (F.col("rank") / F.col("out")).alias("flow"), F.lit(None).cast("double").alias("was"))
+        ends = k % cut == 0 or k == rounds
+        own = (rank if ends else every.withColumn("rank", F.lit(None).cast("double"))).select("id", F.lit(0.0).alias("flow"), F.col("rank").alias("was"))
+        rank = sent.union(own).groupBy("id").agg(F.sum("flow").alias("flow"), F.max("was").alias("was"), F.count_if(F.col("flow") == 0).alias("node"))
+        rank = rank.where("node > 0").select("id", (F.lit((1 - damp) / n) + damp * F.col("flow")).alias("rank"), "was")  # targets that are no node have no rank
+        if ends:
             rank = store(rank, "rank")
-    links.unpersist()
-    return rank
+            moved = rank.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            if moved is not None and moved <= still:
+                break
+        rank = rank.select("id", "rank")
+    return rank.select("id", "rank")
 
 
 def on_pairs(pairs: DataFrame, rank: DataFrame) -> DataFrame:

@@ -9,9 +9,8 @@ from inkweave.functions.text import stemmed, terms, tokens
 
 
 def term_sets(nodes: DataFrame) -> DataFrame:
-    """(id, words, terms): number of words and the distinct terms of each text."""
-    t = nodes.select("id", terms("abstract").alias("t"))
-    return t.select("id", F.size("t").alias("words"), F.array_distinct("t").alias("terms"))
+    """(id, chars, terms): number of characters and the distinct terms of each text."""
+    return nodes.select("id", F.length("abstract").alias("chars"), F.array_distinct(terms("abstract")).alias("terms"))
 
 
 def word_counts(nodes: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ _CTE = {
     "pd": "pd AS (SELECT p.*, coalesce(a.d, 0) AS du, coalesce(b.d, 0) AS dv FROM p LEFT JOIN deg a ON a.v = p.u LEFT JOIN deg b ON b.v = p.v)",
     "cn": "cn AS (SELECT q.u, q.v, count(*) AS cn, sum(CASE WHEN w.d > 1 THEN 1 / ln(w.d) END) AS aa, sum(w.d) AS ra, sum(1 / w.d) AS rai FROM (SELECT DISTINCT u, v FROM p) q JOIN adj a ON a.v = q.u JOIN adj b ON b.v = q.v AND b.nbr = a.nbr JOIN deg w ON w.v = a.nbr GROUP BY q.u, q.v)",
     "hood": "hood AS (SELECT pd.*, coalesce(cn.cn, 0) AS cn, coalesce(aa, 0) AS aa, coalesce(ra, 0) AS ra, coalesce(rai, 0) AS rai FROM pd LEFT JOIN cn ON cn.u = pd.u AND cn.v = pd.v)",
-    "t": r"t AS (SELECT id, list_filter(regexp_split_to_array(abstract, '[ \t\n\r\x{a0}\x{2007}\x{202f}]+'), lambda x: x <> '') AS w FROM n)",
+    "t": r"t AS (SELECT id, list_filter(regexp_split_to_array(abstract, '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w, length(abstract) AS chars FROM n)",
     "tk": r"tk AS (SELECT id, unnest(regexp_extract_all(lower(abstract), '[\p{L}\p{N}]+')) AS word FROM n)",
     "f": "f AS (SELECT id, arg_min(author, pos) AS author FROM na GROUP BY id)",
     "ag": "ag AS (SELECT a, b, sum(w) AS weight FROM (SELECT x.author AS a, y.author AS b, 1.0::DOUBLE AS w FROM na x JOIN na y ON x.id = y.id AND x.pos < y.pos UNION ALL SELECT x.author, y.author, 0.5::DOUBLE FROM e JOIN na x ON x.id = e.src JOIN na y ON y.id = e.dst) GROUP BY a, b)",
@@ -46,7 +46,7 @@ _CTE = {
 }
 
 
-def _pagerank_sql(nodes: str, edges: str, rounds: int = 10) -> str:
+def _pagerank_sql(nodes: str, edges: str, rounds: int = 100) -> str:
     """CTEs r0 .. r<rounds> over nodes(id) and edges(src, dst)."""
     out = [f"c AS (SELECT count(*) AS c FROM {nodes})", f"o AS (SELECT src, count(*) AS o FROM {edges} GROUP BY src)", f"r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / c AS r FROM {nodes}, c)"]
     for k in range(rounds):
@@ -55,21 +55,41 @@ def _pagerank_sql(nodes: str, edges: str, rounds: int = 10) -> str:
 
 
 _RANK = _pagerank_sql("n", "e")
-_HOPS = """asked AS (SELECT DISTINCT u, v FROM p), lk AS (SELECT a.u, a.v, e.src IS NOT NULL AS linked, EXISTS (SELECT 1 FROM cn WHERE cn.u = a.u AND cn.v = a.v) AS two, coalesce(d, 0) AS du FROM asked a LEFT JOIN e ON e.src = least(a.u, a.v) AND e.dst = greatest(a.u, a.v) LEFT JOIN deg ON deg.v = a.u),
-apart AS MATERIALIZED (SELECT u, v FROM lk WHERE NOT linked AND NOT two AND u <> v), three AS MATERIALIZED (SELECT DISTINCT q.u, q.v FROM apart q JOIN adj x ON x.v = q.u JOIN adj y ON y.v = q.v JOIN adj z ON z.v = x.nbr AND z.nbr = y.nbr),
-rest AS MATERIALIZED (SELECT * FROM apart EXCEPT SELECT * FROM three), l2 AS (SELECT DISTINCT q.u, q.v, y.nbr AS w FROM rest q JOIN adj x ON x.v = q.u JOIN adj y ON y.v = x.nbr), g2 AS (SELECT DISTINCT q.u, q.v, y.nbr AS w FROM rest q JOIN adj x ON x.v = q.v JOIN adj y ON y.v = x.nbr),
-four AS (SELECT DISTINCT l2.u, l2.v FROM l2 JOIN g2 ON l2.u = g2.u AND l2.v = g2.v AND l2.w = g2.w),
-sp AS (SELECT lk.u, lk.v, CASE WHEN lk.u = lk.v THEN 0 WHEN linked AND two THEN 2 WHEN linked AND du > 1 THEN 3 WHEN linked THEN 1 WHEN two THEN 2 WHEN three.u IS NOT NULL THEN 3 WHEN four.u IS NOT NULL THEN 4 ELSE -1 END AS hops FROM lk LEFT JOIN three ON three.u = lk.u AND three.v = lk.v LEFT JOIN four ON four.u = lk.u AND four.v = lk.v)"""
+
+
+def _levels_sql(seed: str, ways: str, depth: int) -> str:
+    """CTEs v0, the seeds (s, w), to v<depth>, the nodes first met at each distance along ways(src, dst), and ds(s, w, d) of them all."""
+    out = [f"v0 AS ({seed})"]
+    for k in range(1, depth + 1):
+        met = " ".join(f"EXCEPT SELECT * FROM v{j}" for j in range(k))
+        out.append(f"v{k} AS MATERIALIZED (SELECT DISTINCT q.s, x.dst AS w FROM v{k - 1} q JOIN {ways} x ON x.src = q.w {met})")
+    return ", ".join([*out, "ds AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT s, w, {k} AS d FROM v{k}" for k in range(depth + 1)) + ")"])
+
+
+_HOPS = (
+    """asked AS (SELECT DISTINCT u, v FROM p),
+lk AS (SELECT a.u, a.v, e.src IS NOT NULL AS linked, EXISTS (SELECT 1 FROM cn WHERE cn.u = a.u AND cn.v = a.v) AS two, coalesce(d, 0) AS du
+    FROM asked a LEFT JOIN e ON e.src = least(a.u, a.v) AND e.dst = greatest(a.u, a.v) LEFT JOIN deg ON deg.v = a.u),
+s0 AS (SELECT DISTINCT u AS s FROM asked), way AS (SELECT v AS src, nbr AS dst FROM adj), """
+    + _levels_sql("SELECT s, s AS w FROM s0", "way", 8)
+    + """, sp AS (SELECT lk.u, lk.v, CASE WHEN lk.u = lk.v THEN 0 WHEN linked AND two THEN 2 WHEN linked AND du > 1 THEN 3 WHEN linked THEN 1 ELSE coalesce(ds.d, -1) END AS hops
+    FROM lk LEFT JOIN ds ON ds.s = lk.u AND ds.w = lk.v)"""
+)
 _ARANK = "an AS (SELECT DISTINCT author AS id FROM na), ae AS (SELECT a AS src, b AS dst FROM ag), " + _pagerank_sql("an", "ae")
-_AHOPS = """aa AS (SELECT DISTINCT u, v FROM ap WHERE u IS NOT NULL AND v IS NOT NULL), one AS (SELECT aa.u, aa.v FROM aa JOIN ag ON ag.a = aa.u AND ag.b = aa.v),
-w1 AS (SELECT DISTINCT aa.u, aa.v, ag.b AS w FROM aa JOIN ag ON ag.a = aa.u WHERE aa.u <> aa.v AND ag.b <> aa.u AND ag.b <> aa.v), w2 AS (SELECT DISTINCT w1.u, w1.v, ag.b AS w FROM w1 JOIN ag ON ag.a = w1.w WHERE ag.b <> w1.u), k2 AS (SELECT u, v FROM w2 WHERE w = v),
-w3 AS (SELECT DISTINCT w2.u, w2.v FROM w2 JOIN ag ON ag.a = w2.w WHERE ag.b = w2.v),
-ah AS (SELECT aa.u, aa.v, CASE WHEN aa.u = aa.v THEN 0 WHEN one.u IS NOT NULL THEN CASE WHEN k2.u IS NOT NULL THEN 2 ELSE 1 END WHEN k2.u IS NOT NULL THEN 2 WHEN w3.u IS NOT NULL THEN 3 ELSE 15 END AS hops FROM aa LEFT JOIN one ON one.u = aa.u AND one.v = aa.v LEFT JOIN k2 ON k2.u = aa.u AND k2.v = aa.v LEFT JOIN w3 ON w3.u = aa.u AND w3.v = aa.v)"""
+_AHOPS = (
+    """aa AS (SELECT DISTINCT u, v FROM ap WHERE u IS NOT NULL AND v IS NOT NULL), nl AS (SELECT a AS src, b AS dst FROM ag WHERE a <> b),
+k1 AS (SELECT aa.u, aa.v FROM aa JOIN nl ON nl.src = aa.u AND nl.dst = aa.v),
+k2 AS (SELECT DISTINCT aa.u, aa.v FROM aa JOIN nl x ON x.src = aa.u JOIN nl y ON y.src = x.dst AND y.dst = aa.v WHERE aa.u <> aa.v),
+s0 AS (SELECT DISTINCT u AS s FROM aa), """
+    + _levels_sql("SELECT s, s AS w FROM s0", "nl", 8)
+    + """, ah AS (SELECT aa.u, aa.v, CASE WHEN aa.u = aa.v THEN 0 WHEN k2.u IS NOT NULL THEN 2 WHEN k1.u IS NOT NULL THEN 1 ELSE coalesce(ds.d, 15) END AS hops
+    FROM aa LEFT JOIN k1 ON k1.u = aa.u AND k1.v = aa.v LEFT JOIN k2 ON k2.u = aa.u AND k2.v = aa.v LEFT JOIN ds ON ds.s = aa.u AND ds.w = aa.v)"""
+)
 _SUCC = """so AS (SELECT a AS src, count(*) AS d FROM ag GROUP BY a), sc AS (SELECT q.u, q.v, count(*) AS cn FROM (SELECT DISTINCT u, v FROM ap) q JOIN ag x ON x.a = q.u JOIN ag y ON y.a = q.v AND y.b = x.b GROUP BY q.u, q.v),
 su AS (SELECT ap.pair_id, ap.u, ap.v, coalesce(sc.cn, 0) AS cn, coalesce(x.d, 0) + coalesce(y.d, 0) - coalesce(sc.cn, 0) AS un FROM ap LEFT JOIN sc ON sc.u = ap.u AND sc.v = ap.v LEFT JOIN so x ON x.src = ap.u LEFT JOIN so y ON y.src = ap.v)"""
 _STR = "st AS (SELECT a AS src, sum(weight) AS strength FROM ag GROUP BY a)"
-_OVER = "ov AS (SELECT p.*, coalesce(len(a.w), 0) AS lu, coalesce(len(b.w), 0) AS lv, coalesce(len(list_distinct(a.w)), 0) AS tu, coalesce(len(list_distinct(b.w)), 0) AS tv, coalesce(len(list_intersect(list_distinct(a.w), list_distinct(b.w))), 0) AS common_terms FROM p LEFT JOIN t a ON a.id = p.u LEFT JOIN t b ON b.id = p.v)"
-_CA = "ca AS (SELECT p.*, coalesce(k, 0) AS common_authors FROM p LEFT JOIN (SELECT q.pair_id, count(*) AS k FROM p q JOIN (SELECT DISTINCT id, author FROM (SELECT id, unnest(authors) AS author FROM al)) a ON a.id = q.u JOIN (SELECT DISTINCT id, author FROM (SELECT id, unnest(authors) AS author FROM al)) b ON b.id = q.v AND a.author IS NOT DISTINCT FROM b.author GROUP BY q.pair_id) z ON z.pair_id = p.pair_id)"
+_OVER = "ov AS (SELECT p.*, coalesce(a.chars, 0) AS lu, coalesce(b.chars, 0) AS lv, coalesce(len(list_distinct(a.w)), 0) AS tu, coalesce(len(list_distinct(b.w)), 0) AS tv, coalesce(len(list_intersect(list_distinct(a.w), list_distinct(b.w))), 0) AS common_terms FROM p LEFT JOIN t a ON a.id = p.u LEFT JOIN t b ON b.id = p.v)"
+_CA = "ca AS (SELECT p.*, coalesce(k, 0) AS common_authors FROM p LEFT JOIN (SELECT q.pair_id, count(*) AS k FROM p q JOIN (SELECT DISTINCT id, author FROM na) a ON a.id = q.u JOIN (SELECT DISTINCT id, author FROM na) b ON b.id = q.v AND a.author = b.author GROUP BY q.pair_id) z ON z.pair_id = p.pair_id)"
 
 
 def _add(name: str, uses: str = "", sql: str = "", more: str = "") -> Callable[[Query], Query]:
@@ -261,12 +281,12 @@ def _(s, d):
     return x.select("pair_id", (F.col("tu") + F.col("tv")).cast("bigint").alias("terms_sum"), F.abs(F.col("tu") - F.col("tv")).cast("bigint").alias("terms_diff"), F.col("common_terms").cast("bigint").alias("common_terms"))
 
 
-@_add("edge_generic", "e adj deg n t p pd", "SELECT pd.pair_id, du + dv AS f0, abs(du - dv) AS f1, tu + tv AS f2, abs(tu + tv) AS f3, common_terms AS f4 FROM pd JOIN ov ON ov.pair_id = pd.pair_id", _OVER)
+@_add("edge_generic", "e adj deg n t p pd", "SELECT pd.pair_id, du + dv AS f0, abs(du - dv) AS f1, lu + lv AS f2, abs(lu + lv) AS f3, common_terms AS f4 FROM pd JOIN ov ON ov.pair_id = pd.pair_id", _OVER)
 def _(s, d):
     """Five features; the fourth repeats the third."""
     p = P.with_degrees(T.pairs(s, d), G.degree(G.adjacency(T.edges(s, d))))
     x = P.text_overlap(p, X.term_sets(T.nodes(s, d)))
-    both = (F.col("tu") + F.col("tv")).cast("bigint")
+    both = (F.col("lu") + F.col("lv")).cast("bigint")
     return x.select("pair_id", (F.col("du") + F.col("dv")).alias("f0"), F.abs(F.col("du") - F.col("dv")).alias("f1"), both.alias("f2"), F.abs(both).alias("f3"), F.col("common_terms").cast("bigint").alias("f4"))
 
 
@@ -277,22 +297,22 @@ def _(s, d):
     return x.select("pair_id", (F.col("du") + F.col("dv")).alias("degree_sum"), F.abs(F.col("du") - F.col("dv")).alias("degree_diff"), (F.col("tu") + F.col("tv")).cast("bigint").alias("terms_sum"), F.abs(F.col("tu") - F.col("tv")).cast("bigint").alias("terms_diff"), F.col("common_terms").cast("bigint").alias("common_terms"))
 
 
-@_add("common_authors", "al p", "SELECT pair_id, common_authors FROM ca", _CA)
+@_add("common_authors", "al na p", "SELECT pair_id, common_authors FROM ca", _CA)
 def _(s, d):
     return _feature("common_authors")(s, d).select("pair_id", F.col("common_authors").cast("bigint").alias("common_authors"))
 
 
-@_add("pagerank", "e n", "SELECT id, round(r, 8) AS rank FROM r10", _RANK)
+@_add("pagerank", "e n", "SELECT id, round(r, 8) AS rank FROM r100", _RANK)
 def _(s, d):
     return rank.pagerank(T.nodes(s, d), T.edges(s, d)).select("id", _r("rank", 8))
 
 
-@_add("pagerank_symmetric", "e adj n", "SELECT id, round(r, 8) AS rank FROM r10", "se AS (SELECT v AS src, nbr AS dst FROM adj), " + _pagerank_sql("n", "se"))
+@_add("pagerank_symmetric", "e adj n", "SELECT id, round(r, 8) AS rank FROM r100", "se AS (SELECT v AS src, nbr AS dst FROM adj), " + _pagerank_sql("n", "se"))
 def _(s, d):
     return rank.pagerank(T.nodes(s, d), G.adjacency(T.edges(s, d)).toDF("src", "dst")).select("id", _r("rank", 8))
 
 
-@_add("pagerank_pair", "e n p", "SELECT pair_id, round(coalesce(a.r, 0) + coalesce(b.r, 0), 8) AS pagerank_sum, round(abs(coalesce(a.r, 0) - coalesce(b.r, 0)), 8) AS pagerank_diff FROM p LEFT JOIN r10 a ON a.id = p.u LEFT JOIN r10 b ON b.id = p.v", _RANK)
+@_add("pagerank_pair", "e n p", "SELECT pair_id, round(coalesce(a.r, 0) + coalesce(b.r, 0), 8) AS pagerank_sum, round(abs(coalesce(a.r, 0) - coalesce(b.r, 0)), 8) AS pagerank_diff FROM p LEFT JOIN r100 a ON a.id = p.u LEFT JOIN r100 b ON b.id = p.v", _RANK)
 def _(s, d):
     return _feature("pagerank_pair")(s, d).select("pair_id", _r("pagerank_sum", 8), _r("pagerank_diff", 8))
 
@@ -303,8 +323,8 @@ def _(s, d):
 
 
 @_add(
-    "baseline15", "e adj deg n t p pd cn hood al",
-    "SELECT hood.pair_id, hood.split, hood.u, hood.v, hood.y, du + dv AS degree_sum, abs(du - dv) AS degree_diff, lu + lv AS length_sum, abs(lu - lv) AS length_diff, common_terms, hops AS shortest_path, cn AS common_neighbors, round(CASE WHEN du + dv - cn > 0 THEN cn::DOUBLE / (du + dv - cn) ELSE 0 END, 6) AS jaccard, round(aa::DOUBLE, 6) AS adamic_adar, ra::BIGINT AS resource_allocation, round(1 / (1 + exp(-(du * dv)::DOUBLE)), 6) AS preferential_attachment, round(CASE WHEN du * dv > 0 THEN cn / sqrt((du * dv)::DOUBLE) ELSE 0 END, 6) AS salton, round(coalesce(a.r, 0) + coalesce(b.r, 0), 8) AS pagerank_sum, round(abs(coalesce(a.r, 0) - coalesce(b.r, 0)), 8) AS pagerank_diff, common_authors FROM hood JOIN ov ON ov.pair_id = hood.pair_id JOIN ca ON ca.pair_id = hood.pair_id JOIN sp ON sp.u = hood.u AND sp.v = hood.v LEFT JOIN r10 a ON a.id = hood.u LEFT JOIN r10 b ON b.id = hood.v",
+    "baseline15", "e adj deg n t p pd cn hood al na",
+    "SELECT hood.pair_id, hood.split, hood.u, hood.v, hood.y, du + dv AS degree_sum, abs(du - dv) AS degree_diff, lu + lv AS length_sum, abs(lu - lv) AS length_diff, common_terms, hops AS shortest_path, cn AS common_neighbors, round(CASE WHEN du + dv - cn > 0 THEN cn::DOUBLE / (du + dv - cn) ELSE 0 END, 6) AS jaccard, round(aa::DOUBLE, 6) AS adamic_adar, ra::BIGINT AS resource_allocation, round(1 / (1 + exp(-(du * dv)::DOUBLE)), 6) AS preferential_attachment, round(CASE WHEN du * dv > 0 THEN cn / sqrt((du * dv)::DOUBLE) ELSE 0 END, 6) AS salton, round(coalesce(a.r, 0) + coalesce(b.r, 0), 8) AS pagerank_sum, round(abs(coalesce(a.r, 0) - coalesce(b.r, 0)), 8) AS pagerank_diff, common_authors FROM hood JOIN ov ON ov.pair_id = hood.pair_id JOIN ca ON ca.pair_id = hood.pair_id JOIN sp ON sp.u = hood.u AND sp.v = hood.v LEFT JOIN r100 a ON a.id = hood.u LEFT JOIN r100 b ON b.id = hood.v",
     ", ".join([_OVER, _CA, _HOPS, _RANK]),
 )
 def _(s, d):
@@ -340,7 +360,7 @@ def _(s, d):
     return A.first_author(T.node_author(s, d))
 
 
-@_add("author_pagerank", "e al na ag", "SELECT id, round(r, 8) AS rank FROM r10", _ARANK)
+@_add("author_pagerank", "e al na ag", "SELECT id, round(r, 8) AS rank FROM r100", _ARANK)
 def _(s, d):
     return _feature("author_pagerank")(s, d).select("id", _r("rank", 8))
 
@@ -359,7 +379,7 @@ def _(s, d):
 
 @_add(
     "author_block6", "e al na ag f p ap",
-    "SELECT ap.pair_id, ap.split, ap.y, coalesce(hops, 15) AS author_path, round(su.cn / (1e-8::DOUBLE + su.un), 6) AS author_jaccard, round(least(coalesce(x.r, 0), coalesce(z.r, 0)), 8) AS rank_min, round(greatest(coalesce(x.r, 0), coalesce(z.r, 0)), 8) AS rank_max, round(least(coalesce(s1.strength, 0), coalesce(s2.strength, 0)), 6) AS weight_min, round(greatest(coalesce(s1.strength, 0), coalesce(s2.strength, 0)), 6) AS weight_max FROM ap JOIN su ON su.pair_id = ap.pair_id LEFT JOIN ah ON ah.u = ap.u AND ah.v = ap.v LEFT JOIN r10 x ON x.id = ap.u LEFT JOIN r10 z ON z.id = ap.v LEFT JOIN st s1 ON s1.src = ap.u LEFT JOIN st s2 ON s2.src = ap.v",
+    "SELECT ap.pair_id, ap.split, ap.y, coalesce(hops, 15) AS author_path, round(su.cn / (1e-8::DOUBLE + su.un), 6) AS author_jaccard, round(least(coalesce(x.r, 0), coalesce(z.r, 0)), 8) AS rank_min, round(greatest(coalesce(x.r, 0), coalesce(z.r, 0)), 8) AS rank_max, round(least(coalesce(s1.strength, 0), coalesce(s2.strength, 0)), 6) AS weight_min, round(greatest(coalesce(s1.strength, 0), coalesce(s2.strength, 0)), 6) AS weight_max FROM ap JOIN su ON su.pair_id = ap.pair_id LEFT JOIN ah ON ah.u = ap.u AND ah.v = ap.v LEFT JOIN r100 x ON x.id = ap.u LEFT JOIN r100 z ON z.id = ap.v LEFT JOIN st s1 ON s1.src = ap.u LEFT JOIN st s2 ON s2.src = ap.v",
     ", ".join([_SUCC, _AHOPS, _ARANK, _STR]),
 )
 def _(s, d):
@@ -367,11 +387,20 @@ def _(s, d):
     return x.select("pair_id", "split", "y", "author_path", _r("author_jaccard"), _r("rank_min", 8), _r("rank_max", 8), _r("weight_min"), _r("weight_max"))
 
 
-@_add("bfs_ball_distance", "e al na p", "SELECT p.pair_id, count(x.author) AS shared, round(exp(-count(x.author)::DOUBLE), 6) AS distance FROM p LEFT JOIN (SELECT DISTINCT id, author FROM na) x ON x.id = p.u AND EXISTS (SELECT 1 FROM na y WHERE y.id = p.v AND y.author = x.author) GROUP BY p.pair_id")
+_BALLS = (
+    """m AS (SELECT DISTINCT id, author FROM na WHERE id IN (SELECT u FROM p UNION SELECT v FROM p)), way AS (SELECT a AS src, b AS dst FROM ag), """
+    + _levels_sql("SELECT id AS s, author AS w FROM m", "way", 15)
+    + """, dp AS (SELECT s, max(d) AS depth FROM ds GROUP BY s), q AS (SELECT pair_id, u, v, least(x.depth, y.depth) AS most FROM p JOIN dp x ON x.s = u JOIN dp y ON y.s = v),
+sh AS (SELECT pair_id, count(*) AS shared FROM q JOIN ds x ON x.s = u AND x.d <= most JOIN ds y ON y.s = v AND y.w = x.w AND y.d <= most GROUP BY pair_id)"""
+)
+
+
+@_add("bfs_ball_distance", "e al na ag p", "SELECT p.pair_id, coalesce(shared, 0) AS shared, round(exp(-coalesce(shared, 0)::DOUBLE), 6) AS distance FROM p LEFT JOIN sh ON sh.pair_id = p.pair_id", _BALLS)
 def _(s, d):
-    """Balls of radius 0: shared authors. Wider balls run in the tests on small graphs."""
-    na = T.node_author(s, d)
-    x = paths.ball_distance(T.pairs(s, d).select("pair_id", "u", "v"), na.select("id", F.col("author").alias("node")), A.coauthor_pairs(na).toDF("src", "dst", "w"), 0)
+    """Balls of up to sixteen levels around the authors of both papers, in the author graph."""
+    given = features.given(s, d)
+    graph = features.registry.build(["author_graph"], given)["author_graph"]
+    x = paths.ball_distance(T.pairs(s, d).select("pair_id", "u", "v"), given["node_author"].select("id", F.col("author").alias("node")), graph)
     return x.select("pair_id", "shared", _r("distance"))
 
 

@@ -35,7 +35,56 @@ def test_hops(spark, edges):
 def test_long_path(spark):
     line = spark.createDataFrame([(i, i + 1) for i in range(6)], "src bigint, dst bigint")
     pairs = spark.createDataFrame([(0, 3), (0, 4), (0, 5)], "u bigint, v bigint")
-    assert {tuple(x) for x in paths.hops(pairs, line).select("u", "v", "hops").collect()} == {(0, 3, 3), (0, 4, 4), (0, 5, -1)}
+    assert {tuple(x) for x in paths.hops(pairs, line).select("u", "v", "hops").collect()} == {(0, 3, 3), (0, 4, 4), (0, 5, 5)}
+    assert {x["hops"] for x in paths.hops(pairs, line, most=4).collect()} == {3, 4, -1}
+
+
+def shortest(out, s, t):
+    """Breadth first, by hand."""
+    level, seen, k = {s}, {s}, 0
+    while level and t not in level:
+        level, k = {y for x in level for y in out.get(x, ())} - seen, k + 1
+        seen |= level
+    return k if t in level else None
+
+
+def test_hops_of_any_length(spark):
+    import random
+
+    rng = random.Random(1)
+    # a thin graph with long ways, a hub with leaves, and parts without a way between
+    links = {(i, i + rng.randint(1, 3)) for i in range(0, 13)} | {(60, i) for i in range(61, 75)} | {(61, 75), (80, 81)}
+    df = spark.createDataFrame(sorted(links), "src bigint, dst bigint")
+    ends = sorted({(x := rng.choice([*range(16), *range(60, 64), 75, 80, 81, 99]), rng.choice([*range(16), 60, 61, 70, 81, x])) for _ in range(60)})
+    pairs = spark.createDataFrame(ends, "u bigint, v bigint")
+    both: dict = {}
+    for a, b in links:
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+    got = {(x["u"], x["v"]): x["hops"] for x in paths.hops(pairs, df).collect()}
+    for u, v in ends:
+        k = shortest(both, u, v)
+        want = 0 if u == v else -1 if k is None or u not in both else k if k > 1 else 2 if both[u] & both[v] else 3 if len(both[u]) > 1 else 1
+        assert got[u, v] == want, (u, v)
+    out: dict = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+    looped = df.union(spark.createDataFrame([(3, 3), (60, 60)], "src bigint, dst bigint"))
+    got = {(x["u"], x["v"]): x["hops"] for x in authors.directed_hops(pairs, looped).collect()}
+    for u, v in ends:
+        k = shortest(out, u, v)
+        want = 15 if k is None else k if k != 1 else 2 if any(v in out.get(w, ()) for w in out[u] - {u, v}) else 1
+        assert got[u, v] == want, (u, v)
+
+
+def test_blank_authors_and_white_space(spark):
+    lists = spark.createDataFrame([(0, ["A", "", None, "B", "B"]), (1, ["", None, "B", "A"]), (2, None)], "id bigint, authors array<string>")
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 0, 2)], "pair_id bigint, u bigint, v bigint")
+    assert {x["pair_id"]: x["common_authors"] for x in P.common_authors(pairs, lists).collect()} == {0: 2, 1: 0}
+    wide = "\u2003".join("ab") + "\u3000c\x0bd\x0ce\x85f\x1cg\u00a0h\u1680i\u2028j"
+    nodes = spark.createDataFrame([(0, wide), (1, " ")], "id bigint, abstract string")
+    got = {x["id"]: (x["chars"], x["terms"]) for x in text.term_sets(nodes).collect()}
+    assert got == {0: (len(wide), wide.split()), 1: (1, [])}
 
 
 def test_rank_loses_what_dangles(spark, edges):
@@ -63,9 +112,9 @@ def test_ball(spark):
     out = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c")], "src string, dst string")
     members = spark.createDataFrame([(0, "a"), (1, "x")], "id bigint, node string")
     pairs = spark.createDataFrame([(7, 0, 1), (8, 0, 9)], "pair_id bigint, u bigint, v bigint")
-    got = {x["pair_id"]: x["shared"] for x in paths.ball_distance(pairs, members, out, 2).collect()}
+    got = {x["pair_id"]: x["shared"] for x in paths.ball_distance(pairs, members, out, 3).collect()}
     assert got == {7: 0, 8: 0}  # x goes one step, so a's ball is cut there and lacks c
-    got = {x["pair_id"]: x["shared"] for x in paths.ball_distance(pairs, members, out.union(spark.createDataFrame([("c", "d")], "src string, dst string")), 2).collect()}
+    got = {x["pair_id"]: x["shared"] for x in paths.ball_distance(pairs, members, out.union(spark.createDataFrame([("c", "d")], "src string, dst string")), 3).collect()}
     assert got[7] == 1
 
 
