@@ -2,7 +2,8 @@
 
 Texts are brought to their consistent form (lookalike), and cut into words. Every document is covered by aligned windows
 of `span` words, every evaluation passage by the windows at all its offsets, so a run of 2 * span - 1 words that both
-share contains a document window equal to a passage window. Windows are TF-IDF vectors over the words of the evaluation
+share contains a document window equal to a passage window. As punctuation and spacing don't matter, numbers typed with
+separators (4,108) are also read as one word, on both sides. Windows are TF-IDF vectors over the words of the evaluation
 texts, which are few and do not grow; document frequencies and a randomised SVD are computed from the windows of all
 documents, as sums over partitions. Both kinds of window are projected into the latent space; passage windows are
 gathered in cells around centres, a document window is compared with those of the cells nearest to it, and pairs of high
@@ -31,31 +32,50 @@ _GAP = 64
 
 
 class Passages(NamedTuple):
-    """The evaluation side: word numbers, and all passages in one row of numbers, with gaps of -2 between."""
+    """The evaluation side: word numbers, and all passages in one row of numbers, with gaps of -2 between; a passage whose numbers have separators is there in both readings."""
 
     vocab: dict[str, int]
     tokens: np.ndarray
     item: np.ndarray  # row of the passage at each place
     items: list
+    weight: np.ndarray  # words as typed that each place stands for
 
 
-def _passages(evals: DataFrame, form: Former) -> Passages:
+def _merged(found: list[str]) -> tuple[list[str], list[int]]:
+    """words with those of three digits joined to the number before them, and how many words each stands for."""
+    out: list[str] = []
+    weight: list[int] = []
+    for w in found:
+        if len(w) == 3 and w.isdecimal() and out and out[-1].isdecimal():
+            out[-1] += w
+            weight[-1] += 1
+        else:
+            out.append(w)
+            weight.append(1)
+    return out, weight
+
+
+def _passages(evals: DataFrame, form: Former, readings: int = 1) -> Passages:
     rows = evals.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id"])
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size > 6 * MOST_PASSAGE_WORDS:
         raise ValueError(f"evaluation texts of {size} characters are too many to hold on every executor; run them in parts")
     vocab: dict[str, int] = {}
-    tokens, item, items = [np.full(_GAP, -2, dtype=np.int32)], [np.full(_GAP, -1, dtype=np.int32)], []
+    tokens, item, weight, items = [np.full(_GAP, -2, dtype=np.int32)], [np.full(_GAP, -1, dtype=np.int32)], [np.zeros(_GAP, np.int64)], []
     for item_id, text in sorted((r["item_id"], r["text"]) for r in rows.collect()):
-        ids = np.array([vocab.setdefault(w, len(vocab)) for w in words(form(text)[0])], dtype=np.int32)
-        tokens += [ids, np.full(_GAP, -2, dtype=np.int32)]
-        item += [np.full(len(ids), len(items), dtype=np.int32), np.full(_GAP, -1, dtype=np.int32)]
+        typed = words(form(text)[0])
+        joined, counts = _merged(typed)
+        for ws, n in [(typed, [1] * len(typed)), (joined, counts)][: readings if len(joined) < len(typed) else 1]:
+            ids = np.array([vocab.setdefault(w, len(vocab)) for w in ws], dtype=np.int32)
+            tokens += [ids, np.full(_GAP, -2, dtype=np.int32)]
+            item += [np.full(len(ids), len(items), dtype=np.int32), np.full(_GAP, -1, dtype=np.int32)]
+            weight += [np.array(n, np.int64), np.zeros(_GAP, np.int64)]
         items.append(item_id)
-    return Passages(vocab, np.concatenate(tokens), np.concatenate(item), items)
+    return Passages(vocab, np.concatenate(tokens), np.concatenate(item), items, np.concatenate(weight))
 
 
 def _encoded(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
-    """(doc_id, ids): the word numbers of every document as 32-bit integers, -1 for words that are in no passage."""
+    """(doc_id, reading, ids): the word numbers of every document as 32-bit integers, -1 for words that are in no passage; as reading 1 those of documents whose joined numbers differ and are in a passage."""
     t = tables(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(vocab)
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
@@ -63,10 +83,16 @@ def _encoded(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         form, get = Former(t), known.value.get
         for b in batches:
-            ids = [np.array([get(w, -1) for w in words(form(x)[0])], dtype=np.int32) for x in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [x.tobytes() for x in ids]})
+            out = []
+            for i, x in zip(b["doc_id"], b["text"]):
+                typed = words(form(x)[0])
+                out.append((i, 0, np.array([get(w, -1) for w in typed], dtype=np.int32).tobytes()))
+                joined, weight = _merged(typed)
+                if any(n > 1 and w in known.value for w, n in zip(joined, weight)) or len(joined) < len(typed) and any(w in known.value for w in joined if len(w) > 3 and w.isdecimal()):
+                    out.append((i, 1, np.array([get(w, -1) for w in joined], dtype=np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "reading", "ids"])
 
-    return rows.mapInPandas(run, "doc_id bigint, ids binary")
+    return rows.mapInPandas(run, "doc_id bigint, reading int, ids binary")
 
 
 def _windows(ids: pd.Series, span: int) -> np.ndarray:
@@ -76,15 +102,15 @@ def _windows(ids: pd.Series, span: int) -> np.ndarray:
 
 
 def _matrix_sum(df: DataFrame, part, rows: int, cols: int) -> np.ndarray:
-    """Sum over partitions of part(batches) (rows x cols, float64): slices are added up in two rounds, so no task gets more than a share."""
-    slices = min(16, rows)
+    """Sum over partitions of part(batches) (rows x cols, float64): slices are added up in two rounds, each of as many parts as the root of the partitions."""
+    slices, lots = min(16, rows), max(1, round(df.rdd.getNumPartitions() ** 0.5))
     cut = np.linspace(0, rows, slices + 1).astype(int)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         m = part(batches)
-        yield pd.DataFrame({"slice": range(slices), "lot": TaskContext.get().partitionId() % 32, "m": [np.ascontiguousarray(m[a:b]).tobytes() for a, b in zip(cut, cut[1:])]})
+        yield pd.DataFrame({"slice": range(slices), "lot": TaskContext.get().partitionId() % lots, "m": [np.ascontiguousarray(m[a:b]).tobytes() for a, b in zip(cut, cut[1:])]})
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, dtype=np.float64) for x in g["m"]], axis=0)
@@ -231,19 +257,20 @@ def _candidates(z: np.ndarray, ix: Index, least: float, probes: int) -> tuple[np
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(cos)
 
 
-def _runs(doc: np.ndarray, at: np.ndarray, tokens: np.ndarray, place: np.ndarray, span: int) -> np.ndarray:
-    """Length of the run of equal words through each pair of windows; 0 where the windows themselves differ. Stops and unknown words equal nothing."""
+def _runs(doc: np.ndarray, at: np.ndarray, tokens: np.ndarray, place: np.ndarray, span: int, before: np.ndarray) -> np.ndarray:
+    """Words (before: those ahead of each place of tokens) of the run of equal numbers through each pair of windows; 0 where the windows themselves differ. Stops and unknown words equal nothing."""
     steps = np.arange(span)
     same = (doc[at[:, None] + steps] == tokens[place[:, None] + steps]).all(axis=1)
-    length = np.where(same, span, 0)
+    ends = []
     for sign, start in ((1, span), (-1, -1)):
-        live, k = np.flatnonzero(same), 0
+        live, k, more = np.flatnonzero(same), 0, np.zeros(len(at), np.int64)
         while len(live):
             ok = doc[at[live] + start + sign * k] == tokens[place[live] + start + sign * k]
             live = live[ok]
-            length[live] += 1
+            more[live] += 1
             k += 1
-    return length
+        ends.append(more)
+    return np.where(same, before[place + span + ends[0]] - before[place - ends[1]], 0)
 
 
 def _local(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], int]:
@@ -322,26 +349,26 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> int:
 class _Search(NamedTuple):
     encoded: DataFrame
     items: np.ndarray
-    sent: object  # broadcast: tokens, item, items, space, index
+    sent: object  # broadcast: tokens, item, items, space, index, words ahead of each place
     span: int
 
 
 def _prepared(docs: DataFrame, evals: DataFrame, run_words: int, rank: int) -> _Search | None:
     """Documents as word numbers, and the latent index of the passages on every executor; None without a passage."""
     spark = docs.sparkSession
-    span = (run_words + 1) // 2
-    p = _passages(evals, Former(tables(spark)))
+    span = run_words // 2  # two words less than a run may have, for numbers that are joined
+    p = _passages(evals, Former(tables(spark)), readings=2)
     if not p.vocab:
         return None
     encoded = store(_encoded(docs, p.vocab), "encoded")
-    space = fit(encoded, len(p.vocab), span, rank)
+    space = fit(encoded.where("reading = 0"), len(p.vocab), span, rank)
     items = np.array(p.items, dtype=np.int64)
-    return _Search(encoded, items, spark.sparkContext.broadcast((p.tokens, p.item, items, space, index(p, space, span))), span)
+    return _Search(encoded, items, spark.sparkContext.broadcast((p.tokens, p.item, items, space, index(p, space, span), np.concatenate([[0], np.cumsum(p.weight)]))), span)
 
 
 def _hits(batches: Iterator[pd.DataFrame], sent: tuple, span: int, cosine: float, probes: int) -> Iterator[tuple]:
     """For each batch: its ids, the words of its documents in one row, and of each candidate pair of windows the document, the places on both sides and the cosine."""
-    _, _, _, space, ix = sent
+    _, _, _, space, ix, _ = sent
     gap = np.full(1, -4, dtype=np.int32)
     for b in batches:
         parts, starts, owner, pos = [gap], [], [], 1
@@ -368,7 +395,7 @@ def _hits(batches: Iterator[pd.DataFrame], sent: tuple, span: int, cosine: float
 def leaks(docs: DataFrame, evals: DataFrame, run_words: int = 15, rank: int = 32, cosine: float = 0.97, probes: int = 2) -> DataFrame:
     """(doc_id, item_id, run, cosine): documents that hold at least run_words consecutive words of a passage, with the longest run found and the best cosine.
 
-    Words are compared in their consistent form without case. Null or empty texts and passages of fewer than run_words
+    Words are compared in their consistent form without case; 4,108 and 4108 are the same. Null or empty texts and passages of fewer than run_words
     words are in no row; ids delivered again count once.
     """
     spark = docs.sparkSession
@@ -379,9 +406,9 @@ def leaks(docs: DataFrame, evals: DataFrame, run_words: int = 15, rank: int = 32
     sent, span = search.sent, search.span
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, item, items, _, _ = sent.value
+        tokens, item, items, _, _, before = sent.value
         for ids, doc, own, at, place, cos in _hits(batches, sent.value, span, cosine, probes):
-            length = _runs(doc, at, tokens, place, span)
+            length = _runs(doc, at, tokens, place, span, before)
             ok = length >= run_words
             if ok.any():
                 yield pd.DataFrame({"doc_id": ids[own[ok]], "item": items[item[place[ok]]], "run": length[ok], "cosine": cos[ok]}).groupby(["doc_id", "item"], as_index=False).max()
@@ -443,7 +470,7 @@ def paraphrases(docs: DataFrame, evals: DataFrame, share: float = 0.5, run_words
     p = _passages(evals, Former(tables(spark)))
     if not p.vocab:
         return spark.createDataFrame([], schema.replace("item ", "item_id "))
-    encoded = store(_encoded(docs, p.vocab), "encoded")
+    encoded = store(_encoded(docs, p.vocab).where("reading = 0"), "encoded")
     held = np.flatnonzero(p.item >= 0)
     size = np.bincount(p.item[held], minlength=len(p.items))
     texts = np.split(p.tokens[held], np.cumsum(size)[:-1])

@@ -402,6 +402,15 @@ def test_near():
 # documents
 
 
+def test_leaks_numbers_with_separators(spark):
+    w = [f"word{i}" for i in range(7)] + ["4,108"] + [f"more{i}" for i in range(7)]
+    passage = " ".join(["ahead", *w, "behind"])
+    docs = [(1, " ".join(w)), (2, " ".join(w).replace("4,108", "4108")), (3, " ".join(w).replace("4,108", "4\u2009108")), (4, " ".join(w).replace("4,108", "4109")), (5, " ".join(w[1:-1]).replace("4,108", "4108"))]
+    evals = spark.createDataFrame([(9, passage)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["run"] for r in leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), evals).collect()}
+    assert got == {(1, 9): 16, (2, 9): 16, (3, 9): 16}
+
+
 def test_plan():
     rng = random.Random(0)
     for _ in range(200):
