@@ -21,9 +21,26 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def word_runs(text: Column | str) -> Column:
+    """Runs of letters, digits and underscores, lower-cased."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{M}_]+"), 0)
+
+
+def stop_words() -> list[str]:
+    """The English stop words that come with Spark."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
 def admitted(token: Column, stop: list[str]) -> Column:
-    """Neither a stop word nor a whole number below 10 000 nor a word with a digit or a letter outside ASCII."""
-    return ~token.isin(*stop) & ~token.rlike(r"^(0|[1-9][0-9]{0,3})$") & token.rlike(r"^[a-z]+$") if stop else token.rlike(r"^[a-z]+$")
+    """Neither a stop word nor a whole number below 10 000, and without a character from U+007F to U+3FFF or a mark of punctuation."""
+    return ~token.isin(*stop) & ~token.rlike(r"^(0|[1-9][0-9]{0,3})$") & token.rlike(r"^[0-9A-Za-z\x{4000}-\x{10ffff}]+$")
+
+
+def is_subword(token: Column) -> Column:
+    """Whether a token goes on a word begun before it, as marked by a double sharp."""
+    return token.startswith("##")
 
 
 def plain_quotes(text: Column | str) -> Column:

@@ -4,42 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from inkweave.operators import paths
 from inkweave.operators.graph import numbered
 from inkweave.sources.shared import store
 
+_PLACES = 256
+
 
 def author_index(na: DataFrame) -> DataFrame:
     """(author_idx, name, freq): names numbered from 0 in their order; a name listed twice on a paper counts twice.
 
-    The sort is distributed: names are range-partitioned, and ranges are numbered by their counts.
+    The sort is distributed.
     """
     freq = na.groupBy(F.col("author").alias("name")).agg(F.count("*").alias("freq"))
-    head = F.conv(F.hex(F.substring(F.encode(F.rpad("name", 4, "\x00"), "utf-8"), 1, 4)), 16, 10).cast("bigint")
-    return numbered_by_name(freq.withColumn("head", head)).select("author_idx", "name", "freq")
-
-
-def numbered_by_name(df: DataFrame) -> DataFrame:
-    """author_idx by name: rows are ranked within equal first bytes, which sort as the names do."""
-    from pyspark.sql import Window as W
-
-    sizes = df.groupBy("head").agg(F.count("*").alias("n"))
-    before = numbered(sizes, "head", "at").select("head", "n", "at")
-    # running sum over the distinct first bytes, in 1 024 groups
-    group = before.withColumn("g", F.floor(F.col("at") / 1024))
-    totals = group.groupBy("g").agg(F.sum("n").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = group.withColumn("inner", inner).join(totals.select("g", "base"), "g").select("head", (F.col("inner") + F.col("base")).alias("start"))
-    ranked = df.withColumn("r", F.row_number().over(W.partitionBy("head").orderBy("name")) - 1)
-    return ranked.join(starts, "head").withColumn("author_idx", F.col("r") + F.col("start"))
+    return numbered(freq, "name", "author_idx").select("author_idx", "name", "freq")
 
 
 def coauthor_pairs(na: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(a, b, w): every two names of a paper in the order of listing, alpha each."""
-    x = na.select("id", F.col("pos").alias("p"), F.col("author").alias("a"))
-    y = na.select("id", F.col("pos").alias("q"), F.col("author").alias("b"))
-    return x.join(y, "id").where("p < q").select("a", "b", F.lit(alpha).alias("w"))
+    # long lists are cut into blocks of places, and every two blocks of a paper meet apart
+    cut = na.withColumn("block", F.floor(F.col("pos") / _PLACES).cast("int"))
+    top = F.max("block").over(W.partitionBy("id"))
+    x = cut.withColumn("top", top).select("id", "block", F.explode(F.sequence(F.col("block"), F.col("top"))).alias("other"), F.col("pos").alias("p"), F.col("author").alias("a"))
+    y = cut.select("id", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("other"), F.col("pos").alias("q"), F.col("author").alias("b"))
+    return x.join(y, ["id", "block", "other"]).where("p < q").select("a", "b", F.lit(alpha).alias("w"))
 
 
 def citation_pairs(edges: DataFrame, na: DataFrame, beta: float = 0.5) -> DataFrame:
@@ -64,6 +54,24 @@ def first_author(na: DataFrame) -> DataFrame:
     return na.groupBy("id").agg(F.min_by("author", "pos").alias("author"))
 
 
+def pair_features(pairs: DataFrame, out: DataFrame, ranks: DataFrame, strength: DataFrame) -> DataFrame:
+    """pairs (pair_id, u, v) of authors with all eleven features: path, successors in common, of u and of v, their Jaccard, Adamic-Adar by 1 / ln(1 + d), preferential attachment, lesser and greater rank and link strength."""
+    from inkweave.operators import rank
+
+    o = store(out.select("src", "dst").distinct(), "out")
+    d = store(o.groupBy("src").agg(F.count("*").alias("d")), "out_degree")
+    x = successors(pairs, o).join(directed_hops(pairs, o), ["u", "v"], "left").join(d.toDF("u", "du"), "u", "left").join(d.toDF("v", "dv"), "v", "left")
+    key = pairs.select("u", "v").distinct()
+    shared = key.join(o.toDF("u", "w"), "u").join(o.toDF("v", "w"), ["v", "w"], "left_semi")
+    aa = shared.join(d.toDF("w", "dw"), "w", "left").groupBy("u", "v").agg(F.sum(1 / F.log1p(1e-8 + F.coalesce("dw", F.lit(0)))).alias("aa"))
+    x = rank.on_pairs(x.join(aa, ["u", "v"], "left"), ranks)
+    x = x.join(strength.toDF("u", "su"), "u", "left").join(strength.toDF("v", "sv"), "v", "left").fillna(0, ["du", "dv", "su", "sv", "aa"])
+    return x.select(
+        "pair_id", F.coalesce("hops", F.lit(15)).alias("path"), F.col("cn").alias("common"), F.col("du").alias("near_u"), F.col("dv").alias("near_v"), "jaccard", F.col("aa").alias("adamic_adar"),
+        (F.col("du") * F.col("dv")).alias("attachment"), "rank_min", "rank_max", F.least("su", "sv").alias("weight_min"), F.greatest("su", "sv").alias("weight_max"),
+    )
+
+
 def successors(pairs: DataFrame, out: DataFrame) -> DataFrame:
     """pairs (pair_id, u, v) with cn, un and jaccard = cn / (1e-8 + un) over the targets of out (src, dst), distinct."""
     o = out.select("src", "dst").distinct()

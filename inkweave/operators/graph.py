@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from inkweave.sources.shared import parallel, store
+
 
 def hash31(*parts: Column | str, seed: str = "") -> Column:
     """A number below 2**32 from the first digits of an md5, the same in any SQL engine."""
@@ -50,6 +52,25 @@ def non_edges(nodes: DataFrame, edges: DataFrame, each: int = 10, seed: str = "n
     return drawn.join(edges, ["src", "dst"], "left_anti").select(F.col("src").alias("u"), F.col("dst").alias("v"))
 
 
+def exact_non_edges(nodes: DataFrame, edges: DataFrame, m: int, seed: str = "exact", more: int = 2) -> DataFrame:
+    """(u, v), u < v: exactly m different hashed pairs that are no edge, or all that the draws gave where there are fewer. Draws are repeated `more` times over; the first m by a hash of the pair are taken."""
+    n = max(1, nodes.count())
+    drawn = non_edges(nodes, edges, max(1, -(-m * more // n)), seed).withColumn("h", F.xxhash64("u", "v"))
+    return numbered(drawn, "h", "row").where(F.col("row") < m).select("u", "v")
+
+
+def masked(nodes: DataFrame, edges: DataFrame, test: int = 200, dev: int = 200, seed: str = "mask") -> DataFrame:
+    """(u, v, split, y): edges in test, dev or train by shares of 10 000, and for each split as many non-edges as it has edges, none of them in two splits."""
+    at = hash31("src", "dst", seed=seed) % 10_000
+    pos = edges.withColumn("split", F.when(at < test, "test").when(at < test + dev, "dev").otherwise("train"))
+    n = {r["split"]: r["n"] for r in pos.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    neg = numbered(exact_non_edges(nodes, edges, total, seed).withColumn("h", F.xxhash64("u", "v", F.lit(seed))), "h", "row")
+    first, second = n.get("test", 0), n.get("test", 0) + n.get("dev", 0)
+    split = F.when(F.col("row") < first, "test").when(F.col("row") < second, "dev").otherwise("train")
+    return pos.select(F.col("src").alias("u"), F.col("dst").alias("v"), "split", F.lit(1).alias("y")).unionByName(neg.select("u", "v", split.alias("split"), F.lit(0).alias("y")))
+
+
 def labelled(edges: DataFrame, negatives: DataFrame) -> DataFrame:
     """(u, v, y): edges with 1, negatives with 0."""
     return edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).alias("y")).unionByName(negatives.select("u", "v", F.lit(0).alias("y")))
@@ -89,12 +110,6 @@ def message_pass(edges: DataFrame, state: DataFrame, message: Column, reduce) ->
     return sent.groupBy("id").agg(reduce("m").alias("m"))
 
 
-def mean_neighbours(adj: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(id, pos, m): mean over neighbours of each position of their vectors, aggregated before the shuffle."""
-    flat = vectors.select(F.col("id").alias("nbr"), F.posexplode("h").alias("pos", "x"))
-    return adj.join(flat, "nbr").groupBy(F.col("v").alias("id"), "pos").agg(F.avg("x").alias("m"))
-
-
 def gcn_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, w) of the symmetrically normalised adjacency with self-loops, both orientations."""
     loops = nodes.select(F.col("id").alias("v"), F.col("id").alias("nbr"))
@@ -104,12 +119,6 @@ def gcn_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.select(F.col("v").alias("src"), F.col("nbr").alias("dst"), (1 / F.sqrt(F.col("d") * F.col("dn"))).alias("w"))
 
 
-def propagate(weights: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(id, pos, m): one step of weighted sums over neighbours."""
-    flat = vectors.select(F.col("id").alias("dst"), F.posexplode("h").alias("pos", "x"))
-    return weights.join(flat, "dst").groupBy(F.col("src").alias("id"), "pos").agg(F.sum(F.col("w") * F.col("x")).alias("m"))
-
-
 def attention(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """(src, dst, a): softmax of scores (src, dst, s) over the in-edges of dst, by two aggregates."""
     peak = scores.groupBy("dst").agg(F.max("s").alias("peak"))
@@ -118,18 +127,22 @@ def attention(edges: DataFrame, scores: DataFrame) -> DataFrame:
     return e.join(total, "dst").select("src", "dst", (F.col("e") / F.col("total")).alias("a"))
 
 
+def last(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The last n rows by order."""
+    return df.orderBy(F.desc(order)).limit(n)
+
+
 def tails(df: DataFrame, order: str, n: int) -> DataFrame:
     """The first n / 2 and the last n / 2 rows by order, without numbering the rest."""
     half = n // 2
     return df.orderBy(F.desc(order)).limit(half).unionAll(df.orderBy(order).limit(half))
 
 
-def numbered(df: DataFrame, order: str, name: str = "row", buckets: int = 1024) -> DataFrame:
-    """df with its position from 0 in the order of a whole-number column: rows are ranked within ranges of the column, and ranges by their counts."""
-    edge = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / buckets))
-    cut = df.crossJoin(F.broadcast(edge)).withColumn("bucket", F.floor((F.col(order) - F.col("lo")) / step)).drop("lo", "hi")  # edge is one row
-    sizes = cut.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # at most `buckets` rows
-    ranked = cut.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy(order)) - 1)
-    return ranked.join(F.broadcast(sizes.withColumn("before", before).select("bucket", "before")), "bucket").withColumn(name, F.col("r") + F.col("before")).drop("bucket", "r", "before")
+def numbered(df: DataFrame, order: str, name: str = "row") -> DataFrame:
+    """df with its position from 0 in the order of a column of any sortable type: ranges of the sorted column, cut by sampled quantiles, are numbered by their counts."""
+    ranged = df.repartitionByRange(parallel(df.sparkSession), order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = store(ranged, "ranged").withColumns({"_part": F.shiftright("_at", 33), "_r": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    starts = F.broadcast(sizes.select("_part", before.alias("_before")))
+    return ranged.join(starts, "_part").withColumn(name, F.col("_r") + F.col("_before")).drop("_at", "_part", "_r", "_before")

@@ -12,6 +12,8 @@ from inkweave.functions import vectors as V
 from inkweave.operators import authors as A
 from inkweave.operators import embed, ml, paths, rank, walks
 from inkweave.operators import graph as G
+from inkweave.operators import models as M
+from inkweave.operators import neural as N
 from inkweave.operators import pairs as P
 from inkweave.operators import text as X
 from inkweave.plans import features
@@ -206,7 +208,106 @@ def _(s, d):
 
 @_add("mean_neighbor_agg", "e adj h", "SELECT adj.v AS id, pos - 1 AS pos, round(avg(x), 6) AS m FROM adj JOIN (SELECT id, unnest(h) AS x, generate_subscripts(h, 1) AS pos FROM h) f ON f.id = adj.nbr GROUP BY adj.v, pos")
 def _(s, d):
-    return G.mean_neighbours(G.adjacency(T.edges(s, d)), T.vectors(s, d)).select("id", F.col("pos").cast("bigint").alias("pos"), _r("m"))
+    x = N.mean_vectors(G.adjacency(T.edges(s, d)), T.vectors(s, d)).select("id", F.posexplode("m").alias("pos", "m"))
+    return x.select("id", F.col("pos").cast("bigint").alias("pos"), _r("m"))
+
+
+# given weights for the layers: small numbers by a rule, the same in SQL
+def _w(rows: int, cols: int, seed: int) -> list[list[float]]:
+    return [[((i * 7 + o * 13 + seed) % 11 - 5) / 50 for i in range(cols)] for o in range(rows)]
+
+
+def _w_sql(seed: int) -> str:
+    return f"((((i - 1) * 7 + o * 13 + {seed}) % 11 - 5) / 50.0::DOUBLE)"
+
+
+_MEAN = "fl AS (SELECT id, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM h), mn AS (SELECT adj.v AS id, i, avg(x) AS m FROM adj JOIN fl ON fl.id = adj.nbr GROUP BY adj.v, i), os AS (SELECT unnest(range(8)) AS o)"
+
+
+@_add(
+    "sage_layer", "e adj h",
+    f"SELECT id, o AS pos, round(sum(x * {_w_sql(1)} + coalesce(m, 0) * {_w_sql(2)}), 6) AS z FROM (SELECT fl.id, fl.i, x, m FROM fl LEFT JOIN mn ON mn.id = fl.id AND mn.i = fl.i), os GROUP BY id, o", _MEAN,
+)
+def _(s, d):
+    """A layer of mean aggregation with given weights."""
+    x = N.sage_layer(T.vectors(s, d), T.edges(s, d), _w(8, 64, 1), _w(8, 64, 2))
+    return x.select("id", F.posexplode("h").alias("pos", "z")).select("id", F.col("pos").cast("bigint").alias("pos"), _r("z"))
+
+
+@_add(
+    "gcn_layer", "e adj n h",
+    f"SELECT f.v AS id, o AS pos, round(sum(y / sqrt(a.d::DOUBLE * b.d::DOUBLE)), 6) AS z FROM f JOIN fd a ON a.v = f.v JOIN fd b ON b.v = f.nbr JOIN hy ON hy.id = f.nbr GROUP BY f.v, o",
+    _MEAN + f", f AS (SELECT v, nbr FROM adj UNION ALL SELECT id, id FROM n), fd AS (SELECT v, count(*) AS d FROM f GROUP BY v), hy AS (SELECT id, o, sum(x * {_w_sql(3)}) AS y FROM fl, os GROUP BY id, o)",
+)
+def _(s, d):
+    """A step of graph convolution with given weights."""
+    x = N.gcn_layer(T.nodes(s, d), T.edges(s, d), T.vectors(s, d), _w(8, 64, 3))
+    return x.select("id", F.posexplode("h").alias("pos", "z")).select("id", F.col("pos").cast("bigint").alias("pos"), _r("z"))
+
+
+@_add(
+    "mlp_score", "p h hp",
+    f"SELECT pair_id, round(sum(greatest(z, 0) * ((o * 3 + 4) % 7 - 3) / 10.0::DOUBLE), 6) AS score FROM (SELECT pair_id, o, sum(x * {_w_sql(4)}) AS z FROM (SELECT pair_id, unnest(list_concat(hu, hv)) AS x, generate_subscripts(list_concat(hu, hv), 1) AS i FROM hp), os GROUP BY pair_id, o) GROUP BY pair_id",
+    "os AS (SELECT unnest(range(8)) AS o)",
+)
+def _(s, d):
+    """A hidden layer over both vectors, then one output, with given weights."""
+    out = [((o * 3 + 4) % 7 - 3) / 10 for o in range(8)]
+    return embed.on_pairs(T.pairs(s, d), T.vectors(s, d)).select("pair_id", F.round(N.mlp_score("hu", "hv", _w(8, 128, 4), out), 6).alias("score"))
+
+
+_UNIT = "un AS (SELECT id, list_transform(h, lambda x: x / sqrt(list_dot_product(h, h))) AS h FROM h WHERE list_dot_product(h, h) > 0), ro AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS row FROM (SELECT p.pair_id, a.h AS q, b.h AS c FROM p JOIN un a ON a.id = p.u JOIN un b ON b.id = p.v WHERE p.y = 1)), ba AS (SELECT row // 16 AS batch, row % 16 AS pos, q, c FROM ro), sc AS (SELECT x.batch, x.pos, y.pos AS other, 10 * list_dot_product(x.q, y.c) AS s FROM ba x JOIN ba y ON x.batch = y.batch), il AS (SELECT batch, pos, ln(sum(exp(s - m))) + any_value(m) - max(CASE WHEN other = pos THEN s END) AS loss, (arg_min(other, (round(-s, 9), other)) = pos)::INT AS correct FROM (SELECT *, max(s) OVER (PARTITION BY batch, pos) AS m FROM sc) GROUP BY batch, pos)"
+
+
+def _in_batch(s: SparkSession, d: str) -> DataFrame:
+    unit = T.vectors(s, d).select("id", V.norm("h").alias("n"), "h").where("n > 0").select("id", F.transform("h", lambda x: x / F.col("n")).alias("h"))
+    x = embed.on_pairs(T.pairs(s, d).where("y = 1"), unit).select("pair_id", F.col("hu").alias("q"), F.col("hv").alias("p"))
+    return N.in_batch(N.batches(x, "pair_id", 16), 0.1)
+
+
+@_add("in_batch_scores", "p h", "SELECT batch, pos, round(loss, 6) AS loss, correct FROM il", _UNIT)
+def _(s, d):
+    """Linked papers as query and passage, sixteen to a batch: the others of a batch are the negatives."""
+    return _in_batch(s, d).select("batch", "pos", _r("loss"), "correct")
+
+
+@_add("in_batch_loss", "p h", "SELECT round(avg(m), 6) AS loss, round(avg(c), 6) AS accuracy FROM (SELECT avg(loss) AS m, avg(correct) AS c FROM il GROUP BY batch)", _UNIT)
+def _(s, d):
+    x = _in_batch(s, d).groupBy("batch").agg(F.avg("loss").alias("m"), F.avg("correct").alias("c"))
+    return x.agg(F.avg("m").alias("loss"), F.avg("c").alias("accuracy")).select(_r("loss"), _r("accuracy"))
+
+
+@_add(
+    "vgae_losses", "p h hp",
+    """SELECT round(-0.5::DOUBLE * avg(k) / count(*), 6) AS kl, (SELECT round((sum(1 - y) * sum(CASE WHEN y = 1 THEN ln(1 + exp(-s)) END) / sum(y) + sum(CASE WHEN y = 0 THEN ln(1 + exp(s)) ELSE 0 END)) / count(*), 6)
+    FROM (SELECT p.y, list_dot_product(hu[1:32], hv[1:32]) AS s FROM hp JOIN p ON p.pair_id = hp.pair_id WHERE p.y IN (0, 1))) AS reconstruction
+FROM (SELECT list_sum(list_transform(range(1, 33), lambda i: 1 + 2 * h[i + 32] / 10 - h[i] * h[i] - exp(2 * h[i + 32] / 10))) AS k FROM h)""",
+)
+def _(s, d):
+    """Half of a vector as the mean and half, scaled, as the log deviation of a hidden normal; pairs are decoded by the inner product."""
+    h = T.vectors(s, d)
+    kl = N.gaussian_divergence(h, F.slice("h", 1, 32), F.transform(F.slice("h", 33, 32), lambda x: x / 10))
+    x = embed.on_pairs(T.pairs(s, d).where("y IN (0, 1)"), h).select("y", V.dot(F.slice("hu", 1, 32), F.slice("hv", 1, 32)).alias("s"))
+    return kl.crossJoin(N.weighted_entropy(x, "s", "y")).select(_r("kl"), F.round("loss", 6).alias("reconstruction"))  # one row each
+
+
+@_add("masked_edges")
+def _(s, d):
+    """Two per cent of the edges for test and for dev, and as many non-edges in each split."""
+    return G.masked(T.nodes(s, d), T.edges(s, d))
+
+
+@_add("exact_negatives")
+def _(s, d):
+    """As many non-edges as there are edges."""
+    e = T.edges(s, d)
+    return G.exact_non_edges(T.nodes(s, d), e, e.count())
+
+
+@_add("tail_slice", "p", "SELECT pair_id FROM p ORDER BY pair_id DESC LIMIT 500")
+def _(s, d):
+    """The number of rows is the operator's argument."""
+    return G.last(T.pairs(s, d).select("pair_id"), "pair_id", 500)
 
 
 @_add("message_sum", "e adj deg", "SELECT e.dst AS id, sum(deg.d)::BIGINT AS m FROM e JOIN deg ON deg.v = e.src GROUP BY e.dst")
@@ -432,9 +533,7 @@ def _(s, d):
 
 @_add("term_index", "n tk", "SELECT row_number() OVER (ORDER BY word) - 1 AS word_idx, word, n FROM (SELECT word, count(*) AS n FROM tk GROUP BY word)")
 def _(s, d):
-    c = X.word_counts(T.nodes(s, d)).select(F.col("word").alias("name"), "n")
-    head = F.conv(F.hex(F.substring(F.encode(F.rpad("name", 4, "\x00"), "utf-8"), 1, 4)), 16, 10).cast("bigint")
-    return A.numbered_by_name(c.withColumn("head", head)).select(F.col("author_idx").alias("word_idx"), F.col("name").alias("word"), "n")
+    return G.numbered(X.word_counts(T.nodes(s, d)).select("word", "n"), "word", "word_idx").select("word_idx", "word", "n")
 
 
 @_add("stemmed_vocab")
@@ -442,10 +541,53 @@ def _(s, d):
     return X.stemmed_counts(X.word_counts(T.nodes(s, d)))
 
 
-@_add("admitted_tokens", "n tk", "SELECT word, count(*) AS n FROM tk WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN ('the', 'a', 'an', 'of', 'and', 'is', 'in', 'to', 'for', 'on', 'with') GROUP BY word")
+def _quoted(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+# What the check in SQL takes for stop words among whole tokens (the engine takes the list that comes with Spark, whose other words have an apostrophe).
+_STOP = "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now could would cannot".split()
+
+
+@_add(
+    "admitted_tokens", "n",
+    rf"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(abstract), '[\p{{L}}\p{{N}}\p{{M}}_]+')) AS word FROM n) WHERE regexp_full_match(word, '[0-9A-Za-z\x{{4000}}-\x{{10ffff}}]+') AND NOT regexp_full_match(word, '0|[1-9][0-9]{{0,3}}') AND word NOT IN ({_quoted(_STOP)}) GROUP BY word",
+)
+def _(s, d):
+    words = T.nodes(s, d).select(F.explode(TX.word_runs("abstract")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where(TX.admitted(F.col("word"), TX.stop_words()))
+
+
+@_add("stemmed_vocabulary")
+def _(s, d):
+    """Stems, without stop words, inside the band, numbered."""
+    return X.stemmed_vocabulary(T.nodes(s, d), 10, 100_000)
+
+
+@_add("stemmed_doc_term")
 def _(s, d):
-    c = X.word_counts(T.nodes(s, d))
-    return c.where(TX.admitted(F.col("word"), ["the", "a", "an", "of", "and", "is", "in", "to", "for", "on", "with"])).select("word", "n")
+    from inkweave.sources.shared import store
+
+    return X.stemmed_doc_terms(T.nodes(s, d), store(X.stemmed_vocabulary(T.nodes(s, d), 10, 100_000), "vocabulary"))
+
+
+@_add(
+    "token_views", "e adj deg n p pd",
+    """SELECT pd.pair_id, du AS u_deg, dv AS v_deg, abs(du - dv) AS deg_diff, coalesce(a.ids, z.ids) AS ids_u, coalesce(b.ids, z.ids) AS ids_v, coalesce(a.m, 0) AS tokens_u, coalesce(b.m, 0) AS tokens_v, y
+FROM pd LEFT JOIN ids a ON a.id = pd.u LEFT JOIN ids b ON b.id = pd.v, z""",
+    r"""z AS (SELECT array_to_string(list_transform(range(16), lambda i: 0), ' ') AS ids), l AS (SELECT id, regexp_extract_all(lower(abstract), '[\p{L}\p{N}]+') AS w FROM n),
+x AS (SELECT l.id, t.pos, coalesce(c.word_idx + 2, 1) AS k FROM l, unnest(range(1, least(len(w), 16) + 1)) AS t(pos) LEFT JOIN cora_vocab c ON c.word = l.w[t.pos]),
+ids AS (SELECT id, count(*) AS m, array_to_string(list_concat(list(k ORDER BY pos), list_transform(range(16 - count(*)), lambda i: 0)), ' ') AS ids FROM x GROUP BY id)""",
+)
+def _(s, d):
+    """Pairs with degrees and both texts as sixteen token numbers, for an encoder of two texts."""
+    p = P.with_degrees(T.pairs(s, d), G.degree(G.adjacency(T.edges(s, d))))
+    t = X.token_ids(T.nodes(s, d), T.table(s, d, "cora_vocab"), 16)
+    x = p.join(t.toDF("u", "iu", "mu"), "u", "left").join(t.toDF("v", "iv", "mv"), "v", "left")
+    text = lambda c: F.coalesce(F.concat_ws(" ", F.transform(c, lambda i: i.cast("string"))), F.lit(" ".join(["0"] * 16)))
+    some = lambda c: F.coalesce(F.aggregate(c, F.lit(0), lambda a, i: a + i), F.lit(0)).cast("bigint")
+    shown = lambda c: F.when(F.col(c).isNull(), F.lit(" ".join(["0"] * 16))).otherwise(text(c))
+    return x.select("pair_id", F.col("du").alias("u_deg"), F.col("dv").alias("v_deg"), F.abs(F.col("du") - F.col("dv")).alias("deg_diff"), shown("iu").alias("ids_u"), shown("iv").alias("ids_v"), some("mu").alias("tokens_u"), some("mv").alias("tokens_v"), "y")
 
 
 @_add("passage_views", "n al p", "SELECT p.pair_id, array_to_string(list_filter(a.authors, lambda x: x IS NOT NULL), ',') AS query, n.abstract AS context, p.y AS label FROM p LEFT JOIN al a ON a.id = p.u LEFT JOIN n ON n.id = p.v")
@@ -472,9 +614,21 @@ _NORMS = "sqrt(list_dot_product(hu, hu)) * sqrt(list_dot_product(hv, hv))"
 _add("emb_cosine", "p h hp", f"SELECT pair_id, round(CASE WHEN {_NORMS} > 0 THEN list_dot_product(hu, hv) / ({_NORMS}) END, 6) AS cosine FROM hp")(_vec(lambda: [F.round(V.cosine("hu", "hv"), 6).alias("cosine")]))
 _add("emb_cosine01", "p h hp", f"SELECT pair_id, round((CASE WHEN {_NORMS} > 0 THEN list_dot_product(hu, hv) / ({_NORMS}) END + 1) / 2, 6) AS score FROM hp")(_vec(lambda: [F.round((V.cosine("hu", "hv") + 1) / 2, 6).alias("score")]))
 _add("dot_score", "p h hp", "SELECT pair_id, round(1 / (1 + exp(-list_dot_product(hu, hv))), 6) AS score FROM hp")(_vec(lambda: [F.round(P.sigmoid(V.dot("hu", "hv")), 6).alias("score")]))
-_add("emb_concat", "p h hp", "SELECT pair_id, len(hu) + len(hv) AS width, round(list_sum(hu) + list_sum(hv), 6) AS total FROM hp")(_vec(lambda: [F.size(F.concat("hu", "hv")).cast("bigint").alias("width"), F.round(F.aggregate(F.concat("hu", "hv"), F.lit(0.0), lambda a, x: a + x), 6).alias("total")]))
-_add("emb_sum", "p h hp", "SELECT pair_id, round(list_sum(list_transform(list_zip(hu, hv), lambda t: (t[1] + t[2]) * (t[1] + t[2]))), 5) AS squared FROM hp")(_vec(lambda: [F.round(V.dot(V.plus("hu", "hv"), V.plus("hu", "hv")), 5).alias("squared")]))
-_add("emb_product", "p h hp", "SELECT pair_id, round(list_sum(list_transform(list_zip(hu, hv), lambda t: t[1] * t[2] * t[1] * t[2])), 5) AS squared FROM hp")(_vec(lambda: [F.round(V.dot(V.times("hu", "hv"), V.times("hu", "hv")), 5).alias("squared")]))
+
+
+def _flat(name: str, expr, sql: str) -> None:
+    """Register a vector of each pair, a row for each position."""
+
+    def q(s: SparkSession, d: str) -> DataFrame:
+        x = embed.on_pairs(T.pairs(s, d), T.vectors(s, d)).select("pair_id", F.posexplode(expr()).alias("pos", "z"))
+        return x.select("pair_id", F.col("pos").cast("bigint").alias("pos"), _r("z"))
+
+    _add(name, "p h hp", f"SELECT pair_id, pos - 1 AS pos, round(z, 6) AS z FROM (SELECT pair_id, unnest({sql}) AS z, generate_subscripts({sql}, 1) AS pos FROM hp)")(q)
+
+
+_flat("emb_concat", lambda: F.concat("hu", "hv"), "list_concat(hu, hv)")
+_flat("emb_sum", lambda: V.plus("hu", "hv"), "list_transform(list_zip(hu, hv), lambda t: t[1] + t[2])")
+_flat("emb_product", lambda: V.times("hu", "hv"), "list_transform(list_zip(hu, hv), lambda t: t[1] * t[2])")
 
 _LAB = "lv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS h, label FROM embeddings)"
 
@@ -483,9 +637,9 @@ def _labelled(s: SparkSession, d: str) -> DataFrame:
     return T.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("h"), "label")
 
 
-@_add("knn_graph", "", "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT x.id AS a, y.id AS b, row_number() OVER (PARTITION BY x.id ORDER BY round(list_sum(list_transform(list_zip(x.h, y.h), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 9), y.id) AS r FROM lv x JOIN lv y ON x.id <> y.id) WHERE r <= 8", _LAB)
+@_add("knn_graph", "h", "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT x.id AS a, y.id AS b, row_number() OVER (PARTITION BY x.id ORDER BY round(list_sum(list_transform(list_zip(x.h, y.h), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 9), y.id) AS r FROM h x JOIN h y ON x.id <> y.id) WHERE r <= 8")
 def _(s, d):
-    return embed.knn_graph(_labelled(s, d).select("id", "h"), 8)
+    return embed.knn_graph(T.vectors(s, d), 8)
 
 
 @_add("gaussian_kernel", "", "SELECT x.id AS a, y.id AS b, round(exp(-list_sum(list_transform(list_zip(x.h, y.h), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) / 2), 6) AS k FROM lv x JOIN lv y ON x.id < y.id", _LAB)
@@ -587,7 +741,7 @@ def _(s, d):
 @_add("deepwalk")
 def _(s, d):
     w = walks.random_walks(T.nodes(s, d), G.adjacency(T.edges(s, d)), 2, 10)
-    return walks.deepwalk(w, 16).select("id", F.size("h").alias("width"))
+    return walks.deepwalk(w, 16)
 
 
 _BASE = ["degree_sum", "degree_diff", "length_sum", "length_diff", "common_terms", "shortest_path", "common_neighbors", "jaccard", "adamic_adar", "resource_allocation", "preferential_attachment", "salton", "pagerank_sum", "pagerank_diff", "common_authors"]
@@ -619,18 +773,43 @@ def _(s, d):
 
 @_add("kmeans")
 def _(s, d):
-    return ml.kmeans(_labelled(s, d).select("id", "h"), 10)
+    return ml.kmeans(T.vectors(s, d), 10)
 
 
 @_add("spectral_pic")
 def _(s, d):
-    return ml.spectral(embed.knn_graph(_labelled(s, d).select("id", "h"), 8).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")), 10)
+    return ml.spectral(embed.knn_graph(T.vectors(s, d), 8).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")), 10)
 
 
 @_add("pca")
 def _(s, d):
-    x = ml.pca(_labelled(s, d).select("id", "h"), 10)
-    return x.select("id", F.size("z").alias("width"))
+    return ml.pca(T.vectors(s, d), 10)
+
+
+@_add("document_vectors")
+def _(s, d):
+    return M.document_vectors(T.nodes(s, d), 16)
+
+
+@_add("deepwalk_evaluation")
+def _(s, d):
+    """A model of links on both ends' walk vectors, learnt on train, measured on dev."""
+    from inkweave.sources.shared import store
+
+    w = walks.random_walks(T.nodes(s, d), G.adjacency(T.edges(s, d)), 2, 10)
+    x = store(M.pair_features(T.pairs(s, d), walks.deepwalk(w, 16)), "pair_vectors")
+    return M.evaluate(ml.logistic(x.where("split = 'train'"), rounds=50), x.where("split = 'dev'"))
+
+
+@_add("author_block11", "e al na ag f p ap",
+    "SELECT ap.pair_id, coalesce(hops, 15) AS path, su.cn AS common, coalesce(x1.d, 0) AS near_u, coalesce(x2.d, 0) AS near_v, round(su.cn / (1e-8::DOUBLE + su.un), 6) AS jaccard, round(coalesce(a11.aa, 0), 6) AS adamic_adar, coalesce(x1.d, 0) * coalesce(x2.d, 0) AS attachment, round(least(coalesce(x.r, 0), coalesce(z.r, 0)), 8) AS rank_min, round(greatest(coalesce(x.r, 0), coalesce(z.r, 0)), 8) AS rank_max, round(least(coalesce(s1.strength, 0), coalesce(s2.strength, 0)), 6) AS weight_min, round(greatest(coalesce(s1.strength, 0), coalesce(s2.strength, 0)), 6) AS weight_max FROM ap JOIN su ON su.pair_id = ap.pair_id LEFT JOIN ah ON ah.u = ap.u AND ah.v = ap.v LEFT JOIN so x1 ON x1.src = ap.u LEFT JOIN so x2 ON x2.src = ap.v LEFT JOIN a11 ON a11.u = ap.u AND a11.v = ap.v LEFT JOIN r100 x ON x.id = ap.u LEFT JOIN r100 z ON z.id = ap.v LEFT JOIN st s1 ON s1.src = ap.u LEFT JOIN st s2 ON s2.src = ap.v",
+    ", ".join([_SUCC, _AHOPS, _ARANK, _STR, "a11 AS (SELECT q.u, q.v, sum(CASE WHEN so.d > 0 THEN 1 / ln(1 + 1e-8::DOUBLE + so.d) ELSE 1 / (1e-8::DOUBLE - 5e-17::DOUBLE) END) AS aa FROM (SELECT DISTINCT u, v FROM ap) q JOIN ag x ON x.a = q.u JOIN ag y ON y.a = q.v AND y.b = x.b LEFT JOIN so ON so.src = x.b GROUP BY q.u, q.v)"]),
+)
+def _(s, d):
+    """All eleven features of the first authors."""
+    b = features.registry.build(["author_pairs", "author_graph", "author_pagerank"], features.given(s, d))
+    x = A.pair_features(b["author_pairs"].select("pair_id", "u", "v"), b["author_graph"], b["author_pagerank"], A.link_strength(b["author_graph"]))
+    return x.select("pair_id", "path", "common", "near_u", "near_v", _r("jaccard"), _r("adamic_adar"), "attachment", _r("rank_min", 8), _r("rank_max", 8), _r("weight_min"), _r("weight_max"))
 
 
 def queries() -> dict[str, Query]:

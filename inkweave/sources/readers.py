@@ -31,10 +31,15 @@ def read_authors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """`u,v` lines of one file -> (pair_id, u, v); pair_id is the line's number from 0, which outputs are keyed by."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n", -1)).alias("pair_id", "line"))
-    uv = F.split("line", ",")
-    return lines.select(F.col("pair_id").cast("bigint").alias("pair_id"), F.trim(uv[0]).cast("bigint").alias("u"), F.trim(uv[1]).cast("bigint").alias("v"))
+    """`u,v` lines of one file -> (pair_id, u, v); pair_id is the line's number from 0, which outputs are keyed by. Splits of the file are numbered by the counts of those before them."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    sizes = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    from pyspark.sql import Window as W
+
+    before = F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each split of the file
+    uv = F.split("value", ",")
+    out = lines.join(F.broadcast(sizes.select("block", "first", before.alias("before"))), "block")
+    return out.select((F.col("at") - F.col("first") + F.col("before")).alias("pair_id"), F.trim(uv[0]).cast("bigint").alias("u"), F.trim(uv[1]).cast("bigint").alias("v"))
 
 
 def read_content(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +52,27 @@ def read_content(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", F.transform("f", lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0))).alias("features"), "label")
 
 
+def read_cites(spark: SparkSession, path: str) -> DataFrame:
+    """White-space separated `cited citing` lines -> (src, dst) in both directions, each once."""
+    p = F.split(F.trim("value"), r"\s+")
+    e = spark.read.text(path).where("trim(value) <> ''").select(p[1].cast("bigint").alias("src"), p[0].cast("bigint").alias("dst"))
+    return e.union(e.select("dst", "src")).distinct()
+
+
+def indexed(content: DataFrame, cites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """content (id, features, label) with row, its number from 0 by id, and class, its label's from 0 by name; and cites between rows, those of unknown ids left out."""
+    from pyspark.sql import Window as W
+
+    from inkweave.operators.graph import numbered
+
+    labels = content.select("label").distinct()
+    labels = labels.withColumn("class", F.row_number().over(W.orderBy("label")) - 1)  # the classes, a handful
+    rows = numbered(content, "id", "row").join(labels, "label")
+    ids = rows.select("id", "row")
+    links = cites.join(ids.toDF("src", "s"), "src").join(ids.toDF("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    return rows, links
+
+
 def read_bundle(spark: SparkSession, *paths: str, split: str | None = None) -> DataFrame:
     """Parquet feature blocks, one split or all; a split prunes directories."""
     df = spark.read.parquet(*paths)

@@ -10,16 +10,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from inkweave.sources.shared import own_dir
+
 _shipped: set[str] = set()
 
 
 def session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
-    """A local session with adaptive execution, UTC and Arrow."""
+    """A local session with adaptive execution, UTC, Arrow, and a checkpoint folder of its own where none is named; on a cluster name one that all executors reach."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("inkweave")
     base = {
         "spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if "spark.checkpoint.dir" not in conf:
+        base["spark.checkpoint.dir"] = own_dir()
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()

@@ -10,24 +10,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where the session names none."""
+def own_dir() -> str:
+    """A folder of this process, removed when it ends; for local sessions."""
     global _own
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="inkweave-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return _own
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local session that names none gets one of its own, a cluster's is an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+    return own_dir()
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the tables that store() wrote for this session; results that are still to be read from them must have been written elsewhere. Returns their number."""
+    mine = [p for s, p in _written if s is spark]
+    for path in mine:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written[:] = [x for x in _written if x[0] is not spark]
+    return len(mine)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here, and the rows outlive executors."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends here, and the rows outlive executors. clean() removes what was written."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -37,5 +37,30 @@ def write_features(df: DataFrame, path: str, name: str, pairs: DataFrame) -> Non
     df.withColumns({"block": F.lit(name), "pairs_checksum": F.lit(sums["checksum"])}).write.mode("overwrite").parquet(path)
 
 
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """The ends and labels of the pairs (pair_id, split, u, v, y), a directory for each split, with a fingerprint of each beside them."""
+    pairs.select("pair_id", "split", "u", "v", "y").write.mode("overwrite").partitionBy("split").parquet(f"{path}/pairs")
+    sums = [checksum(pairs.where(F.col("split") == r["split"]), "pair_id", "u", "v").withColumn("split", F.lit(r["split"])) for r in pairs.select("split").distinct().collect()]
+    for k, s in enumerate(sums):
+        s.write.mode("overwrite" if k == 0 else "append").parquet(f"{path}/manifest")
+
+
+def fuse(pairs: DataFrame, *paths: str) -> DataFrame:
+    """pairs with the columns of feature blocks written by write_features, side by side; a block that was made for other pairs is an error, and so is a column in two blocks."""
+    own = checksum(pairs, "pair_id", "u", "v").first()["checksum"]
+    out, seen = pairs, set(pairs.columns)
+    for path in paths:
+        block = pairs.sparkSession.read.parquet(path)
+        other = [r["pairs_checksum"] for r in block.select("pairs_checksum").distinct().limit(2).collect()]
+        if other != [own]:
+            raise ValueError(f"the block {path} was made for other pairs")
+        block = block.drop("block", "pairs_checksum", "split", "u", "v", "y")
+        if twice := (set(block.columns) - {"pair_id"}) & seen:
+            raise ValueError(f"{sorted(twice)} are in two blocks")
+        seen |= set(block.columns)
+        out = out.join(block, "pair_id")
+    return out
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)

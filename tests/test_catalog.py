@@ -5,7 +5,7 @@ from oracle import SMALL, connect, same
 
 from inkweave.plans import catalog
 
-SLOW = {"classifier_zoo", "deepwalk"}
+SLOW = {"classifier_zoo", "deepwalk", "deepwalk_evaluation", "document_vectors"}
 
 
 @pytest.fixture(scope="module")

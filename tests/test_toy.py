@@ -154,6 +154,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "t.txt").write_text("5,6\n7,8\n")
     cases = readers.read_cases(spark, str(tmp_path / "t.txt"))
     assert [tuple(x) for x in cases.orderBy("pair_id").collect()] == [(0, 5, 6), (1, 7, 8)]
+    (tmp_path / "long.txt").write_text("".join(f"{i},{i + 1}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        long = readers.read_cases(spark, str(tmp_path / "long.txt"))
+        assert long.count() == 20_000 and long.where("pair_id <> u").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     scored = cases.selectExpr("pair_id", "0.5D AS predicted")
     with pytest.raises(ValueError):
         writers.write_submission(scored, str(tmp_path / "s"), expected_rows=3)
@@ -163,6 +170,67 @@ def test_files(spark, tmp_path):
     assert {(x[0], tuple(x[1]), x[2]) for x in readers.read_content(spark, str(tmp_path / "c.txt")).collect()} == {(3, (0.5, 0.0, 0.5), "x"), (4, (0.0, 0.0, 0.0), "y")}
 
 
+def test_content_and_cites(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("30 1 0 x\n10 0 1 y\n20 1 1 x\n")
+    (tmp_path / "l.txt").write_text("30\t10\n10 30\n20 99\n")
+    rows, links = readers.indexed(readers.read_content(spark, str(tmp_path / "c.txt")), readers.read_cites(spark, str(tmp_path / "l.txt")))
+    assert {(r["id"], r["row"], r["class"]) for r in rows.collect()} == {(10, 0, 1), (20, 1, 0), (30, 2, 0)}
+    assert {tuple(r) for r in links.collect()} == {(0, 2), (2, 0)}
+
+
+def test_fused_blocks(spark, tmp_path):
+    pairs = spark.createDataFrame([(0, "train", 1, 2, 1), (1, "dev", 3, 4, 0)], "pair_id bigint, split string, u bigint, v bigint, y int")
+    writers.write_features(pairs.selectExpr("pair_id", "u + v AS a"), str(tmp_path / "a"), "a", pairs)
+    writers.write_features(pairs.selectExpr("pair_id", "u * v AS b"), str(tmp_path / "b"), "b", pairs)
+    assert {(r["pair_id"], r["a"], r["b"]) for r in writers.fuse(pairs, str(tmp_path / "a"), str(tmp_path / "b")).collect()} == {(0, 3, 2), (1, 7, 12)}
+    with pytest.raises(ValueError, match="other pairs"):
+        writers.fuse(pairs.where("pair_id = 0"), str(tmp_path / "a"))
+    with pytest.raises(ValueError, match="two blocks"):
+        writers.fuse(pairs, str(tmp_path / "a"), str(tmp_path / "a"))
+    writers.write_pairs(pairs, str(tmp_path / "uv"))
+    assert spark.read.parquet(str(tmp_path / "uv" / "pairs")).count() == 2 and spark.read.parquet(str(tmp_path / "uv" / "manifest")).count() == 2
+
+
+def test_models_saved_and_found(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from inkweave.operators import models
+
+    x = spark.range(200).select((F.col("id") % 2).cast("double").alias("label"), array_to_vector(F.array((F.col("id") % 2) + F.rand(1), F.rand(2))).alias("features"))
+    path = str(tmp_path / "m")
+    assert models.latest(spark, path) is None and models.best(spark, path) is None
+    saved = models.train(x, x, path, steps=2, rounds=2)
+    assert [s for s, _, _ in saved] == [1, 2] and models.latest(spark, path).split("step=")[1].startswith("000002")
+    more = models.train(x, x, path, steps=4, rounds=2, keep=2)
+    assert more[-1][0] == 4 and len(more) <= 3
+    loss = models.evaluate(models.load(models.best(spark, path)), x).first()["log_loss"]
+    assert loss == pytest.approx(min(v for _, v, _ in more), abs=1e-5)
+    assert [s for s, _, _ in models.train(x, x, path, steps=1, rounds=2, reset=True)] == [1]
+
+
+def test_negatives_and_masks(spark):
+    edges = spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, 40) if (i * j) % 7 == 1], "src bigint, dst bigint")
+    have = {tuple(r) for r in edges.collect()}
+    got = [tuple(r) for r in graph.exact_non_edges(spark.range(40), edges, 50).collect()]
+    assert len(got) == len(set(got)) == 50 and not set(got) & have and all(u < v for u, v in got)
+    rows = graph.masked(spark.range(40), edges, 1000, 1000).collect()
+    for split in ("train", "dev", "test"):
+        assert sum(r["split"] == split and r["y"] == 1 for r in rows) == sum(r["split"] == split and r["y"] == 0 for r in rows)
+    assert len({(r["u"], r["v"]) for r in rows}) == len(rows) and {(r["u"], r["v"]) for r in rows if r["y"] == 1} == have
+
+
+def test_activations_and_batch_means(spark):
+    from pyspark.sql import functions as F
+
+    from inkweave.operators import neural
+
+    r = spark.createDataFrame([([-2.0, 0.0, 3.0],)], "x array<double>").select(neural.relu("x").alias("r"), neural.leaky_relu("x", 0.1).alias("l"), neural.elu("x").alias("e"), neural.argmax("x").alias("a"), neural.dense("x", [[1.0, 2.0, 3.0], [0.0, 0.0, 1.0]], [1.0, 0.0]).alias("d")).first()
+    assert r["r"] == [0, 0, 3] and r["l"] == pytest.approx([-0.2, 0, 3]) and r["e"] == pytest.approx([math.exp(-2) - 1, 0, 3]) and r["a"] == 2 and r["d"] == [8, 3]
+    x = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 8.0)], "batch int, loss double")
+    assert neural.batch_means(x).first()["loss"] == 5 and x.agg(F.avg("loss")).first()[0] == 4
+
+
 def test_generators(spark):
     assert readers.circles(spark).count() == 1250
     assert readers.blobs(spark, 3, 2, 30).groupBy("cluster").count().count() == 3
@@ -179,6 +247,17 @@ def test_stream(spark, tmp_path):
     assert weekly(spark.table("arrived")).count() == 2
 
 
+def test_stored_tables_are_removed(spark):
+    import os
+
+    from inkweave.sources import shared
+
+    x = shared.store(spark.range(3), "numbers")
+    where = x.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert x.count() == 3 and os.path.isdir(where)
+    assert shared.clean(spark) >= 1 and not os.path.exists(where) and shared.clean(spark) == 0
+
+
 def test_walks(spark, edges):
     from inkweave.operators.walks import random_walks
 
