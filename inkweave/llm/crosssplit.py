@@ -1,123 +1,184 @@
 """Problem 4: evaluation records that also appear, exactly or almost, in the training split.
 
-The passages of an evaluation text are its runs of three words. They are sharded into Aho-Corasick automata, and every
-automaton scans all training texts; the matched intervals are merged into the coverage of each evaluation text by each
-training text. Two sets with a similarity of at least t share at least t of either, so it is enough to scan for the
-rarest passages of an evaluation text, as many as exceed the rest by m, and to require m matches: no link is lost.
-Passages that occur in one text only can't match another and stay out of the automata. What the coverage admits is
-verified on the whole sets.
+The passages of an evaluation text are its runs of three words. They are sharded into Aho-Corasick automata, which scan the
+training texts; the matched intervals are merged into the coverage of each evaluation text. Two sets with a similarity of
+at least t share at least t of either, so if each is cut down to its rarest passages, as many as exceed the rest by m, what
+is left of them still shares m: no link is lost by patterns and scans of those alone, nor by sending a text only to the
+shards of its own. Rarity follows counts in a sketch of bounded size, which never counts too few; a passage counted once
+stands in no other text and stays out. What has m matches is verified on the whole sets.
 
 Texts with equal sets form one class and are scanned once. A pair of papers is then looked up by the classes of its ends
-and of what they are linked to.
+and of what they are linked to. A text is sent to no more shards than it has rare passages, however many there are, so work
+grows with the texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from inkweave.llm.neardup import _members, signatures, verified
+from inkweave.llm.neardup import _members, verified
 from inkweave.llm.words import Hasher, shingles, words
 from inkweave.sources.shared import store
 
 _NEEDED = 3
+_SLICES = 16
+MOST_BITS = 26  # of a place in the sketch: 64 million counters of two bytes on each executor
 
 
-def _chosen(reps: DataFrame, t: float) -> DataFrame:
-    """(id, sh, need): the rarest shingles of each record of reps (id, size, sh, evaluated), and how many must match."""
-    each = store(reps.select("id", "size", "evaluated", F.explode("sh").alias("h")), "passages")
-    several = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.where("evaluated").join(several, "h")
-    w = W.partitionBy("id")  # at most the shingles of one text
-    least = F.ceil(F.col("size") * t)
-    need = F.least(F.lit(_NEEDED), least)
-    ranked = shared.withColumns({"r": F.row_number().over(w.orderBy("df", "h")), "n": F.count("*").over(w), "need": need})
-    # rank among all of the text's shingles: those in no other text come first
-    return ranked.where(F.col("r") + F.col("size") - F.col("n") <= F.col("size") - least + F.col("need")).select("id", "h", "need")
+def _read(texts: DataFrame, n: int) -> DataFrame:
+    """(id, key, size, sh, text): digest, number and hashes of the distinct runs of n words, and the words between single spaces. Null ids, null texts and texts of fewer than n words have no row."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for b in batches:
+            out = []
+            for i, t in zip(b["id"], b["text"]):
+                w = words(t)
+                sh = np.unique(shingles(hasher(w), n))
+                if len(sh):
+                    out.append((i, hashlib.blake2b(sh.tobytes(), digest_size=16).digest(), len(sh), sh.view(np.int64), f" {' '.join(w)} "))
+            if out:
+                yield pd.DataFrame(out, columns=["id", "key", "size", "sh", "text"])
 
-def _matches(texts: DataFrame, patterns: DataFrame, n: int, shard_patterns: int, block_chars: int) -> DataFrame:
-    """(id, h, at): the word position of every occurrence of a pattern (h, pattern) in the texts (id, text)."""
-    spark = texts.sparkSession
+    return texts.mapInPandas(run, "id bigint, key binary, size int, sh array<bigint>, text string")
+
+
+def sketch(reps: DataFrame, bits: int) -> np.ndarray:
+    """Counts, up to 65 535, of the shingles of reps (sh) by the last `bits` bits of each: those of several may meet in one counter, so none is counted too low."""
+    cut = (1 << bits) // _SLICES
+    lots = max(1, round(reps.rdd.getNumPartitions() ** 0.5))
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        m = np.zeros(1 << bits, np.uint32)
+        for b in batches:
+            if len(b):
+                at, k = np.unique(np.concatenate(b["sh"].to_numpy()) & ((1 << bits) - 1), return_counts=True)
+                m[at] += k.astype(np.uint32)
+        m = np.minimum(m, 65_535).astype(np.uint16)
+        yield pd.DataFrame({"slice": range(_SLICES), "lot": TaskContext.get().partitionId() % lots, "m": [zlib.compress(m[i * cut : (i + 1) * cut].tobytes(), 1) for i in range(_SLICES)]})
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(cut, np.uint32)
+        for x in g["m"]:
+            total = np.minimum(total + np.frombuffer(zlib.decompress(x), np.uint16), 65_535)
+        return pd.DataFrame({"slice": g["slice"].iloc[:1], "lot": 0, "m": [zlib.compress(total.astype(np.uint16).tobytes(), 1)]})
+
+    schema = "slice int, lot int, m binary"
+    got = reps.select("sh").mapInPandas(local, schema).groupBy("slice", "lot").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema).collect()
+    out = np.zeros(1 << bits, np.uint16)
+    for r in got:
+        out[r["slice"] * cut : (r["slice"] + 1) * cut] = np.frombuffer(zlib.decompress(r["m"]), np.uint16)
+    return out
+
+
+def rarest(sh: np.ndarray, counts: np.ndarray, t: float) -> np.ndarray:
+    """Of the distinct shingles of a text the rarest, of which a text of a similarity of at least t must share some; those counted once left out."""
+    least = int(np.ceil(len(sh) * t - 1e-9))
+    c = counts[sh & (len(counts) - 1)]
+    first = np.lexsort((sh, c))[: len(sh) - least + min(_NEEDED, least)]
+    return sh[first[c[first] > 1]]
+
+
+def _matches(reps: DataFrame, counts: np.ndarray, n: int, t: float, shard_patterns: int, shard_chars: int) -> DataFrame:
+    """(id_b, h): the rare passages of evaluation texts found in the texts of reps (id, size, sh, text, evaluated, trained) where they are rare passages too."""
+    spark = reps.sparkSession
+    sent = spark.sparkContext.broadcast(counts)
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for b in batches:
+            seen: dict[int, str] = {}
+            for text, sh in zip(b["text"], b["sh"]):
+                w = text.split()
+                want = set(rarest(np.asarray(sh), sent.value, t).tolist())
+                for i, h in enumerate(shingles(hasher(w), n).view(np.int64).tolist()):
+                    if h in want and h not in seen:
+                        seen[h] = f" {' '.join(w[i : i + n])} "
+            if seen:
+                yield pd.DataFrame({"h": list(seen), "pattern": list(seen.values())})
+
+    patterns = reps.where("evaluated").select("text", "sh").mapInPandas(spelled, "h bigint, pattern string").groupBy("h").agg(F.first("pattern").alias("pattern"))
+    patterns = store(patterns, "patterns")
     shards = max(1, -(-patterns.count() // shard_patterns))
-    blocks = max(1, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    grid_b = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    grid_s = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    p = patterns.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).withColumn("block", grid_b)
-    x = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", grid_s)
+
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, text, sh in zip(b["id"], b["text"], b["sh"]):
+                rare = rarest(np.asarray(sh), sent.value, t)
+                at = rare % shards
+                out += [(i, int(k), text, rare[at == k]) for k in np.unique(at)]
+            if out:
+                yield pd.DataFrame(out, columns=["id", "shard", "text", "rare"])
+
+    # a shard with more text than a task should scan is given to several, each with the automaton
+    scanned = reps.where("trained").select("id", "text", "sh").mapInPandas(routed, "id bigint, shard int, text string, rare array<bigint>")
+    chars = reps.where("trained").agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // shard_chars))
+    x = scanned.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    p = patterns.select("h", "pattern", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def scan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        ids, hs, ats = [], [], []
+        ids, hs = [], []
         if len(left) and len(right):
             auto = ahocorasick.Automaton()
             for h, s in zip(left["h"], left["pattern"]):
                 auto.add_word(s, h)
             auto.make_automaton()
-            for i, t in zip(right["id"], right["text"]):
-                found = list(auto.iter(t))
+            for i, text, rare in zip(right["id"], right["text"], right["rare"]):
+                own = set(rare.tolist())
+                found = {h for _, h in auto.iter(text) if h in own}
                 if found:
-                    spaces = np.flatnonzero(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) == 32)
                     ids.append(np.full(len(found), i, dtype=np.int64))
-                    hs.append(np.array([f[1] for f in found], dtype=np.int64))
-                    ats.append(np.searchsorted(spaces, [f[0] for f in found]) - n)
+                    hs.append(np.fromiter(found, np.int64, len(found)))
         cat = lambda a: np.concatenate(a) if a else np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"id": cat(ids), "h": cat(hs), "at": cat(ats).astype(np.int32)})
+        return pd.DataFrame({"id_b": cat(ids), "h": cat(hs)})
 
-    cells = min(shards * blocks, 4096)
+    cells = min(shards * blocks, 8192)
     left, right = p.repartition(cells, "shard", "block").groupBy("shard", "block"), x.repartition(cells, "shard", "block").groupBy("shard", "block")
-    return left.cogroup(right).applyInPandas(scan, "id bigint, h bigint, at int")
+    return left.cogroup(right).applyInPandas(scan, "id_b bigint, h bigint")
 
 
-def text_links(texts: DataFrame, evaluated: DataFrame, trained: DataFrame, n: int = 3, t: float = 0.5, shard_patterns: int = 400_000, block_chars: int = 12_000_000) -> tuple[DataFrame, DataFrame]:
-    """members (rep, id, copies) and links (id_a evaluation class, id_b training class, covered words, similarity) of texts (id, text).
+def text_links(texts: DataFrame, evaluated: DataFrame, trained: DataFrame, n: int = 3, t: float = 0.5, shard_patterns: int = 400_000, shard_chars: int = 48_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members (rep, id, copies), links (id_a evaluation class, id_b training class, similarity) and representatives (id, size, sh, text, evaluated, trained) of texts (id, text).
 
     evaluated and trained have a column id. Equal classes are not linked to themselves.
     """
-    recs = store(signatures(texts, "id", "text", n), "signatures")
+    spark = texts.sparkSession
+    raw = texts.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long").alias("id"), "text").dropDuplicates(["id"])
+    recs = store(_read(raw, n), "texts")
     members = store(_members(recs), "members")
     of = lambda ids: members.join(ids.select("id").distinct(), "id", "left_semi").select(F.col("rep").alias("id")).distinct()
     roles = of(evaluated).withColumn("e", F.lit(True)).join(of(trained).withColumn("t", F.lit(True)), "id", "full")
     roles = roles.select("id", F.coalesce("e", F.lit(False)).alias("evaluated"), F.coalesce("t", F.lit(False)).alias("trained"))
-    reps = store(recs.join(roles, "id").dropDuplicates(["id"]).select("id", "size", "sh", "evaluated", "trained"), "reps")
-    chosen = store(_chosen(reps, t), "chosen")
+    reps = store(recs.join(roles, "id").select("id", "size", "sh", "text", "evaluated", "trained"), "reps")
+    total = reps.agg(F.sum("size")).first()[0] or 0
+    counts = sketch(reps, int(min(MOST_BITS, max(16, np.ceil(np.log2(total + 1)) + 1))))
+    sent = spark.sparkContext.broadcast(counts)
 
-    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen: dict[int, str] = {}
-            for text, hs in zip(b["text"], b["hs"]):
-                w = words(text)
-                want = set(hs.tolist())
-                for i, h in enumerate(shingles(hasher(w), n).view(np.int64).tolist()):
-                    if h in want and h not in seen:
-                        seen[h] = f" {' '.join(w[i : i + n])} "
-            yield pd.DataFrame({"h": list(seen), "pattern": list(seen.values())})
+            got = [rarest(np.asarray(sh), sent.value, t) for sh in b["sh"]]
+            k = [len(h) for h in got]
+            yield pd.DataFrame({"id_a": np.repeat(b["id"].to_numpy(), k), "size_a": np.repeat(b["size"].to_numpy(), k), "h": np.concatenate(got) if len(got) else np.empty(0, np.int64)})
 
-    def spaced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "text": [f" {' '.join(words(x))} " for x in b["text"]]})
-
-    raw = texts.where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"])
-    wanted = chosen.groupBy("id").agg(F.collect_list("h").alias("hs"))  # at most the shingles of one text
-    patterns = store(raw.join(wanted, "id").select("text", "hs").mapInPandas(spelled, "h bigint, pattern string").groupBy("h").agg(F.first("pattern").alias("pattern")), "patterns")
-    scanned = raw.join(reps.where("trained").select("id"), "id", "left_semi").mapInPandas(spaced, "id bigint, text string")
-    hits = store(_matches(store(scanned, "scanned"), patterns, n, shard_patterns, block_chars), "matches")
-    # merge the intervals of one evaluation text and one training text
-    at = hits.groupBy(F.col("id").alias("id_b"), "h").agg(F.array_sort(F.collect_list("at")).alias("at"))  # places within one text
-    cover = at.join(chosen.select(F.col("id").alias("id_a"), "h", "need"), "h").where("id_a <> id_b").groupBy("id_a", "id_b").agg(
-        F.count("*").alias("passages"), F.max("need").alias("need"), F.flatten(F.collect_list("at")).alias("at")
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + n - 1)))))
-    found = store(cover.where("passages >= need").select("id_a", "id_b", covered.alias("covered")), "covered")
-    links = verified(found.select("id_a", "id_b"), reps, t).join(found, ["id_a", "id_b"])
-    return members, store(links, "links")
+    asked = reps.where("evaluated").select("id", "size", "sh").mapInPandas(chosen, "id_a bigint, size_a int, h bigint")
+    hits = _matches(reps, counts, n, t, shard_patterns, shard_chars).join(reps.select(F.col("id").alias("id_b"), F.col("size").alias("size_b")), "id_b")
+    needed = F.least(F.lit(_NEEDED), F.ceil(F.col("size_a") * t - 1e-9), F.ceil(F.col("size_b") * t - 1e-9)).alias("need")  # what both ends keep enough for
+    alike = f"id_a <> id_b AND size_a >= {t} * size_b - 1e-9 AND size_b >= {t} * size_a - 1e-9"
+    found = hits.join(asked, "h").where(alike).select("id_a", "id_b", needed).groupBy("id_a", "id_b").agg(F.count("*").alias("passages"), F.min("need").alias("need")).where("passages >= need")
+    return members, store(verified(store(found.select("id_a", "id_b"), "found"), reps, t), "links"), reps
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int = 3, t: float = 0.5) -> DataFrame:
@@ -129,7 +190,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int = 3, t: float = 0.5) ->
     rows = pairs.where("pair_id IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL AND split IN ('train', 'dev', 'test')").select("pair_id", "split", "u", "v", "source").dropDuplicates(["pair_id"])
     rows = store(rows, "pairs")
     ends = lambda df: df.select(F.col("u").alias("id")).union(df.select("v")).distinct()
-    members, links = text_links(texts, ends(rows.where("split <> 'train'")), ends(rows.where("split = 'train'")), n, t)
+    members, links, _ = text_links(texts, ends(rows.where("split <> 'train'")), ends(rows.where("split = 'train'")), n, t)
     rep = members.select("id", "rep")
     keyed = rows.join(rep.select(F.col("id").alias("u"), F.col("rep").alias("ru")), "u", "left").join(rep.select(F.col("id").alias("v"), F.col("rep").alias("rv")), "v", "left")
     keyed = store(keyed.select("pair_id", "split", "source", F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b")), "keyed")
@@ -148,3 +209,35 @@ def report(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pairs.where("pair_id IS NOT NULL AND split IN ('dev', 'test')").select("pair_id", "split", "source").dropDuplicates(["pair_id"])
     hit = overlaps(pairs, texts).groupBy(F.col("eval_id").alias("pair_id")).agg(F.count("*").alias("pairs"))
     return rows.join(hit, "pair_id", "left").groupBy("split", "source").agg(F.count("*").alias("rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
+def coverage(pairs: DataFrame, texts: DataFrame, n: int = 3, t: float = 0.5) -> DataFrame:
+    """(id, copied, words, covered) of every paper at an end of a dev or test row whose text has n words: its number of words, and how many of them lie in runs of n words that also stand in a training paper's text linked to it by similarity; all, and copied, where another training paper's text has an equal set."""
+    rows = store(pairs.where("pair_id IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL AND split IN ('train', 'dev', 'test')").select("split", "u", "v"), "ends")
+    ends = lambda df: df.select(F.col("u").alias("id")).union(df.select("v")).distinct()
+    asked, trained = ends(rows.where("split <> 'train'")), ends(rows.where("split = 'train'"))
+    members, links, reps = text_links(texts, asked, trained, n, t)
+    sets = reps.select("id", "sh")
+    both = links.select("id_a", "id_b").join(sets.toDF("id_a", "sa"), "id_a").join(sets.toDF("id_b", "sb"), "id_b")
+    shared = both.select("id_a", F.explode(F.array_intersect("sa", "sb")).alias("h")).distinct().groupBy("id_a").agg(F.collect_list("h").alias("h"))  # of one text at most
+    own = reps.where("evaluated").select("id", "text").join(shared.withColumnRenamed("id_a", "id"), "id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for b in batches:
+            out = []
+            for i, text, h in zip(b["id"], b["text"], b["h"]):
+                w = text.split()
+                begin = np.isin(shingles(hasher(w), n).view(np.int64), h) if h is not None else np.zeros(0, bool)
+                inside = np.zeros(len(w), bool)
+                for k in range(n):
+                    inside[k : k + len(begin)] |= begin
+                out.append((i, len(w), int(inside.sum())))
+            if out:
+                yield pd.DataFrame(out, columns=["rep", "words", "covered"])
+
+    merged = own.mapInPandas(run, "rep bigint, words bigint, covered bigint")
+    in_train = members.join(trained.withColumn("trained", F.lit(1)), "id", "left").withColumn("trained", F.coalesce("trained", F.lit(0)))
+    others = in_train.groupBy("rep").agg(F.sum("trained").alias("all"))
+    each = in_train.join(asked, "id", "left_semi").join(others, "rep").withColumn("copied", F.col("all") - F.col("trained") > 0).join(merged, "rep")
+    return each.select("id", "copied", "words", F.when(F.col("copied"), F.col("words")).otherwise(F.col("covered")).alias("covered"))

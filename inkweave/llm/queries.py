@@ -60,6 +60,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.report(_table(spark, d, "pairs"), _abstracts(spark, d))
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the text of every paper of an evaluation row stands in similar texts of training papers."""
+    return crosssplit.coverage(_table(spark, d, "pairs"), _abstracts(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked(_table(spark, d, "abstracts")).where("n = 1 AND mark IS NOT NULL").select("term", "mark")
 

@@ -231,10 +231,34 @@ def test_overlaps_shards(spark, monkeypatch):
     rows = family(4)
     texts = spark.createDataFrame(rows, "id bigint, text string")
     ids = texts.select("id")
-    _, one = crosssplit.text_links(texts, ids, ids)
-    _, many = crosssplit.text_links(texts, ids, ids, shard_patterns=20, block_chars=400)
-    as_set = lambda d: {(r["id_a"], r["id_b"], r["covered"]) for r in d.collect()}
-    assert as_set(one) == as_set(many) and one.count() > 0
+    members, one, _ = crosssplit.text_links(texts, ids, ids)
+    _, many, _ = crosssplit.text_links(texts, ids, ids, shard_patterns=20, shard_chars=400)
+    as_set = lambda d: {(r["id_a"], r["id_b"]) for r in d.collect()}
+    first = {r["rep"] for r in members.collect()}
+    want = {(a, b) for a, b in plain_near(rows) if a in first and b in first}
+    assert as_set(one) == as_set(many) == want | {(b, a) for a, b in want} and want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rarest_keeps_enough_of_both(seed):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(2, 60, 1 << 10).astype(np.uint16)
+    for _ in range(2000):
+        base = np.unique(rng.integers(-(2**62), 2**62, rng.integers(1, 40)))
+        other = np.union1d(rng.permutation(base)[: rng.integers(1, len(base) + 1)], rng.integers(-(2**62), 2**62, rng.integers(0, 6)))
+        if len(np.intersect1d(base, other)) >= 0.5 * len(np.union1d(base, other)):
+            both = np.intersect1d(crosssplit.rarest(base, counts, 0.5), crosssplit.rarest(other, counts, 0.5))
+            assert len(both) >= min(3, -(-len(base) // 2), -(-len(other) // 2))
+
+
+def test_coverage(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g x y"), (3, "A b, c d e f g h!"), (4, "k l m n"), (5, "k l"), (6, None), (7, "a b c d e f g h")]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    pairs = spark.createDataFrame([(1, "train", 1, 4), (2, "dev", 2, 4), (3, "test", 3, 5), (4, "dev", 6, 1)], "pair_id bigint, split string, u bigint, v bigint").selectExpr("*", "'s' AS source")
+    got = {r["id"]: (r["copied"], r["words"], r["covered"]) for r in crosssplit.coverage(pairs, texts).collect()}
+    # 1 and 4 are training papers themselves, but have no other such paper's text
+    assert got == {2: (False, 9, 7), 3: (True, 8, 8), 4: (False, 4, 0), 1: (False, 8, 0)}
+    assert crosssplit.coverage(pairs, texts.limit(0)).count() == 0
 
 
 def test_report(spark):
