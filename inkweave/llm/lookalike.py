@@ -221,3 +221,11 @@ def lookalikes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     b = odd.select("form", F.col("stored").alias("other"), F.col("id").alias("id_y"))
     both = pairs.join(a, ["form", "stored"]).join(b, ["form", "other"]).where("id_x <> id_y")
     return both.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")).distinct()
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, class_id, spelling_id, spellings) of every document that looks like one stored otherwise: the smallest ids of its form and of its stored spelling, and the number of spellings of the form. One row a document, however large the class."""
+    keys = store(_keys(df, id_col, text), "forms").distinct()
+    kinds = keys.groupBy("form", "stored").agg(F.min("id").alias("spelling_id"))
+    forms = kinds.groupBy("form").agg(F.count("*").alias("spellings"), F.min("spelling_id").alias("class_id")).where("spellings > 1")
+    return keys.join(forms, "form").join(kinds, ["form", "stored"]).select("id", "class_id", "spelling_id", "spellings")

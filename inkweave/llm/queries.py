@@ -113,6 +113,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalikes(_table(spark, d, "documents")).selectExpr("id_a AS doc_id_a", "id_b AS doc_id_b")
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look like others stored otherwise, with their class."""
+    return lookalike.classes(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def p9_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent(_table(spark, d, "documents"))
 

@@ -4,7 +4,7 @@ Pair counts are exact. Chance is the maximum-entropy null of the item-basket tab
 frequency and every basket's size: an item i is in a basket j with probability x_i y_j / (1 + x_i y_j). Items of one
 frequency share x and baskets of one size share y, so the null is fitted on the driver over distinct frequencies and
 sizes. The number of common baskets of two items is then a sum of independent trials with one probability per basket
-size (Poisson-binomial); its upper tail is exact for small counts and by the saddle point beyond; the tails are turned into
+size (Poisson-binomial); its upper tail is summed for counts up to 400 and taken from the saddle point beyond; the tails are turned into
 false-discovery rates over all pairs of items (Benjamini and Hochberg).
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from inkweave.sources.shared import parallel, store
 
 _BLOCK = 256
-_EXACT = 40
+_EXACT = 400  # counts up to which a tail is summed; the saddle point beyond is within a thousandth of it
 
 
 def baskets(df: DataFrame, id_col: str = "id", items: str = "authors") -> DataFrame:
@@ -46,37 +46,44 @@ def pair_counts(sets: DataFrame) -> DataFrame:
 
 
 class Null:
-    """Probabilities p[f, s] that an item of frequency class f is in a basket of size class s."""
+    """Probabilities that an item of a frequency class is in a basket of a size class: x y / (1 + x y), of which only the two rows of factors are kept and sent.
 
-    def __init__(self, item_freq: np.ndarray, item_n: np.ndarray, size: np.ndarray, size_n: np.ndarray, rounds: int = 2000, tol: float = 1e-8):
+    Distinct frequencies are at most the root of twice the entries of the table, so their factors stay small: some 11 MB
+    for a million million entries. The sums of the fit go over a bounded block of frequencies at a time.
+    """
+
+    def __init__(self, item_freq: np.ndarray, item_n: np.ndarray, size: np.ndarray, size_n: np.ndarray, rounds: int = 2000, tol: float = 1e-8, block: int = 4096):
         f, m, s, n = (np.asarray(a, dtype=np.float64) for a in (item_freq, item_n, size, size_n))
         total = max((f * m).sum(), 1.0)
         x, y = f / sqrt(total), s / sqrt(total)
-        full = f >= n.sum()  # in every basket
         for _ in range(rounds):
-            x_new = f / np.maximum((n * y / (1 + np.outer(x, y))).sum(axis=1), 1e-300)
-            y_new = s / np.maximum(((m * x_new)[:, None] / (1 + np.outer(x_new, y))).sum(axis=0), 1e-300)
+            x_new, below = np.empty_like(x), np.zeros_like(y)
+            for at in range(0, len(f), block):
+                k = slice(at, at + block)
+                x_new[k] = f[k] / np.maximum((n * y / (1 + np.outer(x[k], y))).sum(axis=1), 1e-300)
+                below += ((m[k] * x_new[k])[:, None] / (1 + np.outer(x_new[k], y))).sum(axis=0)
+            y_new = s / np.maximum(below, 1e-300)
             moved = max(np.abs(x_new / x - 1).max(initial=0), np.abs(y_new / y - 1).max(initial=0))
             x, y = np.minimum(x_new, 1e12), np.minimum(y_new, 1e12)
             if moved < tol:
                 break
-        xy = np.outer(x, y)
-        self.freq, self.size_n, self.p = f, n, np.where(full[:, None], 1.0, xy / (1 + xy))
+        self.freq, self.size_n, self.x, self.y = f, n, np.where(f >= n.sum(), np.inf, x), y  # inf: in every basket
 
     def row(self, f: int) -> np.ndarray:
-        return self.p[min(int(np.searchsorted(self.freq, f)), len(self.freq) - 1)]
+        x = self.x[min(int(np.searchsorted(self.freq, f)), len(self.freq) - 1)]
+        return np.ones_like(self.y) if np.isinf(x) else x * self.y / (1 + x * self.y)
 
 
-def tail(q: np.ndarray, n: np.ndarray, c: int) -> float:
-    """P(X >= c) for X a sum of n[s] trials of probability q[s]: exact up to 40, saddle point beyond."""
+def tail(q: np.ndarray, n: np.ndarray, c: int, exact: int = _EXACT) -> float:
+    """P(X >= c) for X a sum of n[s] trials of probability q[s]: summed for counts up to `exact`, by the saddle point beyond."""
     q, n = q[q > 0], n[q > 0]
     mean = float((n * q).sum())
     if c <= 0:
         return 1.0
     if c > n.sum():
         return 0.0
-    if c <= _EXACT and mean <= _EXACT:
-        top = 2 * _EXACT + 40
+    if c <= exact and mean <= exact:
+        top = int(2 * max(c, mean)) + 60
         pmf = np.zeros(top + 1)
         pmf[0] = 1.0
         for p, k in zip(q, n.astype(np.int64)):

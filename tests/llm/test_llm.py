@@ -360,7 +360,8 @@ def test_long_basket(spark):
 def test_null_keeps_margins():
     f, m, s, n = np.array([1, 5, 40]), np.array([50, 20, 2]), np.array([1, 2, 5]), np.array([70, 40, 16])
     assert (f * m).sum() == (s * n).sum()
-    p = together.Null(f, m, s, n).p
+    null = together.Null(f, m, s, n)
+    p = np.stack([null.row(x) for x in f])
     assert np.allclose((p * n).sum(axis=1), f, rtol=1e-4) and np.allclose((p * m[:, None]).sum(axis=0), s, rtol=1e-4)
 
 
@@ -426,6 +427,38 @@ def test_near():
 # documents
 
 
+def test_tails_agree():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        q, n = rng.uniform(0.001, 0.2, 6), rng.integers(50, 800, 6)
+        mean = float((q * n).sum())
+        for c in {int(mean * k) + 1 for k in (1.02, 1.1, 1.3)}:
+            if c > 400:
+                continue
+            pmf = np.ones(1)
+            for p, k in zip(q, n):
+                own = np.array([1.0])
+                for _ in range(int(k)):
+                    own = np.convolve(own, [1 - p, p])
+                pmf = np.convolve(pmf, own)
+            true = pmf[c:].sum()
+            if true > 1e-10:
+                assert together.tail(q, n, c) == pytest.approx(true, rel=1e-5)
+                assert together.tail(q, n, c, exact=0) == pytest.approx(true, rel=5e-3)
+
+
+def test_null_in_blocks():
+    args = [np.array(x) for x in ([1, 2, 5, 9], [40, 20, 6, 1], [1, 2, 3, 6], [20, 25, 10, 4])]
+    one, many = together.Null(*args), together.Null(*args, block=1)
+    assert all(np.allclose(one.row(f), many.row(f)) for f in args[0])
+
+
+def test_lookalike_classes(spark):
+    docs = [(5, "caf\u00e9"), (3, "cafe\u0301"), (9, "cafe\u0301"), (1, "cafe"), (2, ""), (4, None), (None, "caf\u00e9"), (5, "caf\u00e9")]
+    got = {tuple(r) for r in lookalike.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {(5, 3, 5, 2), (3, 3, 3, 2), (9, 3, 3, 2)}
+
+
 def test_leaks_numbers_with_separators(spark):
     w = [f"word{i}" for i in range(7)] + ["4,108"] + [f"more{i}" for i in range(7)]
     passage = " ".join(["ahead", *w, "behind"])
