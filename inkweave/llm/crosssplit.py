@@ -145,7 +145,7 @@ def _matches(reps: DataFrame, counts: np.ndarray, n: int, t: float, shard_patter
         cat = lambda a: np.concatenate(a) if a else np.empty(0, dtype=np.int64)
         return pd.DataFrame({"id_b": cat(ids), "h": cat(hs)})
 
-    cells = min(shards * blocks, 8192)
+    cells = min(4 * shards * blocks, 8192)  # so that a hash seldom puts two in one task
     left, right = p.repartition(cells, "shard", "block").groupBy("shard", "block"), x.repartition(cells, "shard", "block").groupBy("shard", "block")
     return left.cogroup(right).applyInPandas(scan, "id_b bigint, h bigint")
 
