@@ -88,7 +88,7 @@ def counts(df: DataFrame, id_col: str = "id", text: str = "abstract", depth: int
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     shards = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars))
-    spread = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    spread = rows.repartition(shards, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = [x for x in batches if len(x)]
