@@ -490,9 +490,10 @@ def _(s, d):
 
 _BALLS = (
     """m AS (SELECT DISTINCT id, author FROM na WHERE id IN (SELECT u FROM p UNION SELECT v FROM p)), way AS (SELECT a AS src, b AS dst FROM ag), """
-    + _levels_sql("SELECT id AS s, author AS w FROM m", "way", 15)
-    + """, dp AS (SELECT s, max(d) AS depth FROM ds GROUP BY s), q AS (SELECT pair_id, u, v, least(x.depth, y.depth) AS most FROM p JOIN dp x ON x.s = u JOIN dp y ON y.s = v),
-sh AS (SELECT pair_id, count(*) AS shared FROM q JOIN ds x ON x.s = u AND x.d <= most JOIN ds y ON y.s = v AND y.w = x.w AND y.d <= most GROUP BY pair_id)"""
+    + _levels_sql("SELECT DISTINCT author AS s, author AS w FROM m", "way", 9)
+    + """, pb AS MATERIALIZED (SELECT id AS s, w, min(d) AS d FROM m JOIN ds ON ds.s = m.author GROUP BY id, w),
+dp AS (SELECT s, max(d) AS depth FROM pb GROUP BY s), q AS (SELECT pair_id, u, v, least(x.depth, y.depth) AS most FROM p JOIN dp x ON x.s = u JOIN dp y ON y.s = v),
+sh AS (SELECT pair_id, count(*) AS shared FROM q JOIN pb x ON x.s = u AND x.d <= most JOIN pb y ON y.s = v AND y.w = x.w AND y.d <= most GROUP BY pair_id)"""
 )
 
 
