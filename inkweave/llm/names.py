@@ -49,7 +49,7 @@ _SPELT = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae",
 _GLUED = re.compile(r"\b[^\W\d_]{2}\b")  # initials without stops or spaces
 FEWEST = 3  # spellings in which a word must stand first to be a given name, at any size of the index
 MOST_GIVEN = 1_000_000  # given names and short forms sent to the executors, the commonest first: some 50 MB
-MOST_AUTHORS = 200
+_LISTED = 1_000  # spellings of one paper whose co-authors are looked up in one part
 
 
 def fold(s: str) -> str:
@@ -256,15 +256,15 @@ def _candidates(read: DataFrame) -> DataFrame:
 
 
 def _shared(pairs: DataFrame, authors: DataFrame, index: DataFrame, read: DataFrame) -> DataFrame:
-    """(x, y, shared): co-authors' surnames that two spellings share, the rarer the heavier (1 for one that is unique). Papers of more than MOST_AUTHORS authors say nothing of who works with whom."""
+    """(x, y, shared): co-authors' surnames that two spellings share, the rarer the heavier (1 for one that is unique). Papers count whole, however many authors they list; the spellings of a long list meet its surnames in parts."""
     papers = authors.where("id IS NOT NULL").select("id", F.explode(F.array_distinct("authors")).alias("name")).distinct()
     listed = papers.join(index.select("author_idx", "name"), "name").join(read.select("author_idx", "surname"), "author_idx").select("id", "author_idx", "surname")
     listed = store(listed, "listed")
-    fit = listed.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n").between(2, MOST_AUTHORS)).select("id")
-    listed = listed.join(fit, "id", "left_semi")
+    parts = listed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.ceil(F.col("n") / _LISTED).cast("int").alias("parts"))
     asked = pairs.selectExpr("x AS author_idx").union(pairs.selectExpr("y AS author_idx")).distinct()
-    mine = listed.join(asked, "author_idx", "left_semi").select("id", "author_idx", F.col("surname").alias("own"))
-    beside = mine.join(listed.select("id", F.col("surname").alias("co")), "id").where("own <> co").select("author_idx", "co").distinct()
+    mine = listed.join(asked, "author_idx", "left_semi").join(parts, "id").select("id", F.expr("CAST(pmod(xxhash64(author_idx), parts) AS int)").alias("part"), "author_idx", F.col("surname").alias("own"))
+    cos = listed.select("id", F.col("surname").alias("co")).distinct().join(parts, "id").select("id", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "co")
+    beside = mine.join(cos, ["id", "part"]).where("own <> co").select("author_idx", "co").distinct()
     beside = store(beside, "beside")
     weight = beside.groupBy("co").agg(F.count("*").alias("df")).where("df > 1")
     total = beside.select("author_idx").distinct().count()

@@ -407,6 +407,16 @@ def test_hot_block(spark):
     assert {(7, 9000), (8, 9001), (9, 9002)} <= got and len(got) == 5 + 2100 + 2101 + 2102
 
 
+def test_long_lists_are_evidence(spark, monkeypatch):
+    monkeypatch.setattr(names, "_LISTED", 40)
+    n = 250
+    index = spark.createDataFrame([(i, f"name {i}") for i in range(n)] + [(n, "apart")], "author_idx bigint, name string")
+    read = index.selectExpr("author_idx", "CASE WHEN author_idx < 2 THEN 'own' ELSE concat('s', author_idx) END AS surname")
+    lists = spark.createDataFrame([(0, ["name 0", *[f"name {i}" for i in range(2, n)]]), (1, ["name 1", "name 7", "name 8"]), (2, ["apart"])], "id bigint, authors array<string>")
+    got = names._shared(spark.createDataFrame([(0, 1), (0, n)], "x bigint, y bigint"), lists, index, read).collect()
+    assert [(r["x"], r["y"]) for r in got] == [(0, 1)] and got[0]["shared"] > 0
+
+
 def test_many_spellings(spark, monkeypatch):
     who = spark.createDataFrame([(i, 0) for i in range(1001)], "author_idx bigint, person bigint")
     monkeypatch.setattr(names, "people", lambda *_: who)
