@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.operators import lists as L
 from inkweave.operators.components import components
-from inkweave.operators.graph import adjacency, degree, is_edge
+from inkweave.operators.graph import adjacency, degree, is_edge, numbered
 from inkweave.operators.pairs import common
 from inkweave.sources.shared import store
 
@@ -103,26 +104,37 @@ def ball(seeds: DataFrame, out: DataFrame, radius: int) -> DataFrame:
     return reached
 
 
-def ball_distance(pairs: DataFrame, members: DataFrame, out: DataFrame, levels: int = 16) -> DataFrame:
-    """pairs with shared and distance = exp(-shared): nodes in both balls around the members (id, node) of the ends. A ball has its members as the first of up to `levels` levels; both are as wide as the narrower one goes.
+def ball_distance(pairs: DataFrame, members: DataFrame, out: DataFrame | L.Lists, levels: int = 16) -> DataFrame:
+    """pairs with shared and distance = exp(-shared): nodes in both balls around the members (id, node) of the ends, along out (src, dst) or as lists with all members. A ball has its members as the first of up to `levels` levels; both are as wide as the narrower one goes.
 
-    Equal sets of members have equal balls, which are grown once, and pairs of equal balls are compared once.
+    Equal sets of members have equal balls, which are grown once, and pairs of equal balls are compared once. Graphs, sets
+    and pairs that can be sent are; beyond that, balls are rows.
     """
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = members.join(ids, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # the members of one id
     sets = store(sets.withColumn("key", F.sha2(F.to_json(F.struct("nodes")), 256)), "sets")
-    b = store(ball(sets.dropDuplicates(["key"]).select("key", F.explode("nodes").alias("node")), out, levels - 1), "balls")
-    depth = b.groupBy("key").agg(F.max("level").alias("depth"))
-    key = sets.select("id", "key").join(depth, "key")
-    p = pairs.join(key.toDF("a", "u", "x"), "u").join(key.toDF("b", "v", "y"), "v")
-    asked = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("x", "y").alias("most")).distinct()
-    size = b.groupBy("key").agg(F.count("*").alias("n"))
-    asked = asked.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    g = out if isinstance(out, L.Lists) else L.pack(out, members.select("node"))
+    each = sets.dropDuplicates(["key"])
+    key = store(numbered(each.select("key"), "key", "x").select("key", F.col("x").cast("int").alias("x")), "keys")
+    p = pairs.join(sets.select(F.col("id").alias("u"), F.col("key").alias("ku")), "u").join(sets.select(F.col("id").alias("v"), F.col("key").alias("kv")), "v")
+    p = p.join(key.toDF("ku", "a"), "ku").join(key.toDF("kv", "b"), "kv")
+    named = store(p.select("pair_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "named")
+    asked = store(named.select("a", "b").distinct(), "asked")
+    held = store(each.join(key, "key").select("x", F.explode("nodes").alias("node")).join(g.nodes, "node").select("x", "k"), "held")
+    small = g.fit and held.count() + asked.count() <= L.MOST_LINKS
+    n = L.shared_balls(g, held, asked, levels - 1) if small else _shared_rows(asked, held, L.rows(g), levels)
+    named = named.join(n, ["a", "b"]).select("pair_id", "shared")
+    out_ = pairs.join(named, "pair_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return out_.withColumn("distance", F.exp(-F.col("shared").cast("double")))
+
+
+def _shared_rows(asked: DataFrame, held: DataFrame, out: DataFrame, levels: int) -> DataFrame:
+    """(a, b, shared) of pairs (a, b) of sets (x, k), with balls as rows."""
+    b = store(ball(held.toDF("key", "node"), out, levels - 1), "balls")
+    size = b.groupBy("key").agg(F.max("level").alias("depth"), F.count("*").alias("n"))
+    asked = asked.join(size.toDF("a", "x", "na"), "a").join(size.toDF("b", "y", "nb"), "b").withColumn("most", F.least("x", "y"))
     # the smaller ball is looked up in the larger
     small = F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b"))
     asked = asked.select("a", "b", "most", small.alias("lo"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("hi"))
     both = asked.join(b.toDF("lo", "node", "l"), "lo").where("l <= most").join(b.toDF("hi", "node", "m"), ["hi", "node"]).where("m <= most")
-    n = both.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    named = p.select("pair_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(n, ["a", "b"]).select("pair_id", "shared")
-    out_ = pairs.join(named, "pair_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    return out_.withColumn("distance", F.exp(-F.col("shared").cast("double")))
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared"))

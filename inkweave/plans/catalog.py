@@ -468,14 +468,14 @@ def _(s, d):
 
 @_add("author_shortest_path", "e al na ag f p ap", "SELECT u, v, hops FROM ah", _AHOPS)
 def _(s, d):
-    b = features.registry.build(["author_pairs", "author_graph"], features.given(s, d))
-    return A.directed_hops(b["author_pairs"], b["author_graph"])
+    b = features.registry.build(["author_pairs", "author_links"], features.given(s, d))
+    return A.directed_hops(b["author_pairs"], b["author_links"])
 
 
 @_add("author_jaccard", "e al na ag f p ap", "SELECT pair_id, cn, un, round(cn / (1e-8::DOUBLE + un), 6) AS jaccard FROM su", _SUCC)
 def _(s, d):
-    b = features.registry.build(["author_pairs", "author_graph"], features.given(s, d))
-    return A.successors(b["author_pairs"], b["author_graph"]).select("pair_id", "cn", "un", _r("jaccard"))
+    b = features.registry.build(["author_pairs", "author_links"], features.given(s, d))
+    return A.successors(b["author_pairs"], b["author_links"]).select("pair_id", "cn", "un", _r("jaccard"))
 
 
 @_add(
@@ -501,7 +501,7 @@ sh AS (SELECT pair_id, count(*) AS shared FROM q JOIN pb x ON x.s = u AND x.d <=
 def _(s, d):
     """Balls of up to sixteen levels around the authors of both papers, in the author graph."""
     given = features.given(s, d)
-    graph = features.registry.build(["author_graph"], given)["author_graph"]
+    graph = features.registry.build(["author_links"], given)["author_links"]
     x = paths.ball_distance(T.pairs(s, d).select("pair_id", "u", "v"), given["node_author"].select("id", F.col("author").alias("node")), graph)
     return x.select("pair_id", "shared", _r("distance"))
 
@@ -808,8 +808,8 @@ def _(s, d):
 )
 def _(s, d):
     """All eleven features of the first authors."""
-    b = features.registry.build(["author_pairs", "author_graph", "author_pagerank"], features.given(s, d))
-    x = A.pair_features(b["author_pairs"].select("pair_id", "u", "v"), b["author_graph"], b["author_pagerank"], A.link_strength(b["author_graph"]))
+    b = features.registry.build(["author_pairs", "author_links", "author_pagerank", "author_strength"], features.given(s, d))
+    x = A.pair_features(b["author_pairs"].select("pair_id", "u", "v"), b["author_links"], b["author_pagerank"], b["author_strength"])
     return x.select("pair_id", "path", "common", "near_u", "near_v", _r("jaccard"), _r("adamic_adar"), "attachment", _r("rank_min", 8), _r("rank_max", 8), _r("weight_min"), _r("weight_max"))
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from inkweave.functions import vectors as V
 from inkweave.operators import authors as A
-from inkweave.operators import embed, paths, rank
+from inkweave.operators import embed, lists, paths, rank
 from inkweave.operators import pairs as P
 from inkweave.operators import text as X
+from inkweave.operators.lists import Lists
 from inkweave.plans.registry import Registry
 from inkweave.sources import tables as T
 from inkweave.sources.shared import store
@@ -71,9 +72,14 @@ def _(na: DataFrame) -> DataFrame:
     return A.first_author(na)
 
 
-@feature("author_graph", "edges", "node_author")
+@feature("author_links", "edges", "node_author")
+def _(edges: DataFrame, na: DataFrame) -> Lists:
+    return A.author_links(edges, na)
+
+
+@feature("author_strength", "edges", "node_author")
 def _(edges: DataFrame, na: DataFrame) -> DataFrame:
-    return store(A.author_graph(edges, na).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), "author_graph")
+    return store(A.strengths(edges, na), "strength")
 
 
 @feature("author_pairs", "pairs", "first_author")
@@ -82,15 +88,17 @@ def _(pairs: DataFrame, first: DataFrame) -> DataFrame:
     return store(pairs.select("pair_id", "split", "y", "u", "v").join(first.toDF("u", "au"), "u", "left").join(first.toDF("v", "av"), "v", "left").select("pair_id", "split", "y", F.col("au").alias("u"), F.col("av").alias("v")), "author_pairs")
 
 
-@feature("author_pagerank", "author_graph", "node_author")
-def _(graph: DataFrame, na: DataFrame) -> DataFrame:
-    return rank.pagerank(na.select(F.col("author").alias("id")).distinct(), graph.select("src", "dst"))
+@feature("author_pagerank", "author_links")
+def _(graph: Lists) -> DataFrame:
+    if graph.fit:
+        return lists.pagerank(graph)
+    x = rank.pagerank(graph.nodes.select(F.col("k").alias("id")), lists.rows(graph)).withColumnRenamed("id", "k")
+    return x.join(graph.nodes, "k").select(F.col("node").alias("id"), "rank")
 
 
-@feature("author_block6", "author_pairs", "author_graph", "author_pagerank")
-def _(pairs: DataFrame, graph: DataFrame, ranks: DataFrame) -> DataFrame:
+@feature("author_block6", "author_pairs", "author_links", "author_pagerank", "author_strength")
+def _(pairs: DataFrame, graph: Lists, ranks: DataFrame, s: DataFrame) -> DataFrame:
     """Path, overlap of successors, ranks and link strengths of the first authors."""
-    s = A.link_strength(graph)
     hops = A.directed_hops(pairs, graph)
     out = A.successors(pairs, graph).join(hops, ["u", "v"], "left").join(s.toDF("u", "su"), "u", "left").join(s.toDF("v", "sv"), "v", "left")
     out = rank.on_pairs(out.withColumns({"su": F.coalesce("su", F.lit(0.0)), "sv": F.coalesce("sv", F.lit(0.0))}), ranks)
