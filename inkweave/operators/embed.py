@@ -14,6 +14,8 @@ from inkweave.functions.vectors import cosine
 from inkweave.sources.shared import parallel
 
 _ROWS = 2048
+_WIDE = 65_536  # vectors of a block of nearest(): a cell holds two and compares them _ROWS by _ROWS
+_COPIES = 12
 
 
 def on_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -21,18 +23,33 @@ def on_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(vectors.toDF("u", "hu"), "u").join(vectors.toDF("v", "hv"), "v")
 
 
-def _compared(vectors: DataFrame, schema: str, cell: Callable[..., pd.DataFrame], rows: int = _ROWS) -> DataFrame:
+def _sent(h: np.ndarray) -> bytes:
+    """The numbers with a first byte: 4 where 32 bits hold them all without loss, else 8."""
+    with np.errstate(over="ignore"):
+        short = h.astype(np.float32)
+    return b"\x04" + short.tobytes() if np.array_equal(short, h) else b"\x08" + h.tobytes()
+
+
+def _got(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.float32 if b[0] == 4 else np.float64, offset=1).astype(np.float64)
+
+
+def _compared(vectors: DataFrame, schema: str, cell: Callable[..., pd.DataFrame], rows: int = _ROWS, *, wide: bool = False) -> DataFrame:
     """Rows of cell(ids, h, asks, ids, h, asks, same) over every two blocks of vectors (id, h, asks), the two of them once.
 
     Blocks of about `rows` vectors travel as one row to each cell they are in, so n / rows copies of the vectors are shuffled and
-    work is quadratic, in cells of bounded size. All vectors have one length.
+    work is quadratic, in cells of bounded size. All vectors have one length. wide: blocks grow with n, up to _WIDE, so that
+    there are about _COPIES; numbers that fit in 32 bits travel so.
     """
     spark = vectors.sparkSession
-    blocks = max(1, -(-vectors.count() // rows))
+    n = vectors.count()
+    if wide:
+        rows = min(_WIDE, max(rows, -(-n // _COPIES)))
+    blocks = max(1, -(-n // rows))
 
     def pack(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         h = np.array([np.asarray(x, dtype=np.float64) for x in b["h"]])
-        return pd.DataFrame({"block": [key[0]], "ids": [b["id"].to_numpy(np.int64).tobytes()], "h": [h.tobytes()], "asks": [b["asks"].to_numpy(bool).tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "ids": [b["id"].to_numpy(np.int64).tobytes()], "h": [_sent(h)], "asks": [b["asks"].to_numpy(bool).tobytes()]})
 
     packed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "h", "asks").groupBy("block").applyInPandas(pack, "block bigint, ids binary, h binary, asks binary")
     sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "ids", "h", "asks")
@@ -41,7 +58,7 @@ def _compared(vectors: DataFrame, schema: str, cell: Callable[..., pd.DataFrame]
         side = []
         for r in c.sort_values("block").itertuples():
             ids = np.frombuffer(r.ids, np.int64)
-            side.append((ids, np.frombuffer(r.h, np.float64).reshape(len(ids), -1), np.frombuffer(r.asks, bool)))
+            side.append((ids, _got(r.h).reshape(len(ids), -1), np.frombuffer(r.asks, bool)))
         return cell(*side[0], *side[-1], len(side) == 1)
 
     # the cell (lo, hi) is missing one side where a hash leaves a block empty: that is no pair of blocks
@@ -68,14 +85,30 @@ def nearest(vectors: DataFrame, k: int, by: str = "distance") -> DataFrame:
         r, c = r[keep], c[keep]
         return pd.DataFrame({"id": ids[i[r]], "other": others[c], "similarity": a[i[r], c]})
 
-    def cell(ia, a, qa, ib, b, qb, same) -> pd.DataFrame:
+    def tile(ia, a, qa, ib, b, qb, same) -> list[pd.DataFrame]:
         s = a @ b.T
         if by != "cosine":
             s = 2 * s - (a * a).sum(axis=1)[:, None] - (b * b).sum(axis=1)[None, :]
-        out = [best(s, ia, ib, qa)] + ([] if same else [best(s.T, ib, ia, qb)])
-        return pd.concat(out)
+        return [best(s, ia, ib, qa)] + ([] if same else [best(s.T, ib, ia, qb)])
+
+    def kept(held: list[pd.DataFrame]) -> pd.DataFrame:
+        """The k best of each id."""
+        x = pd.concat(held)
+        o = np.lexsort((x["other"], -np.round(x["similarity"], 9), x["id"]))
+        x = x.iloc[o]
+        i = x["id"].to_numpy()
+        return x[np.arange(len(i)) - np.searchsorted(i, i) < k]
 
-    found = _compared(_asking(vectors), "id bigint, other bigint, similarity double", cell)
+    def cell(ia, a, qa, ib, b, qb, same) -> pd.DataFrame:
+        held: list[pd.DataFrame] = []
+        for i in range(0, len(ia), _ROWS):
+            for j in range(i if same else 0, len(ib), _ROWS):
+                x, y = slice(i, i + _ROWS), slice(j, j + _ROWS)
+                held += tile(ia[x], a[x], qa[x], ib[y], b[y], qb[y], same and i == j)
+            held = [kept(held)]  # one row of tiles at most is held beside the best so far
+        return held[0]
+
+    found = _compared(_asking(vectors), "id bigint, other bigint, similarity double", cell, wide=True)
     w = W.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "other")  # k from each block
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
