@@ -329,6 +329,23 @@ def test_neighbours_copies(spark):
     assert got == {(i, j) for i in [*range(50), 100] for j in [x for x in range(5) if x != i][:3]}
 
 
+def test_neighbours_waves(spark, monkeypatch):
+    # files in several waves, long ones in blocks; what is far is given up early, what the index was made of is removed
+    from inkweave.sources import shared
+
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 16))
+    df = spark.createDataFrame([(i, (centres[i % 60] + 0.4 * rng.standard_normal(16)).tolist()) for i in range(900)], "id bigint, h array<double>")
+    near = lambda **how: {(r["id"], r["other"], r["rank"]) for r in neighbours.neighbours(df, **how).where("similarity >= 0.9").collect()}
+    whole = near()
+    monkeypatch.setattr(neighbours, "_WAVE", 1 << 10)
+    monkeypatch.setattr(neighbours, "_block", lambda _: 20)
+    written = len(shared._written)
+    assert len(whole) > 500 and near(above=0.9) == whole
+    held = [p.rpartition("/")[2].split("-")[0] for _, p in shared._written[written:]]
+    assert held.count("near") > 2 and not {"vectors", "indexed"} & set(held)
+
+
 def test_term_vectors(spark):
     dt = spark.createDataFrame([(1, 0, 2), (1, 0, 2), (1, 2, 300), (2, 3, 1), (3, None, 1)], "id bigint, word_idx bigint, tf int")
     vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "word string, word_idx bigint")
