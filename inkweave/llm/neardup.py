@@ -10,8 +10,10 @@ Records with equal sets form a class, which is compared once. A signature has so
 however many there are, so unrelated sets of any size are told apart; a strip holds records of one width, and where two
 widths meet the wider is folded (halves combined by exclusive-or, which keeps the bound).
 
-Work grows with the square of the number of distinct classes, about 10 ns a pair and core; the signatures travel once per
-strip, not once per pair. The driver sees one row a strip, some 30 000 records.
+That work grows with the square of the number of distinct classes, about 10 ns a pair and core, so beyond WHOLE classes the
+signatures are compared only of those pairs that share as many of their rarest shingles as the similarity asks for (see
+rare): every other pair is known to be unlike. What is kept in between are signatures and pairs; sets are made anew from
+the texts of what passes.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.llm import rare
 from inkweave.llm.groups import slotted, within
 from inkweave.llm.words import Hasher, shingles, words
-from inkweave.sources.shared import store
+from inkweave.sources.shared import parallel, store, tidy
 
 _TILE_A, _TILE_B = 128, 2048
 _STRIP_BYTES = 32 << 20
 MOST_STRIPS = 1_000_000
+WHOLE = 8_192  # classes up to which all pairs of tiles are compared
+_SHARD = 1_000_000
 
 
 def _width(size: int) -> int:
@@ -193,14 +198,77 @@ def verified(found: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.withColumn("similarity", sim.cast("double")).where(F.col("similarity") >= t).select("id_a", "id_b", "similarity")
 
 
+def _close(rows: DataFrame, reps: DataFrame, t: float) -> DataFrame:
+    """Pairs (id_a, id_b) of rows whose signatures of reps (id, size, bits) lie within the bound of similarity t."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            a, c = b["bits_a"].map(len).to_numpy(), b["bits_b"].map(len).to_numpy()
+            bound, ok = (b["size_a"].to_numpy(np.int64) + b["size_b"].to_numpy()) * ((1 - t) / (1 + t)) + 1e-9, np.zeros(len(b), bool)
+            for wide, narrow in np.unique(np.stack([a, c], 1), axis=0):
+                at = np.flatnonzero((a == wide) & (c == narrow))
+                x, y = (np.frombuffer(b"".join(b[s].iloc[at]), np.uint64).reshape(len(at), -1) for s in ("bits_a", "bits_b"))
+                least = min(x.shape[1], y.shape[1])
+                ok[at] = np.bitwise_count(fold(x, least) ^ fold(y, least)).sum(axis=1, dtype=np.int64) <= bound[at]
+            yield b.loc[ok, ["id_a", "id_b"]]
+
+    end = lambda e: reps.select(F.col("id").alias(f"id_{e}"), F.col("size").alias(f"size_{e}"), F.col("bits").alias(f"bits_{e}"))
+    return rows.join(end("a"), "id_a").join(end("b"), "id_b").mapInPandas(run, "id_a bigint, id_b bigint")
+
+
+def met(texts: DataFrame, counts: np.ndarray, n: int, t: float, total: int) -> DataFrame:
+    """(id_a, id_b) of texts (id, text), total shingles in all, that share as many of their rarest shingles as a similarity of t asks for."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(counts)
+    shards = int(min(8192, max(parallel(spark), -(-total // _SHARD))))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for b in batches:
+            got = [rare.placed(np.unique(shingles(hasher(words(x)), n)).view(np.int64), sent.value, t) + (i,) for i, x in zip(b["id"], b["text"])]
+            h = np.concatenate([g[0] for g in got]) if len(got) else np.empty(0, np.int64)
+            if not len(h):
+                continue
+            k = [len(g[0]) for g in got]
+            at = h % shards
+            o = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[o], np.arange(shards + 1))
+            ids, size = np.repeat(b["id"].to_numpy(np.int64), k)[o], np.repeat(b["size"].to_numpy(np.int32), k)[o]
+            h, place = h[o], np.concatenate([g[1] for g in got]).astype(np.int32)[o]
+            own = np.flatnonzero(np.diff(ends))
+            part = lambda x: [x[ends[i] : ends[i + 1]].tobytes() for i in own]
+            yield pd.DataFrame({"shard": own, "h": part(h), "ids": part(ids), "sizes": part(size), "places": part(place)})
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        side = tuple(np.frombuffer(b"".join(g[c]), d) for c, d in (("h", np.int64), ("ids", np.int64), ("sizes", np.int32), ("places", np.int32)))
+        found = rare.met(side, side, t)
+        return found[found["id_a"] < found["id_b"]]
+
+    rows = texts.select("id", "size", "text").mapInPandas(cut, "shard int, h binary, ids binary, sizes binary, places binary")
+    pairs = rows.repartition(shards, "shard").groupBy("shard").applyInPandas(run, "id_a bigint, id_b bigint, shared bigint, need bigint")
+    return pairs.groupBy("id_a", "id_b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("id_a", "id_b")
+
+
 def classes(df: DataFrame, id_col: str, text: str, n: int, t: float) -> tuple[DataFrame, DataFrame]:
     """Members (rep, id, copies) of every class of equal shingle sets, and the links (id_a, id_b, similarity) between representatives."""
-    recs = store(signatures(df, id_col, text, n), "signatures")
+    spark = df.sparkSession
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    recs, counts = rare.read(texts, n, signature)
     members = store(_members(recs), "members")
-    reps = recs.join(members.where("id = rep").select("id"), "id", "left_semi").groupBy("id").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    reps = store(reps, "reps")
-    one = recs.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    links = store(verified(store(candidates(reps, t), "candidates"), one, t), "links")
+    heads = members.where("id = rep").select("id")
+    reps = store(recs.join(heads, "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("text_hash", "size", "bits"), "text_hash").alias("r")).select("id", "r.*"), "reps")
+    tidy(spark)
+    found, total = reps.agg(F.count("*"), F.sum("size")).first()
+    if found <= WHOLE:
+        pairs = candidates(reps, t)
+    else:
+        pairs = _close(store(met(rare.texts_of(texts, reps.select("id", "text_hash", "size")), counts, n, t, total), "met"), reps, t)
+    pairs = store(pairs, "candidates")
+    tidy(spark)
+    used = pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct()
+    sets = store(rare.with_sets(rare.texts_of(texts, reps.select("id", "text_hash").join(used, "id", "left_semi")), n), "sets")
+    tidy(spark)
+    links = store(verified(pairs, sets, t), "links")
     return members, links
 
 

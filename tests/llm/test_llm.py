@@ -149,6 +149,22 @@ def test_near_duplicates_in_many_strips(spark):
     assert plain_near(rows) <= got and len(got) < 40
 
 
+def test_near_duplicates_by_rare_shingles(spark, monkeypatch):
+    # beyond WHOLE classes no two strips are compared; the pairs are the same
+    from inkweave.llm import rare
+
+    rng = random.Random(4)
+    rows = list(family(11))
+    for k in range(60):
+        base = [str(rng.randrange(40 if k % 2 else 10**6)) for _ in range(rng.choice([3, 4, 6, 12, 40, 300, 900]))]
+        rows += [(1000 + 2 * k, " ".join(base)), (1001 + 2 * k, " ".join(base[: -(-2 * len(base) // 3)] + [str(rng.randrange(10**6)) for _ in range(len(base) // 8)]))]
+    want = {tuple(r) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    monkeypatch.setattr(neardup, "WHOLE", 0)
+    monkeypatch.setattr(rare, "_PAIRS", 50)
+    monkeypatch.setattr(neardup, "candidates", None)
+    assert {tuple(r) for r in neardup.near_duplicates(frame(spark, rows)).collect()} == want == plain_near(rows)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(500, i) for i in range(501, 540)]
