@@ -3,19 +3,17 @@
 The passages of an evaluation text are its runs of three words. They are sharded into Aho-Corasick automata, which scan the
 training texts; the matched intervals are merged into the coverage of each evaluation text. Two sets with a similarity of
 at least t share at least t of either, so if each is cut down to its rarest passages, as many as exceed the rest by m, what
-is left of them still shares m: no link is lost by patterns and scans of those alone, nor by sending a text only to the
-shards of its own. Rarity follows counts in a sketch of bounded size, which never counts too few; a passage counted once
-stands in no other text and stays out. What has m matches is verified on the whole sets.
+is left of them still shares m (see rare): no link is lost by patterns and scans of those alone. Rarity follows counts in a
+sketch of bounded size, which never counts too few; a passage counted once stands in no other text and stays out. What has m
+matches is verified on the whole sets, which are made anew from the texts of what passes.
 
 Texts with equal sets form one class and are scanned once. A pair of papers is then looked up by the classes of its ends
-and of what they are linked to. A text is sent to no more shards than it has rare passages, however many there are, so work
-grows with the texts.
+and of what they are linked to. Only the rare passages of a text travel, each once, to the shard it belongs to, so what is
+sent does not grow with the number of shards.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,162 +21,88 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.llm import rare
 from inkweave.llm.neardup import _members, verified
+from inkweave.llm.rare import rarest  # noqa: F401
 from inkweave.llm.words import Hasher, shingles, words
-from inkweave.sources.shared import store
+from inkweave.sources.shared import parallel, store, tidy
 
-_NEEDED = 3
-_SLICES = 16
-MOST_BITS = 26  # of a place in the sketch: 64 million counters of two bytes on each executor
+_CHARS = 24  # of a passage, about
 
+def _found(reps: DataFrame, sketch: np.ndarray, n: int, t: float, shards: int) -> DataFrame:
+    """(id_a, id_b) of evaluation and training texts of reps (id, size, text, evaluated, trained) that share as many of their rare passages as a similarity of t asks for.
 
-def _read(texts: DataFrame, n: int) -> DataFrame:
-    """(id, key, size, sh, text): digest, number and hashes of the distinct runs of n words, and the words between single spaces. Null ids, null texts and texts of fewer than n words have no row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
-        for b in batches:
-            out = []
-            for i, t in zip(b["id"], b["text"]):
-                w = words(t)
-                sh = np.unique(shingles(hasher(w), n))
-                if len(sh):
-                    out.append((i, hashlib.blake2b(sh.tobytes(), digest_size=16).digest(), len(sh), sh.view(np.int64), f" {' '.join(w)} "))
-            if out:
-                yield pd.DataFrame(out, columns=["id", "key", "size", "sh", "text"])
-
-    return texts.mapInPandas(run, "id bigint, key binary, size int, sh array<bigint>, text string")
-
-
-def sketch(reps: DataFrame, bits: int) -> np.ndarray:
-    """Counts, up to 65 535, of the shingles of reps (sh) by the last `bits` bits of each: those of several may meet in one counter, so none is counted too low."""
-    cut = (1 << bits) // _SLICES
-    lots = max(1, round(reps.rdd.getNumPartitions() ** 0.5))
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        m = np.zeros(1 << bits, np.uint32)
-        for b in batches:
-            if len(b):
-                at, k = np.unique(np.concatenate(b["sh"].to_numpy()) & ((1 << bits) - 1), return_counts=True)
-                m[at] += k.astype(np.uint32)
-        m = np.minimum(m, 65_535).astype(np.uint16)
-        yield pd.DataFrame({"slice": range(_SLICES), "lot": TaskContext.get().partitionId() % lots, "m": [zlib.compress(m[i * cut : (i + 1) * cut].tobytes(), 1) for i in range(_SLICES)]})
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(cut, np.uint32)
-        for x in g["m"]:
-            total = np.minimum(total + np.frombuffer(zlib.decompress(x), np.uint16), 65_535)
-        return pd.DataFrame({"slice": g["slice"].iloc[:1], "lot": 0, "m": [zlib.compress(total.astype(np.uint16).tobytes(), 1)]})
-
-    schema = "slice int, lot int, m binary"
-    got = reps.select("sh").mapInPandas(local, schema).groupBy("slice", "lot").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema).collect()
-    out = np.zeros(1 << bits, np.uint16)
-    for r in got:
-        out[r["slice"] * cut : (r["slice"] + 1) * cut] = np.frombuffer(zlib.decompress(r["m"]), np.uint16)
-    return out
-
-
-def rarest(sh: np.ndarray, counts: np.ndarray, t: float) -> np.ndarray:
-    """Of the distinct shingles of a text the rarest, of which a text of a similarity of at least t must share some; those counted once left out."""
-    least = int(np.ceil(len(sh) * t - 1e-9))
-    c = counts[sh & (len(counts) - 1)]
-    first = np.lexsort((sh, c))[: len(sh) - least + min(_NEEDED, least)]
-    return sh[first[c[first] > 1]]
-
-
-def _matches(reps: DataFrame, counts: np.ndarray, n: int, t: float, shard_patterns: int, shard_chars: int) -> DataFrame:
-    """(id_b, h): the rare passages of evaluation texts found in the texts of reps (id, size, sh, text, evaluated, trained) where they are rare passages too."""
-    spark = reps.sparkSession
-    sent = spark.sparkContext.broadcast(counts)
-
-    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
-        for b in batches:
-            seen: dict[int, str] = {}
-            for text, sh in zip(b["text"], b["sh"]):
-                w = text.split()
-                want = set(rarest(np.asarray(sh), sent.value, t).tolist())
-                for i, h in enumerate(shingles(hasher(w), n).view(np.int64).tolist()):
-                    if h in want and h not in seen:
-                        seen[h] = f" {' '.join(w[i : i + n])} "
-            if seen:
-                yield pd.DataFrame({"h": list(seen), "pattern": list(seen.values())})
-
-    patterns = reps.where("evaluated").select("text", "sh").mapInPandas(spelled, "h bigint, pattern string").groupBy("h").agg(F.first("pattern").alias("pattern"))
-    patterns = store(patterns, "patterns")
-    shards = max(1, -(-patterns.count() // shard_patterns))
+    Of a text only its rare passages are sent, each to the one shard it belongs to, and there the automaton of those of the
+    evaluation texts scans those of the training texts.
+    """
+    sent = rare.Sent(reps.sparkSession, sketch)
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, counts = Hasher(), sent.read()
         for b in batches:
-            out = []
-            for i, text, sh in zip(b["id"], b["text"], b["sh"]):
-                rare = rarest(np.asarray(sh), sent.value, t)
-                at = rare % shards
-                out += [(i, int(k), text, rare[at == k]) for k in np.unique(at)]
-            if out:
-                yield pd.DataFrame(out, columns=["id", "shard", "text", "rare"])
-
-    # a shard with more text than a task should scan is given to several, each with the automaton
-    scanned = reps.where("trained").select("id", "text", "sh").mapInPandas(routed, "id bigint, shard int, text string, rare array<bigint>")
-    chars = reps.where("trained").agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // shard_chars))
-    x = scanned.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    p = patterns.select("h", "pattern", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def scan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            held: dict[int, list] = {}
+            for i, size, text, e, tr in zip(b["id"], b["size"], b["text"], b["evaluated"], b["trained"]):
+                w = words(text)
+                sh, first = np.unique(shingles(hasher(w), n), return_index=True)
+                sh = sh.view(np.int64)
+                o = np.argsort(sh, kind="stable")  # in the order of signed numbers
+                h, place = rare.placed(sh, counts, t)
+                begin = first[o][np.searchsorted(sh[o], h)]
+                for k, p, x in zip((h % shards).tolist(), place.tolist(), begin.tolist()):
+                    held.setdefault(k, []).append((i, size, e + 2 * tr, p, f" {' '.join(w[x : x + n])} "))
+            if held:
+                rows = [(k, *(np.array([r[c] for r in v], d).tobytes() for c, d in enumerate((np.int64, np.int32, np.uint8, np.int32))), "\n".join(r[4] for r in v)) for k, v in held.items()]
+                yield pd.DataFrame(rows, columns=["shard", "ids", "sizes", "roles", "places", "passages"])
+
+    def scan(g: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        ids, hs = [], []
-        if len(left) and len(right):
-            auto = ahocorasick.Automaton()
-            for h, s in zip(left["h"], left["pattern"]):
-                auto.add_word(s, h)
-            auto.make_automaton()
-            for i, text, rare in zip(right["id"], right["text"], right["rare"]):
-                own = set(rare.tolist())
-                found = {h for _, h in auto.iter(text) if h in own}
-                if found:
-                    ids.append(np.full(len(found), i, dtype=np.int64))
-                    hs.append(np.fromiter(found, np.int64, len(found)))
-        cat = lambda a: np.concatenate(a) if a else np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"id_b": cat(ids), "h": cat(hs)})
-
-    cells = min(4 * shards * blocks, 8192)  # so that a hash seldom puts two in one task
-    left, right = p.repartition(cells, "shard", "block").groupBy("shard", "block"), x.repartition(cells, "shard", "block").groupBy("shard", "block")
-    return left.cogroup(right).applyInPandas(scan, "id_b bigint, h bigint")
+        ids, size, role, place = (np.frombuffer(b"".join(g[c]), d) for c, d in (("ids", np.int64), ("sizes", np.int32), ("roles", np.uint8), ("places", np.int32)))
+        passages = "\n".join(g["passages"]).split("\n")
+        auto, member, number = ahocorasick.Automaton(), np.full(len(ids), -1), {}
+        asked = np.flatnonzero(role & 1)
+        for i in asked.tolist():
+            member[i] = k = number.setdefault(passages[i], len(number))
+            if k == len(number) - 1:
+                auto.add_word(passages[i], k)
+        trained = np.flatnonzero(role & 2)
+        if not len(asked) or not len(trained):
+            return pd.DataFrame({x: np.empty(0, np.int64) for x in ("id_a", "id_b", "shared", "need")})
+        auto.make_automaton()
+        mine = [passages[i] for i in trained.tolist()]
+        ends = np.cumsum([len(x) + 1 for x in mine]) - 2  # where the last sign of each stands
+        hits = np.array(list(auto.iter("\n".join(mine))), np.int64).reshape(-1, 2)  # a passage holds no other of as many words
+        at = trained[np.searchsorted(ends, hits[:, 0])]
+        return rare.met((member[asked], ids[asked], size[asked], place[asked]), (hits[:, 1], ids[at], size[at], place[at]), t)
+
+    rows = reps.mapInPandas(routed, "shard int, ids binary, sizes binary, roles binary, places binary, passages string")
+    pairs = rows.repartition(shards, "shard").groupBy("shard").applyInPandas(scan, "id_a bigint, id_b bigint, shared bigint, need bigint")
+    return pairs.groupBy("id_a", "id_b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("id_a", "id_b")
 
 
 def text_links(texts: DataFrame, evaluated: DataFrame, trained: DataFrame, n: int = 3, t: float = 0.5, shard_patterns: int = 400_000, shard_chars: int = 48_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members (rep, id, copies), links (id_a evaluation class, id_b training class, similarity) and representatives (id, size, sh, text, evaluated, trained) of texts (id, text).
+    """members (rep, id, copies), links (id_a evaluation class, id_b training class, similarity) and representatives (id, size, text, evaluated, trained) of texts (id, text).
 
     evaluated and trained have a column id. Equal classes are not linked to themselves.
     """
     spark = texts.sparkSession
-    raw = texts.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long").alias("id"), "text").dropDuplicates(["id"])
-    recs = store(_read(raw, n), "texts")
+    recs, sketch = rare.read(texts, n)
+    recs = store(recs.groupBy("id").agg(F.min(F.struct("text_hash", "key", "size")).alias("r")).select("id", "r.*"), "texts")  # of two texts under one id, one is taken
     members = store(_members(recs), "members")
     of = lambda ids: members.join(ids.select("id").distinct(), "id", "left_semi").select(F.col("rep").alias("id")).distinct()
     roles = of(evaluated).withColumn("e", F.lit(True)).join(of(trained).withColumn("t", F.lit(True)), "id", "full")
     roles = roles.select("id", F.coalesce("e", F.lit(False)).alias("evaluated"), F.coalesce("t", F.lit(False)).alias("trained"))
-    reps = store(recs.join(roles, "id").select("id", "size", "sh", "text", "evaluated", "trained"), "reps")
-    total = reps.agg(F.sum("size")).first()[0] or 0
-    counts = sketch(reps, int(min(MOST_BITS, max(16, np.ceil(np.log2(total + 1)) + 1))))
-    sent = spark.sparkContext.broadcast(counts)
-
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [rarest(np.asarray(sh), sent.value, t) for sh in b["sh"]]
-            k = [len(h) for h in got]
-            yield pd.DataFrame({"id_a": np.repeat(b["id"].to_numpy(), k), "size_a": np.repeat(b["size"].to_numpy(), k), "h": np.concatenate(got) if len(got) else np.empty(0, np.int64)})
-
-    asked = reps.where("evaluated").select("id", "size", "sh").mapInPandas(chosen, "id_a bigint, size_a int, h bigint")
-    hits = _matches(reps, counts, n, t, shard_patterns, shard_chars).join(reps.select(F.col("id").alias("id_b"), F.col("size").alias("size_b")), "id_b")
-    needed = F.least(F.lit(_NEEDED), F.ceil(F.col("size_a") * t - 1e-9), F.ceil(F.col("size_b") * t - 1e-9)).alias("need")  # what both ends keep enough for
-    alike = f"id_a <> id_b AND size_a >= {t} * size_b - 1e-9 AND size_b >= {t} * size_a - 1e-9"
-    found = hits.join(asked, "h").where(alike).select("id_a", "id_b", needed).groupBy("id_a", "id_b").agg(F.count("*").alias("passages"), F.min("need").alias("need")).where("passages >= need")
-    return members, store(verified(store(found.select("id_a", "id_b"), "found"), reps, t), "links"), reps
+    reps = store(rare.texts_of(texts, recs.join(roles, "id").select("id", "text_hash", "size", "evaluated", "trained")), "reps")
+    tidy(spark)
+    total = (reps.agg(F.sum("size")).first()[0] or 0) * (1 - t)
+    shards = int(min(8192, max(parallel(spark), -(-total // shard_patterns), -(-total * _CHARS // shard_chars))))
+    found = store(_found(reps, sketch, n, t, shards), "found")
+    tidy(spark)
+    used = found.select(F.col("id_a").alias("id")).union(found.select("id_b")).distinct()
+    sets = store(rare.with_sets(reps.join(used, "id", "left_semi"), n), "sets")
+    links = store(verified(found, sets, t), "links")
+    tidy(spark)
+    return members, links, reps
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int = 3, t: float = 0.5) -> DataFrame:
@@ -217,7 +141,8 @@ def coverage(pairs: DataFrame, texts: DataFrame, n: int = 3, t: float = 0.5) ->
     ends = lambda df: df.select(F.col("u").alias("id")).union(df.select("v")).distinct()
     asked, trained = ends(rows.where("split <> 'train'")), ends(rows.where("split = 'train'"))
     members, links, reps = text_links(texts, asked, trained, n, t)
-    sets = reps.select("id", "sh")
+    linked = links.select(F.col("id_a").alias("id")).union(links.select("id_b")).distinct()
+    sets = rare.with_sets(reps.join(linked, "id", "left_semi"), n)
     both = links.select("id_a", "id_b").join(sets.toDF("id_a", "sa"), "id_a").join(sets.toDF("id_b", "sb"), "id_b")
     shared = both.select("id_a", F.explode(F.array_intersect("sa", "sb")).alias("h")).distinct().groupBy("id_a").agg(F.collect_list("h").alias("h"))  # of one text at most
     own = reps.where("evaluated").select("id", "text").join(shared.withColumnRenamed("id_a", "id"), "id", "left")
@@ -227,7 +152,7 @@ def coverage(pairs: DataFrame, texts: DataFrame, n: int = 3, t: float = 0.5) ->
         for b in batches:
             out = []
             for i, text, h in zip(b["id"], b["text"], b["h"]):
-                w = text.split()
+                w = words(text)
                 begin = np.isin(shingles(hasher(w), n).view(np.int64), h) if h is not None else np.zeros(0, bool)
                 inside = np.zeros(len(w), bool)
                 for k in range(n):

@@ -216,16 +216,16 @@ def _close(rows: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     return rows.join(end("a"), "id_a").join(end("b"), "id_b").mapInPandas(run, "id_a bigint, id_b bigint")
 
 
-def met(texts: DataFrame, counts: np.ndarray, n: int, t: float, total: int) -> DataFrame:
+def met(texts: DataFrame, sketch: np.ndarray, n: int, t: float, total: int) -> DataFrame:
     """(id_a, id_b) of texts (id, text), total shingles in all, that share as many of their rarest shingles as a similarity of t asks for."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(counts)
+    sent = rare.Sent(spark, sketch)
     shards = int(min(8192, max(parallel(spark), -(-total // _SHARD))))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        hasher, counts = Hasher(), sent.read()
         for b in batches:
-            got = [rare.placed(np.unique(shingles(hasher(words(x)), n)).view(np.int64), sent.value, t) + (i,) for i, x in zip(b["id"], b["text"])]
+            got = [rare.placed(np.unique(shingles(hasher(words(x)), n)).view(np.int64), counts, t) for x in b["text"]]
             h = np.concatenate([g[0] for g in got]) if len(got) else np.empty(0, np.int64)
             if not len(h):
                 continue

@@ -9,12 +9,13 @@ most pairs that share a member by chance are not even listed. No pair of that si
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.llm.words import Hasher, shingles, words
@@ -90,6 +91,22 @@ def with_sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("id", "text").mapInPandas(run, "id bigint, sh array<bigint>")
 
 
+_read: dict[str, np.ndarray] = {}
+
+
+class Sent:
+    """A sketch on its way to the executors, packed; unpacked once in each Python worker."""
+
+    def __init__(self, spark: SparkSession, counts: np.ndarray):
+        self.key, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
+
+    def read(self) -> np.ndarray:
+        if self.key not in _read:
+            _read.clear()
+            _read[self.key] = np.frombuffer(zlib.decompress(self.sent.value), np.uint16)
+        return _read[self.key]
+
+
 def placed(sh: np.ndarray, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the distinct shingles of a text the rarest, of which a text of a similarity of at least t must share some, and their places in the order of rarity; those counted once left out."""
     least = int(np.ceil(len(sh) * t - 1e-9))

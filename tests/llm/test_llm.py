@@ -255,6 +255,19 @@ def test_overlaps_shards(spark, monkeypatch):
     assert as_set(one) == as_set(many) == want | {(b, a) for a, b in want} and want
 
 
+def test_overlaps_keep_no_sets(spark):
+    # no hashes of whole texts are stored, but for those of texts that share their rare passages
+    from inkweave.sources import shared
+
+    rows = family(6)
+    texts = spark.createDataFrame([*rows, *((5000 + i, f"q{i} r{i} s{i} t{i} u{i}") for i in range(30))], "id bigint, text string")
+    written = len(shared._written)
+    crosssplit.text_links(texts, texts.select("id"), texts.select("id"))
+    tables = [spark.read.parquet(p) for _, p in shared._written[written:]]
+    sets = [x for x in tables if "sh" in x.columns]
+    assert len(sets) == 1 and sets[0].where("id >= 5000").count() == 0 < sets[0].count()
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_rarest_keeps_enough_of_both(seed):
     rng = np.random.default_rng(seed)
