@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from inkweave.operators import lists
+from inkweave.sources.shared import store
+
 EPS = 1e-15
+_LINKS = 16_000_000  # edges that one task holds for spectral(): 16 bytes each, and as much again while they arrive
+_PIECE = 1 << 20
 
 
 def metrics(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -131,10 +140,53 @@ def centroids(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def spectral(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:
-    """(id, cluster) by power iteration on the normalised affinity of weighted edges (src, dst, w)."""
-    from pyspark.ml.clustering import PowerIterationClustering
+    """(id, cluster) by power iteration on the normalised affinity of weighted edges (src, dst, w).
+
+    As PowerIterationClustering from degrees does it, and by it beyond _LINKS edges, which shuffles and keeps the graph anew in
+    every round; up to that the edges are sent once, to one task that does all rounds.
+    """
+    from pyspark.ml.clustering import KMeans, PowerIterationClustering
+    from pyspark.ml.functions import array_to_vector
 
-    return PowerIterationClustering(k=k, maxIter=rounds, weightCol="w", initMode="degree").assignClusters(edges)
+    links = store(edges.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w")), "affinity")
+    n = links.count()
+    if not 0 < n <= _LINKS:
+        return PowerIterationClustering(k=k, maxIter=rounds, weightCol="w", initMode="degree").assignClusters(links)
+    nodes = lists.number(links.select("src").union(links.select("dst")))
+    coded = links.join(nodes.toDF("src", "a"), "src").join(nodes.toDF("dst", "b"), "dst").select("a", "b", "w")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(x["a"].to_numpy(np.int32), x["b"].to_numpy(np.int32), x["w"].to_numpy(np.float64)) for x in batches]
+        if not parts:
+            return
+        a, b, w = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        if (w < 0).any():
+            raise ValueError("an affinity is negative")
+        size, step = 1 + int(max(a.max(), b.max())), max(_PIECE, len(a) // 8)
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(size)
+            for i in range(0, len(a), step):
+                p, q, y = a[i : i + step], b[i : i + step], w[i : i + step]
+                out += np.bincount(p, y * x[q], size) + np.bincount(q, y * x[p], size)
+            return out
+
+        d = spread(np.ones(size))
+        v, d = d / d.sum(), np.maximum(d, np.finfo(float).eps)
+        still, before, change = max(1e-5 / size, 1e-8), np.inf, np.inf
+        for _ in range(rounds):
+            if change <= still:
+                break
+            new = spread(v) / d
+            new /= np.abs(new).sum()
+            moved = np.abs(new - v).sum()
+            v, change, before = new, abs(moved - before), moved
+        yield pd.DataFrame({"k": np.arange(size, dtype=np.int32), "x": v})
+
+    found = coded.repartition(1).mapInPandas(run, "k int, x double")
+    v = store(nodes.join(found, "k").select(F.col("node").alias("id"), "x"), "spectrum").select("id", array_to_vector(F.array("x")).alias("features"))
+    return KMeans(k=k, seed=0).fit(v).transform(v).select("id", F.col("prediction").alias("cluster"))
 
 
 def pca(vectors: DataFrame, k: int) -> DataFrame:

@@ -73,3 +73,26 @@ def test_balls(spark, packed, monkeypatch):
             m.setattr(lists, "MOST_LINKS", 1)
             assert got == key()
     assert sum(n > 0 for _, n in got) > 5
+
+
+def test_spectral_is_power_iteration_clustering(spark, monkeypatch):
+    # the same clusters as those of the estimator, whose shuffled graph of every round is not made
+    import pyspark.ml.clustering as C
+
+    from inkweave.operators import ml
+
+    rng = np.random.default_rng(5)
+    at = lambda g: np.exp(-((g[:, None] - g[None, :]) ** 2))
+    x = at(np.r_[rng.normal(0, 1, 15), rng.normal(8, 1, 40)])
+    rows = [(int(i) * 7, int(j) * 7, float(x[i, j])) for i in range(55) for j in range(i) if x[i, j] > 1e-4] + [(0, 0, 1.0)]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, w double")
+
+    def parts(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r["cluster"], set()).add(r["id"])
+        return sorted(map(sorted, out.values()))
+
+    want = parts(C.PowerIterationClustering(k=2, maxIter=20, weightCol="w", initMode="degree").assignClusters(edges))
+    monkeypatch.setattr(C, "PowerIterationClustering", None)
+    assert parts(ml.spectral(edges, 2)) == want and len(want) == 2
