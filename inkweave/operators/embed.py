@@ -55,15 +55,16 @@ def _compared(vectors: DataFrame, schema: str, cell: Callable[..., pd.DataFrame]
     sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "ids", "h", "asks")
 
     def run(c: pd.DataFrame) -> pd.DataFrame:
+        # the cell (lo, hi) is missing one side where a hash leaves a block empty: that is no pair of blocks
+        if len(c) == 1 and c["lo"].iloc[0] != c["hi"].iloc[0]:
+            return pd.DataFrame({x.split()[0]: [] for x in schema.split(",")})
         side = []
         for r in c.sort_values("block").itertuples():
             ids = np.frombuffer(r.ids, np.int64)
             side.append((ids, _got(r.h).reshape(len(ids), -1), np.frombuffer(r.asks, bool)))
         return cell(*side[0], *side[-1], len(side) == 1)
 
-    # the cell (lo, hi) is missing one side where a hash leaves a block empty: that is no pair of blocks
-    whole = sent.withColumn("sides", F.count("*").over(W.partitionBy("lo", "hi"))).where("sides = 2 OR lo = hi").drop("sides")
-    return whole.repartition(max(parallel(spark), min(blocks * (blocks + 1) // 2, 8192)), "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema)
+    return sent.repartition(max(parallel(spark), min(blocks * (blocks + 1) // 2, 8192)), "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema)
 
 
 def _asking(vectors: DataFrame) -> DataFrame:

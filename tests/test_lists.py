@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from inkweave.operators import authors, lists, paths, rank
@@ -96,3 +97,16 @@ def test_spectral_is_power_iteration_clustering(spark, monkeypatch):
     want = parts(C.PowerIterationClustering(k=2, maxIter=20, weightCol="w", initMode="degree").assignClusters(edges))
     monkeypatch.setattr(C, "PowerIterationClustering", None)
     assert parts(ml.spectral(edges, 2)) == want and len(want) == 2
+
+
+def test_blocks_are_shuffled_once(spark):
+    # blocks of vectors travel to their cells once, not once more to be counted; blocks left empty by the hash are no cells
+    from inkweave.operators import embed
+
+    rng = np.random.default_rng(6)
+    h = rng.standard_normal((9, 4))
+    vectors = spark.createDataFrame([(i, h[i].tolist(), True) for i in range(9)], "id bigint, h array<double>, asks boolean")
+    pairs = lambda ia, a, qa, ib, b, qb, same: pd.DataFrame([(x, y) for x in ia for y in ib if not same or x < y], columns=["a", "b"])
+    got = embed._compared(vectors, "a bigint, b bigint", pairs, rows=1)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    assert sorted(tuple(sorted(r)) for r in got.collect()) == [(i, j) for i in range(9) for j in range(i + 1, 9)]
