@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkweave.operators import lists as L
-from inkweave.operators import paths
+from inkweave.operators import papers, paths
 from inkweave.operators.graph import numbered
 from inkweave.sources.shared import store
 
@@ -46,7 +46,14 @@ def author_graph(edges: DataFrame, na: DataFrame, alpha: float = 1.0, beta: floa
 
 
 def author_links(edges: DataFrame, na: DataFrame) -> L.Lists:
-    """The links of author_graph, without weights, as lists over all names: names are numbered first, so a link travels as one number."""
+    """The links of author_graph, without weights, as lists over all names. They are made where papers are sent; of more papers, names are numbered first, so a link travels as one number."""
+    if (p := papers.papers(edges, na)) is not None:
+        return papers.links(p)
+    return links_rows(edges, na)
+
+
+def links_rows(edges: DataFrame, na: DataFrame) -> L.Lists:
+    """author_links with links shuffled."""
     nodes = L.number(na.select("author"))
     na = store(na.join(nodes.toDF("author", "k"), "author").select("id", "pos", F.col("k").alias("author")), "listed")
     x = coauthor_pairs(na).select("a", "b").union(citation_pairs(edges, na.select("id", "author").distinct()).select("a", "b"))

@@ -25,7 +25,7 @@ _CHUNK = 1 << 18
 _PIECE = 1 << 20
 _LANES = 1024  # nodes towards which balls are grown at once
 _LOW = (1 << 32) - 1
-_SCHEMA = "ks binary, sizes binary, gaps binary"
+SCHEMA = "ks binary, sizes binary, gaps binary"
 
 
 class Lists(NamedTuple):
@@ -41,7 +41,7 @@ class Lists(NamedTuple):
         return self.links <= MOST_LINKS
 
 
-def _chunk(codes: np.ndarray) -> pd.DataFrame:
+def chunk(codes: np.ndarray) -> pd.DataFrame:
     """One row of the distinct links of sorted codes."""
     a, to = (codes >> 32).astype(np.int32), (codes & _LOW).astype(np.int32)
     at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
@@ -71,12 +71,12 @@ def packed(codes: DataFrame) -> DataFrame:
             if len(held) >= _CHUNK:
                 cut = int(np.searchsorted(held, held[-1] >> 32 << 32))  # a list is never cut
                 if cut:
-                    yield _chunk(held[:cut])
+                    yield chunk(held[:cut])
                     held = held[cut:]
         if len(held):
-            yield _chunk(held)
+            yield chunk(held)
 
-    return store(codes.repartition(parallel(codes.sparkSession), F.shiftright("code", 32)).sortWithinPartitions("code").mapInPandas(run, _SCHEMA), "lists")
+    return store(codes.repartition(parallel(codes.sparkSession), F.shiftright("code", 32)).sortWithinPartitions("code").mapInPandas(run, SCHEMA), "lists")
 
 
 def code(a: str, b: str):
@@ -85,7 +85,11 @@ def code(a: str, b: str):
 
 def lists_of(nodes: DataFrame, codes: DataFrame) -> Lists:
     """Lists over nodes (node, k), numbered from 0, and links (code)."""
-    out = packed(codes)
+    return of_chunks(nodes, packed(codes))
+
+
+def of_chunks(nodes: DataFrame, out: DataFrame) -> Lists:
+    """Lists over nodes (node, k) of chunks that are stored."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -225,6 +229,26 @@ def distance(u: int, v: int, out: Read, back: Read, seen: tuple[np.ndarray, np.n
                 mark[x] = False
 
 
+def steps(a: np.ndarray, b: np.ndarray, out: Read, back: Read, most: int | None) -> np.ndarray:
+    """hops() of pairs of numbers; 0 for equal ends and where there is no path."""
+    seen, hop = (np.zeros(len(out.size), bool), np.zeros(len(out.size), bool)), np.zeros(len(a), np.int64)
+    apart = np.flatnonzero(a != b)
+    n, _ = meets(a[apart], b[apart], out, back)
+    inside = lambda s, k: len(p := s.of(k)) > 0 and (q := int(np.searchsorted(p, k))) < len(p) and p[q] == k
+    loop = {k: inside(out, k) for k in np.unique(np.r_[a, b])}
+    for i, m in zip(apart, n):
+        p = out.of(a[i])
+        q = int(np.searchsorted(p, b[i]))
+        one = q < len(p) and p[q] == b[i]
+        if m - (one and loop[a[i]]) - (one and loop[b[i]]) > 0:  # a loop at an end is no third node
+            hop[i] = 2
+        elif one:
+            hop[i] = 1
+        else:
+            hop[i] = distance(a[i], b[i], out, back, seen, most) or 0
+    return hop
+
+
 def numbers(pairs: DataFrame, g: Lists) -> DataFrame:
     """(u, v, a, b): the distinct pairs whose ends are nodes, with their numbers."""
     key = pairs.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL").distinct()
@@ -267,24 +291,9 @@ def hops(pairs: DataFrame, g: Lists, most: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, back = ahead.read(), behind.read()
-        seen = np.zeros(len(out.size), bool), np.zeros(len(out.size), bool)
         for x in batches:
-            x = x[x["a"] != x["b"]]
             a, b = x["a"].to_numpy(), x["b"].to_numpy()
-            n, _ = meets(a, b, out, back)
-            inside = lambda s, k: len(p := s.of(k)) > 0 and (q := int(np.searchsorted(p, k))) < len(p) and p[q] == k
-            loop = {k: inside(out, k) for k in np.unique(np.r_[a, b])}
-            hop = np.zeros(len(x), np.int64)
-            for i in range(len(x)):
-                p = out.of(a[i])
-                q = int(np.searchsorted(p, b[i]))
-                one = q < len(p) and p[q] == b[i]
-                if n[i] - (one and loop[a[i]]) - (one and loop[b[i]]) > 0:  # a loop at an end is no third node
-                    hop[i] = 2
-                elif one:
-                    hop[i] = 1
-                else:
-                    hop[i] = distance(a[i], b[i], out, back, seen, most) or 0
+            hop = steps(a, b, out, back, most)
             yield pd.DataFrame({"a": a, "b": b, "hops": hop})[hop > 0]
 
     return _answered(pairs, g, run, "hops int")
@@ -294,6 +303,21 @@ def pagerank(g: Lists, rounds: int = 100, damp: float = 0.85, still: float = 1e-
     """(id, rank) of rank.pagerank over all nodes of g, in one task: a round reads each link once."""
     if g.n == 0:
         return g.nodes.select(F.col("node").alias("id"), F.lit(0.0).alias("rank"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in (np.frombuffer(r) for b in batches for r in b["ranks"]):
+            yield pd.DataFrame({"k": np.arange(len(r), dtype=np.int32), "rank": r})
+
+    return store(g.nodes.join(_ranked(g, rounds, damp, still, cut).mapInPandas(run, "k int, rank double"), "k").select(F.col("node").alias("id"), "rank"), "rank")
+
+
+def ranks(g: Lists) -> np.ndarray:
+    """The ranks of pagerank by number."""
+    return np.frombuffer(_ranked(g).first()[0]) if g.n else np.empty(0)
+
+
+def _ranked(g: Lists, rounds: int = 100, damp: float = 0.85, still: float = 1e-15, cut: int = 10) -> DataFrame:
+    """(ranks), one row with the ranks of all nodes of g as doubles."""
     sent, n = Sent(g), g.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,10 +338,9 @@ def pagerank(g: Lists, rounds: int = 100, damp: float = 0.85, still: float = 1e-
             was, rank = rank, (1 - damp) / n + damp * got
             if k % cut == 0 and np.abs(rank - was).max() <= still:
                 break
-        yield pd.DataFrame({"k": np.arange(n, dtype=np.int32), "rank": rank})
+        yield pd.DataFrame({"ranks": [rank.tobytes()]})
 
-    one = g.nodes.sparkSession.range(1).repartition(1)
-    return store(g.nodes.join(one.mapInPandas(run, "k int, rank double"), "k").select(F.col("node").alias("id"), "rank"), "rank")
+    return g.nodes.sparkSession.range(1).repartition(1).mapInPandas(run, "ranks binary")
 
 
 def _wider(out: Read, order: np.ndarray, begin: np.ndarray, r: np.ndarray, changed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -474,8 +474,7 @@ def _(s, d):
 
 @_add("author_jaccard", "e al na ag f p ap", "SELECT pair_id, cn, un, round(cn / (1e-8::DOUBLE + un), 6) AS jaccard FROM su", _SUCC)
 def _(s, d):
-    b = features.registry.build(["author_pairs", "author_links"], features.given(s, d))
-    return A.successors(b["author_pairs"], b["author_links"]).select("pair_id", "cn", "un", _r("jaccard"))
+    return _feature("author_successors")(s, d).select("pair_id", "cn", "un", _r("jaccard"))
 
 
 @_add(
@@ -808,8 +807,7 @@ def _(s, d):
 )
 def _(s, d):
     """All eleven features of the first authors."""
-    b = features.registry.build(["author_pairs", "author_links", "author_pagerank", "author_strength"], features.given(s, d))
-    x = A.pair_features(b["author_pairs"].select("pair_id", "u", "v"), b["author_links"], b["author_pagerank"], b["author_strength"])
+    x = _feature("author_block11")(s, d)
     return x.select("pair_id", "path", "common", "near_u", "near_v", _r("jaccard"), _r("adamic_adar"), "attachment", _r("rank_min", 8), _r("rank_max", 8), _r("weight_min"), _r("weight_max"))
 
 

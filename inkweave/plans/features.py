@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from inkweave.functions import vectors as V
 from inkweave.operators import authors as A
-from inkweave.operators import embed, lists, paths, rank
+from inkweave.operators import embed, lists, papers, paths, rank
 from inkweave.operators import pairs as P
 from inkweave.operators import text as X
 from inkweave.operators.lists import Lists
+from inkweave.operators.papers import Papers
 from inkweave.plans.registry import Registry
 from inkweave.sources import tables as T
 from inkweave.sources.shared import store
@@ -72,9 +73,14 @@ def _(na: DataFrame) -> DataFrame:
     return A.first_author(na)
 
 
-@feature("author_links", "edges", "node_author")
-def _(edges: DataFrame, na: DataFrame) -> Lists:
-    return A.author_links(edges, na)
+@feature("papers", "edges", "node_author")
+def _(edges: DataFrame, na: DataFrame) -> Papers | None:
+    return papers.papers(edges, na)
+
+
+@feature("author_links", "edges", "node_author", "papers")
+def _(edges: DataFrame, na: DataFrame, p: Papers | None) -> Lists:
+    return A.links_rows(edges, na) if p is None else papers.links(p)
 
 
 @feature("author_strength", "edges", "node_author")
@@ -96,13 +102,30 @@ def _(graph: Lists) -> DataFrame:
     return x.join(graph.nodes, "k").select(F.col("node").alias("id"), "rank")
 
 
-@feature("author_block6", "author_pairs", "author_links", "author_pagerank", "author_strength")
-def _(pairs: DataFrame, graph: Lists, ranks: DataFrame, s: DataFrame) -> DataFrame:
+@feature("author_successors", "pairs", "edges", "node_author", "papers", "author_links")
+def _(pairs: DataFrame, edges: DataFrame, na: DataFrame, p: Papers | None, graph: Lists) -> DataFrame:
+    """Successors of the first authors in common and in all, and their Jaccard."""
+    if p is not None and graph.fit:
+        return papers.first_authors(pairs, p, graph).select("pair_id", "cn", "un", "jaccard")
+    own = registry.build(["author_pairs"], {"pairs": pairs, "node_author": na})["author_pairs"]
+    return A.successors(own, graph).select("pair_id", "cn", "un", "jaccard")
+
+
+@feature("author_block11", "pairs", "edges", "node_author", "papers", "author_links")
+def _(pairs: DataFrame, edges: DataFrame, na: DataFrame, p: Papers | None, graph: Lists) -> DataFrame:
+    """All eleven features of the first authors: row by row where papers and links are sent."""
+    if p is not None and graph.fit:
+        x = papers.first_authors(pairs, p, graph, True, lists.ranks(graph), papers.strengths(p))
+        return x.select("pair_id", "split", "y", "path", F.col("cn").alias("common"), F.col("du").alias("near_u"), F.col("dv").alias("near_v"), "jaccard", F.col("aa").alias("adamic_adar"), (F.col("du") * F.col("dv")).alias("attachment"), "rank_min", "rank_max", "weight_min", "weight_max")
+    own = registry.build(["author_pairs", "author_pagerank", "author_strength"], {"pairs": pairs, "edges": edges, "node_author": na, "author_links": graph})
+    x = A.pair_features(own["author_pairs"].select("pair_id", "u", "v"), graph, own["author_pagerank"], own["author_strength"])
+    return x.join(pairs.select("pair_id", "split", "y"), "pair_id")
+
+
+@feature("author_block6", "author_block11")
+def _(x: DataFrame) -> DataFrame:
     """Path, overlap of successors, ranks and link strengths of the first authors."""
-    hops = A.directed_hops(pairs, graph)
-    out = A.successors(pairs, graph).join(hops, ["u", "v"], "left").join(s.toDF("u", "su"), "u", "left").join(s.toDF("v", "sv"), "v", "left")
-    out = rank.on_pairs(out.withColumns({"su": F.coalesce("su", F.lit(0.0)), "sv": F.coalesce("sv", F.lit(0.0))}), ranks)
-    return out.select("pair_id", "split", "y", F.coalesce("hops", F.lit(15)).alias("author_path"), F.col("jaccard").alias("author_jaccard"), "rank_min", "rank_max", F.least("su", "sv").alias("weight_min"), F.greatest("su", "sv").alias("weight_max"))
+    return x.select("pair_id", "split", "y", F.col("path").alias("author_path"), F.col("jaccard").alias("author_jaccard"), "rank_min", "rank_max", "weight_min", "weight_max")
 
 
 @feature("hadamard", "pairs", "vectors")
