@@ -362,12 +362,86 @@ def _wider(out: Read, order: np.ndarray, begin: np.ndarray, r: np.ndarray, chang
     return wide, gained
 
 
+class _Heart:
+    """What lanes end as in a graph most of whose links touch one strong component: whoever reaches it reaches all that it reaches. Lists are put in the order of their targets' sizes, since large ones fill lanes first."""
+
+    def __init__(self, out: Read):
+        n, size = len(out.size), out.size
+        self.out, self.ins = out, np.bincount(out.to, minlength=n)
+        hub = int(np.argmax(size * self.ins))
+        self.ahead, self.back, front, k = np.zeros(n, bool), np.zeros(n, bool), np.array([hub]), 0
+        self.order = np.argsort(out.start, kind="stable")
+        self.order = self.order[size[self.order] > 0]
+        self.begin = out.start[self.order]
+        self.ahead[hub] = self.back[hub] = True
+        while len(front):
+            new = np.zeros(n, bool)
+            new[out.all(front)] = True
+            new &= ~self.ahead
+            self.ahead |= new
+            front = np.flatnonzero(new)
+        while len(self.order) and (c := int(self.back.sum())) != k:
+            k = c
+            self.back[self.order] |= np.logical_or.reduceat(self.back[out.to], self.begin)
+        core = self.ahead & self.back
+        rest, links = [], 0
+        for lo in range(0, len(self.order), 1 << 14):
+            x = self.order[lo : lo + (1 << 14)]
+            at, to = self.begin[lo], out.to[self.begin[lo] : self.begin[lo] + size[x].sum()]
+            keep = ~np.repeat(core[x], size[x]) & ~core[to]
+            rest.append((np.repeat(x, size[x])[keep], to[keep]))
+            links += int(keep.sum())
+            key = np.repeat(np.arange(len(x)), size[x]) << 32 | ((1 << 31) - size[to])
+            out.to[at : at + len(to)] = to[np.argsort(key, kind="stable")]
+        self.known = 2 * links <= len(out.to)
+        if self.known:
+            self.rest = Read(n, [])
+            if links:
+                a, self.rest.to = (np.concatenate(c) for c in zip(*rest))
+                self.rest.size = np.bincount(a, minlength=n)
+                at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                self.rest.start[a[at]] = at
+                self.rest_order, self.rest_begin = a[at], at
+
+    def final(self, r: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The lanes of every node once nothing changes any more; r: those of nodes, each its own. A way that misses the component has no node of it."""
+        out, changed = r.copy(), np.zeros(len(r), bool)
+        changed[nodes] = True
+        while len(self.rest.to) and changed.any():
+            out, changed = _wider(self.rest, self.rest_order, self.rest_begin, out, changed)
+        if len(hit := nodes[self.ahead[nodes]]):
+            out[self.back] |= np.bitwise_or.reduce(r[hit], axis=0)
+        return out
+
+    def filled(self, r: np.ndarray, final: np.ndarray, act: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_wider() for the nodes act, all that are not final: of each so many targets are read as fill its lanes."""
+        out, wide, left, c, w = self.out, r.copy(), act, 0, 4
+        while len(left):
+            some, piece = np.minimum(out.size[left] - c, w), max(1, (1 << 16) // w)
+            on = []
+            for lo in range(0, len(left), piece):
+                x, q = left[lo : lo + piece], some[lo : lo + piece]
+                b = np.cumsum(q) - q
+                new = np.bitwise_or.reduceat(r[out.to[np.repeat(out.start[x] + c - b, q) + np.arange(q.sum())]], b, axis=0) | wide[x]
+                wide[x] = new
+                on.append(x[(out.size[x] > c + w) & (new != final[x]).any(axis=1)])
+            left, c, w = np.concatenate(on), c + w, min(4 * w, 1024)
+        gained = np.zeros(len(r), bool)
+        gained[act] = (wide[act] != r[act]).any(axis=1)
+        return wide, gained
+
+
+_hearts: dict[str, _Heart] = {}
+
+
 def shared_balls(g: Lists, sets: DataFrame, pairs: DataFrame, radius: int) -> DataFrame:
     """(a, b, shared) of the distinct pairs (a, b) of sets (x, k), x numbered from 0: nodes within reach of both in as many steps as the narrower of their balls goes, up to `radius`.
 
     Balls are grown backwards from _LANES nodes at once, a bit for each, until nothing changes, and none is stored: of a
-    block of nodes only the counts of each pair at each width are kept, so work grows with nodes x links / 64. Sets, of
-    which each has a member, and pairs are sent as numbers.
+    block of nodes only the counts of each pair at each width are kept. A node whose lanes are full, by what its component
+    reaches, reads no further target, so little but the step before that reads all links; without a component that most
+    links touch, all steps do, and work grows with nodes x links / 64. Sets, of which each has a member, and pairs are
+    sent as numbers.
     """
     spark = g.nodes.sparkSession
     m = sets.orderBy("x").toPandas()
@@ -379,9 +453,11 @@ def shared_balls(g: Lists, sets: DataFrame, pairs: DataFrame, radius: int) -> Da
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, (member, begin_of, pa, pb) = graph.read(), sent.value
         n = len(out.size)
-        order = np.argsort(out.start, kind="stable")
-        order = order[out.size[order] > 0]
-        begin = out.start[order]
+        if graph.key not in _hearts:
+            _hearts.clear()
+            _hearts[graph.key] = _Heart(out)
+        heart = _hearts[graph.key]
+        order, begin = heart.order, heart.begin
         depth, counts = np.zeros(len(begin_of), np.uint8), [np.zeros(len(pa), np.int32)]
         for lane in (c for b in batches for c in b["block"]):
             nodes = np.arange(lane * _LANES, min(n, (lane + 1) * _LANES))
@@ -391,7 +467,8 @@ def shared_balls(g: Lists, sets: DataFrame, pairs: DataFrame, radius: int) -> Da
             changed = np.zeros(n, bool)
             changed[nodes] = True
             reach = np.bitwise_or.reduceat(r[member], begin_of, axis=0)
-            moved, now, k = np.ones(len(begin_of), bool), np.zeros(len(pa), np.int32), 0
+            final = heart.final(r, nodes) if heart.known else None
+            moved, now, k = reach.any(axis=1), np.zeros(len(pa), np.int32), 0
             while True:
                 ask = np.flatnonzero(moved[pa] | moved[pb])
                 for at in range(0, len(ask), step):
@@ -403,7 +480,11 @@ def shared_balls(g: Lists, sets: DataFrame, pairs: DataFrame, radius: int) -> Da
                 if k == radius or not len(order):
                     break
                 last = now.copy()
-                r, changed = _wider(out, order, begin, r, changed)
+                act = np.flatnonzero((r != final).any(axis=1)) if heart.known else order
+                if heart.known and 2 * int(heart.ins[changed].sum()) > int(out.size[act].sum()):
+                    r, changed = heart.filled(r, final, act)
+                else:
+                    r, changed = _wider(out, order, begin, r, changed)
                 if not changed.any():
                     break
                 wide = np.bitwise_or.reduceat(r[member], begin_of, axis=0)
