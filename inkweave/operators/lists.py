@@ -23,6 +23,7 @@ from inkweave.sources.shared import parallel, store
 MOST_LINKS = 64_000_000  # links of a graph that is sent: some 130 MB packed, 256 MB in a Python worker
 _CHUNK = 1 << 18
 _PIECE = 1 << 20
+_BESIDE = 64  # lists that are marked at once
 _LANES = 1024  # nodes towards which balls are grown at once
 _LOW = (1 << 32) - 1
 SCHEMA = "ks binary, sizes binary, gaps binary"
@@ -41,6 +42,12 @@ class Lists(NamedTuple):
         return self.links <= MOST_LINKS
 
 
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """codes sorted in place, each once; np.unique hashes them, which takes many times as long."""
+    codes.sort()
+    return codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
+
+
 def chunk(codes: np.ndarray) -> pd.DataFrame:
     """One row of the distinct links of sorted codes."""
     a, to = (codes >> 32).astype(np.int32), (codes & _LOW).astype(np.int32)
@@ -154,7 +161,90 @@ class Read:
         before = np.cumsum(size) - size
         return self.to[np.repeat(self.start[ks] - before, size) + np.arange(size.sum())]
 
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(nodes, their lists one after another, where each begins) of all nodes with lists, a bounded number of links at once."""
+        order = np.argsort(self.start, kind="stable")
+        order = order[self.size[order] > 0]
+        ends, lo = np.cumsum(self.size[order]), 0
+        while lo < len(order):
+            at = ends[lo] - self.size[order[lo]]
+            hi = max(lo + 1, int(np.searchsorted(ends, at + _PIECE, side="right")))
+            own = order[lo:hi]
+            yield own, self.to[at : ends[hi - 1]], ends[lo:hi] - self.size[own] - at
+            lo = hi
+
+    def has(self, ks: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether the sorted list of each of ks has the node of x at its place."""
+        if not len(self.to):
+            return np.zeros(len(ks), bool)
+        lo, end = self.start[ks], self.start[ks] + self.size[ks]
+        hi, last = end, len(self.to) - 1
+        while (live := lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = live & (self.to[np.minimum(mid, last)] < x)
+            lo, hi = np.where(less, mid + 1, lo), np.where(live & ~less, mid, hi)
+        return (lo < end) & (self.to[np.minimum(lo, last)] == x)
+
+    def turned(self) -> Read:
+        """The lists of each node's sources, in no order within a list."""
+        back = Read(len(self.size), [])
+        back.size = np.bincount(self.to, minlength=len(self.size))
+        back.start, back.to = np.cumsum(back.size) - back.size, np.empty(len(self.to), np.int32)
+        free = back.start.copy()
+        for own, to, _ in self.pieces():
+            code = to.astype(np.int64) << 32 | np.repeat(own, self.size[own])
+            code.sort()
+            to = code >> 32
+            first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            size, k = np.diff(first, append=len(to)), to[first]
+            back.to[np.repeat(free[k] - first, size) + np.arange(len(to))] = code & _LOW
+            free[k] += size
+        return back
+
+
+class Ways:
+    """Lists both ways, and what settles most pairs further than two steps apart by one look at each end.
+
+    Of 64 marked nodes it is known which a node reaches and which reach it: who reaches another reaches all marks that this
+    one does, and is reached by no mark that doesn't reach this one. Of the 64 nodes with most ways through them it is known
+    which lie on a way of three steps.
+    """
 
+    def __init__(self, out: Read):
+        self.out, self.back = out, out.turned()
+        n, back = len(out.size), self.back
+        self.seen = np.zeros(n, bool), np.zeros(n, bool)
+        bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        self.reaching, self.next_of, self.next_to = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        marks = np.r_[np.argsort(-np.minimum(out.size, back.size), kind="stable")[:32], np.linspace(0, n - 1, min(n, 32)).astype(np.int64)]
+        np.bitwise_or.at(self.reaching, marks, bits[: len(marks)])
+        self.reached = self.reaching.copy()
+        for lists, r in ((back, self.reaching), (out, self.reached)):
+            more = True
+            while more:
+                more = False
+                for own, to, begin in lists.pieces():
+                    new = r[own] | np.bitwise_or.reduceat(r[to], begin)
+                    more |= bool((new != r[own]).any())
+                    r[own] = new
+        for bit, hub in zip(bits, np.argsort(-(out.size.astype(np.float64) * back.size), kind="stable")[:64]):
+            self.next_of[out.of(hub)] |= bit
+            self.next_to[back.of(hub)] |= bit
+        self.two_of, self.two_to = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for lists, one, two in ((back, self.next_of, self.two_of), (out, self.next_to, self.two_to)):
+            for own, to, begin in lists.pieces():
+                two[own] = np.bitwise_or.reduceat(one[to], begin)
+
+    def none(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs known to have no way from a to b."""
+        return (self.out.size[a] == 0) | (self.back.size[b] == 0) | (self.reached[b] & ~self.reached[a] != 0) | (self.reaching[a] & ~self.reaching[b] != 0)
+
+    def three(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs known to have one of three steps."""
+        return (self.next_to[a] & self.two_of[b] | self.two_to[a] & self.next_of[b]) != 0
+
+
+_ways: dict[str, Ways] = {}
 _read: dict[str, Read] = {}
 
 
@@ -164,48 +254,74 @@ class Sent:
     def __init__(self, g: Lists):
         if not g.fit:
             raise ValueError(f"a graph of {g.links} links is not sent")
-        self.n, self.sent = g.n, g.nodes.sparkSession.sparkContext.broadcast([tuple(map(bytes, r)) for r in g.out.collect()])
+        rows = g.out.collect()
+        self.n, self.sent = g.n, g.nodes.sparkSession.sparkContext.broadcast([tuple(map(bytes, rows.pop())) for _ in range(len(rows))])  # held once
         self.key = uuid.uuid4().hex
 
     def read(self) -> Read:
         if self.key not in _read:
-            if len(_read) > 1:
-                _read.clear()
+            _read.clear()
+            _ways.clear()
             _read[self.key] = Read(self.n, self.sent.value)
+            if getattr(self.sent, "_path", None):
+                del self.sent._value  # is in the file, if asked for again
         return _read[self.key]
 
+    def ways(self) -> Ways:
+        if self.key not in _ways:
+            _ways.clear()
+            _ways[self.key] = Ways(self.read())
+        return _ways[self.key]
+
 
 def meets(u: np.ndarray, v: np.ndarray, left: Read, right: Read, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of numbers how many nodes stand both in left's list of u and in right's of v, and the sum of their weights: the longer list is marked once, the shorter ones are looked up in it."""
-    n, total = np.zeros(len(u), np.int64), np.zeros(len(u))
-    mark = np.zeros(len(left.size), bool)
+    """For pairs of numbers how many nodes stand both in left's list of u and in right's of v, and the sum of their weights: the longer list is marked once, many side by side, and the shorter ones are looked up in it."""
+    n, total, nodes = np.zeros(len(u), np.int64), np.zeros(len(u)), len(left.size)
+    beside = max(1, min(_BESIDE, (1 << 24) // max(1, nodes)))
+    mark = np.zeros(beside * nodes, bool)
     for marked, long, walked, short, mine in ((right, v, left, u, left.size[u] <= right.size[v]), (left, u, right, v, left.size[u] > right.size[v])):
         at = np.flatnonzero(mine & (walked.size[short] > 0))
         at = at[np.argsort(long[at], kind="stable")]
         if not len(at):
             continue
-        ends = np.flatnonzero(np.r_[long[at][1:] != long[at][:-1], True]) + 1
-        for lo, hi in zip(np.r_[0, ends[:-1]], ends):
-            own = marked.of(long[at[lo]])
+        begins = np.flatnonzero(np.r_[True, long[at][1:] != long[at][:-1]])
+        ks, ends = long[at[begins]], np.r_[begins[1:], len(at)]
+        filled, entries, i = np.cumsum(marked.size[ks]), np.cumsum(walked.size[short[at]]), 0
+        while i < len(ks):
+            j = max(i + 1, min(i + beside, int(np.searchsorted(filled, (filled[i - 1] if i else 0) + _PIECE, side="right"))))
+            own = marked.all(ks[i:j]) + np.repeat(np.arange(j - i) * nodes, marked.size[ks[i:j]])
             mark[own] = True
+            lo, hi, place = begins[i], ends[j - 1], np.repeat(np.arange(j - i) * nodes, ends[i:j] - begins[i:j])
             while lo < hi:  # a bounded number of entries at once
-                sizes = walked.size[short[at[lo:hi]]]
-                upto = lo + max(1, int(np.searchsorted(np.cumsum(sizes), _PIECE, side="right")))
-                x = at[lo:upto]
-                to = walked.all(short[x])
-                hit = mark[to]
-                begin = np.cumsum(sizes[: len(x)]) - sizes[: len(x)]
+                upto = min(hi, max(lo + 1, int(np.searchsorted(entries, (entries[lo - 1] if lo else 0) + _PIECE, side="right"))))
+                x, side = at[lo:upto], place[lo - begins[i] : upto - begins[i]]
+                sizes, to = walked.size[short[x]], walked.all(short[x])
+                hit, begin = mark[to + np.repeat(side, sizes)], np.cumsum(sizes) - sizes
                 n[x] = np.add.reduceat(hit, begin, dtype=np.int64)
                 if weight is not None:
                     total[x] = np.add.reduceat(np.where(hit, weight[to], 0.0), begin)
                 lo = upto
             mark[own] = False
+            i = j
     return n, total
 
 
-def distance(u: int, v: int, out: Read, back: Read, seen: tuple[np.ndarray, np.ndarray], most: int | None) -> int | None:
-    """Steps from u to another node v, grown from the end whose next level is cheaper; None if there is no path of up to `most`. seen: two marks over all nodes, none set."""
-    sides, fronts, touched, steps = (out, back), [np.array([u]), np.array([v])], [[np.array([u])], [np.array([v])]], 0
+def _beyond(lists: Read, front: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The nodes in the lists of front that are not marked as seen, which they then are; a bounded number of links at once."""
+    ends, parts, lo = np.cumsum(lists.size[front]), [], 0
+    while lo < len(front):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _PIECE, side="right")))
+        new = lists.all(front[lo:hi])
+        new = distinct(new[~seen[new]])
+        seen[new] = True
+        parts.append(new)
+        lo = hi
+    return np.concatenate(parts)
+
+
+def distance(u: int, v: int, ways: Ways, most: int | None) -> int | None:
+    """Steps from u to another node v, grown from the end whose next level is cheaper; None if there is no path of up to `most`."""
+    sides, fronts, touched, steps, seen = (ways.out, ways.back), [np.array([u]), np.array([v])], [[np.array([u])], [np.array([v])]], 0, ways.seen
     seen[0][u] = seen[1][v] = True
     try:
         while most is None or steps < most:
@@ -213,11 +329,9 @@ def distance(u: int, v: int, out: Read, back: Read, seen: tuple[np.ndarray, np.n
             if not min(cost):
                 return None  # an end without a way on
             i = int(cost[1] < cost[0])
-            new = np.unique(sides[i].all(fronts[i]))
-            new = new[~seen[i][new]]
+            new = _beyond(sides[i], fronts[i], seen[i])
             if not len(new):
                 return None
-            seen[i][new] = True
             touched[i].append(new)
             fronts[i], steps = new, steps + 1
             if seen[1 - i][new].any():
@@ -229,23 +343,20 @@ def distance(u: int, v: int, out: Read, back: Read, seen: tuple[np.ndarray, np.n
                 mark[x] = False
 
 
-def steps(a: np.ndarray, b: np.ndarray, out: Read, back: Read, most: int | None) -> np.ndarray:
-    """hops() of pairs of numbers; 0 for equal ends and where there is no path."""
-    seen, hop = (np.zeros(len(out.size), bool), np.zeros(len(out.size), bool)), np.zeros(len(a), np.int64)
+def steps(a: np.ndarray, b: np.ndarray, ways: Ways, most: int | None) -> np.ndarray:
+    """hops() of pairs of numbers; 0 for equal ends and where there is no path. Only pairs of which nothing is known at sight are grown one by one."""
+    out, hop = ways.out, np.zeros(len(a), np.int64)
     apart = np.flatnonzero(a != b)
-    n, _ = meets(a[apart], b[apart], out, back)
-    inside = lambda s, k: len(p := s.of(k)) > 0 and (q := int(np.searchsorted(p, k))) < len(p) and p[q] == k
-    loop = {k: inside(out, k) for k in np.unique(np.r_[a, b])}
-    for i, m in zip(apart, n):
-        p = out.of(a[i])
-        q = int(np.searchsorted(p, b[i]))
-        one = q < len(p) and p[q] == b[i]
-        if m - (one and loop[a[i]]) - (one and loop[b[i]]) > 0:  # a loop at an end is no third node
-            hop[i] = 2
-        elif one:
-            hop[i] = 1
-        else:
-            hop[i] = distance(a[i], b[i], out, back, seen, most) or 0
+    x, y = a[apart], b[apart]
+    n, _ = meets(x, y, out, ways.back)
+    one = out.has(x, y)
+    third = n - (one & out.has(x, x)) - (one & out.has(y, y)) > 0  # a loop at an end is no third node
+    hop[apart] = np.where(third, 2, one)
+    rest = apart[(hop[apart] == 0) & ~ways.none(x, y)]
+    if most is None or most > 2:
+        hop[rest[ways.three(a[rest], b[rest])]] = 3
+        for i in rest[hop[rest] == 0]:
+            hop[i] = distance(a[i], b[i], ways, most) or 0
     return hop
 
 
@@ -287,13 +398,13 @@ def sizes(g: Lists) -> DataFrame:
 
 def hops(pairs: DataFrame, g: Lists, most: int | None = None) -> DataFrame:
     """(u, v, hops) of the distinct pairs of different nodes with a path along g of up to `most` steps (of any length, if None): 2 rather than 1 where a third node lies between linked ends."""
-    ahead, behind = Sent(g), Sent(reverse(g))
+    sent = Sent(g)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, back = ahead.read(), behind.read()
+        ways = sent.ways()
         for x in batches:
             a, b = x["a"].to_numpy(), x["b"].to_numpy()
-            hop = steps(a, b, out, back, most)
+            hop = steps(a, b, ways, most)
             yield pd.DataFrame({"a": a, "b": b, "hops": hop})[hop > 0]
 
     return _answered(pairs, g, run, "hops int")
@@ -308,17 +419,17 @@ def pagerank(g: Lists, rounds: int = 100, damp: float = 0.85, still: float = 1e-
         for r in (np.frombuffer(r) for b in batches for r in b["ranks"]):
             yield pd.DataFrame({"k": np.arange(len(r), dtype=np.int32), "rank": r})
 
-    return store(g.nodes.join(_ranked(g, rounds, damp, still, cut).mapInPandas(run, "k int, rank double"), "k").select(F.col("node").alias("id"), "rank"), "rank")
+    return store(g.nodes.join(_ranked(g, Sent(g), rounds, damp, still, cut).mapInPandas(run, "k int, rank double"), "k").select(F.col("node").alias("id"), "rank"), "rank")
 
 
-def ranks(g: Lists) -> np.ndarray:
-    """The ranks of pagerank by number."""
-    return np.frombuffer(_ranked(g).first()[0]) if g.n else np.empty(0)
+def ranks(g: Lists, sent: Sent) -> np.ndarray:
+    """The ranks of pagerank by number, from g as it is sent."""
+    return np.frombuffer(_ranked(g, sent).first()[0]) if g.n else np.empty(0)
 
 
-def _ranked(g: Lists, rounds: int = 100, damp: float = 0.85, still: float = 1e-15, cut: int = 10) -> DataFrame:
+def _ranked(g: Lists, sent: Sent, rounds: int = 100, damp: float = 0.85, still: float = 1e-15, cut: int = 10) -> DataFrame:
     """(ranks), one row with the ranks of all nodes of g as doubles."""
-    sent, n = Sent(g), g.n
+    n = g.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:

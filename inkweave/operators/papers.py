@@ -114,7 +114,8 @@ def papers(edges: DataFrame, na: DataFrame) -> Papers | None:
         return None
     x, y = _fetched(edges, linked, [np.int32, np.int32])
     drop(edges)
-    codes = np.unique(x.astype(np.int64) << 32 | y)
+    sent.destroy()
+    codes = L.distinct(x.astype(np.int64) << 32 | y)
     cited = np.searchsorted(codes >> 32, np.arange(len(ids) + 1))
     return Papers(nodes, nodes.count(), Arrays(ids, start, author, cited, (codes & ((1 << 32) - 1)).astype(np.int32)))
 
@@ -148,12 +149,14 @@ def links(p: Papers) -> L.Lists:
                 to = h.to[span(h.cited[of], cites)]
                 one = np.repeat(a, later) | h.author[span(at + 1, later)]
                 two = np.repeat(np.repeat(a, cites), size[to]) | h.author[span(h.start[to], size[to])]
-                if len(c := np.unique(np.r_[one, two])):
+                if len(c := L.distinct(np.r_[one, two])):
                     yield L.chunk(c)
 
     pieces = len(cuts) - 1
     tasks = max(1, min(pieces, parallel(spark)))
-    return L.of_chunks(p.nodes, store(spark.range(pieces).repartition(tasks).mapInPandas(run, L.SCHEMA), "lists"))
+    out = store(spark.range(pieces).repartition(tasks).mapInPandas(run, L.SCHEMA), "lists")
+    sent.destroy()
+    return L.of_chunks(p.nodes, out)
 
 
 def strengths(p: Papers, alpha: float = 1.0, beta: float = 0.5) -> np.ndarray:
@@ -162,19 +165,18 @@ def strengths(p: Papers, alpha: float = 1.0, beta: float = 0.5) -> np.ndarray:
     return alpha * np.bincount(h.author, h.later(), p.n) + beta * np.bincount(h.author, np.repeat(h.reached(), size), p.n)
 
 
-def first_authors(pairs: DataFrame, p: Papers, g: L.Lists, path: bool = False, ranks: np.ndarray | None = None, strength: np.ndarray | None = None) -> DataFrame:
+def first_authors(pairs: DataFrame, p: Papers, graph: L.Sent, path: bool = False, ranks: np.ndarray | None = None, strength: np.ndarray | None = None) -> DataFrame:
     """pairs (u, v) of papers with du, dv, cn, un, jaccard and aa of their first authors, as in authors.pair_features; path if asked for; rank_min, rank_max, weight_min, weight_max by what is given. A missing author has no links, rank or strength and no path."""
     spark = pairs.sparkSession
     held = p.held._replace(author=p.held.author[p.held.start[:-1]], start=np.arange(len(p.held.start)), cited=np.empty(0), to=np.empty(0))
-    sent, graph = spark.sparkContext.broadcast((held, ranks, strength)), L.Sent(g)
-    back_graph = L.Sent(L.reverse(g)) if path else None
+    sent = spark.sparkContext.broadcast((held, ranks, strength))
     names = [("du", "bigint"), ("dv", "bigint"), ("cn", "bigint"), ("un", "bigint"), ("jaccard", "double"), ("aa", "double")]
     names += [("path", "int")] * path + [(x, "double") for x in ("rank_min", "rank_max") if ranks is not None] + [(x, "double") for x in ("weight_min", "weight_max") if strength is not None]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, rank, power = sent.value
-        out, back = graph.read(), back_graph.read() if path else None
+        out, ways = graph.read(), graph.ways() if path else None
         weight = 1 / np.log1p(1e-8 + out.size)
         for rows in grouped(batches):
             a, b = (h.first(h.number(column(rows, c))) for c in ("u", "v"))
@@ -188,7 +190,7 @@ def first_authors(pairs: DataFrame, p: Papers, g: L.Lists, path: bool = False, r
             new = [du, dv, cn, du + dv - cn, cn / (1e-8 + (du + dv - cn)), aa]
             if path:
                 hop = np.full(len(a), 15, np.int32)
-                steps = L.steps(x, y, out, back, None)
+                steps = L.steps(x, y, ways, None)
                 hop[both] = np.where(x == y, 0, np.where(steps > 0, steps, 15))[at]
                 new.append(hop)
             for z in (rank, power):

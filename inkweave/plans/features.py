@@ -106,7 +106,7 @@ def _(graph: Lists) -> DataFrame:
 def _(pairs: DataFrame, edges: DataFrame, na: DataFrame, p: Papers | None, graph: Lists) -> DataFrame:
     """Successors of the first authors in common and in all, and their Jaccard."""
     if p is not None and graph.fit:
-        return papers.first_authors(pairs, p, graph).select("pair_id", "cn", "un", "jaccard")
+        return papers.first_authors(pairs, p, lists.Sent(graph)).select("pair_id", "cn", "un", "jaccard")
     own = registry.build(["author_pairs"], {"pairs": pairs, "node_author": na})["author_pairs"]
     return A.successors(own, graph).select("pair_id", "cn", "un", "jaccard")
 
@@ -115,7 +115,8 @@ def _(pairs: DataFrame, edges: DataFrame, na: DataFrame, p: Papers | None, graph
 def _(pairs: DataFrame, edges: DataFrame, na: DataFrame, p: Papers | None, graph: Lists) -> DataFrame:
     """All eleven features of the first authors: row by row where papers and links are sent."""
     if p is not None and graph.fit:
-        x = papers.first_authors(pairs, p, graph, True, lists.ranks(graph), papers.strengths(p))
+        sent = lists.Sent(graph)
+        x = papers.first_authors(pairs, p, sent, True, lists.ranks(graph, sent), papers.strengths(p))
         return x.select("pair_id", "split", "y", "path", F.col("cn").alias("common"), F.col("du").alias("near_u"), F.col("dv").alias("near_v"), "jaccard", F.col("aa").alias("adamic_adar"), (F.col("du") * F.col("dv")).alias("attachment"), "rank_min", "rank_max", "weight_min", "weight_max")
     own = registry.build(["author_pairs", "author_pagerank", "author_strength"], {"pairs": pairs, "edges": edges, "node_author": na, "author_links": graph})
     x = A.pair_features(own["author_pairs"].select("pair_id", "u", "v"), graph, own["author_pagerank"], own["author_strength"])
